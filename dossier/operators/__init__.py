@@ -1 +1 @@
-
+"""Operators on DataFrames: blocks, cards, evidence, layout, comparison, rules, export."""

@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
+from . import card_queries
+
+_MODULES = (card_queries,)
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+for _m in _MODULES:
+    QUERIES |= _m.QUERIES
+    ORACLE_SQL |= _m.ORACLE_SQL
