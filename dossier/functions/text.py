@@ -141,7 +141,7 @@ def page_list(spec: Column, pages: Column) -> Column:
 def protected_tokens(c: Column) -> Column:
     """Distinct tokens that a translation must keep: codes, numbers with units, standards, addresses."""
     families = (
-        r"([A-Z]{2,}[0-9]*(?:-[A-Z0-9]+)+)",
+        r"([A-Z]+[0-9]*(?:-[A-Z0-9]+)+)",
         r"([0-9]+(?:\.[0-9]+)? ?(?:mm|cm|m3/h|L/h|bar|MPa|kPa|kW|rpm|Hz|V))",
         r"((?:API|ISO|ASTM|ASME|DIN|EN|GB) ?[0-9]+)",
         r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",

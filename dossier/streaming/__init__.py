@@ -1 +1 @@
-
+"""Streams of run events: changes, stalls, bounded batches."""
