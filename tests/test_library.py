@@ -265,3 +265,38 @@ def test_queries_have_sql():
     from dossier.plans import catalogue
 
     assert set(catalogue.ORACLE_SQL) <= set(catalogue.QUERIES) and len(catalogue.QUERIES) > 60
+
+
+def test_package(spark):
+    from dossier.operators import package
+
+    a = spark.createDataFrame([("x", b"1"), ("y", b"2"), ("z", b"3")], "path string, content binary")
+    b = spark.createDataFrame([("y", b"2"), ("z", b"4"), ("w", b"5")], "path string, content binary")
+    assert {r.path: r.state for r in package.integrity(package.inventory(a), package.inventory(b)).collect()} == {"x": "missing", "y": "ok", "z": "content_changed", "w": "new"}
+    s = package.files_signature(package.inventory(a).withColumn("g", F.lit(1)), ["g"]).first().signature
+    assert s == package.files_signature(package.inventory(a.orderBy(F.desc("path"))).withColumn("g", F.lit(1)), ["g"]).first().signature
+    names = spark.createDataFrame([(1, "A?.txt"), (2, "a_.TXT"), (3, "...")], "i int, n string")
+    assert [r.artifact for r in package.artifact_names(names, "n", ["i"]).orderBy("i").collect()] == ["A_.txt", "a_-2.TXT", "file"]
+    assert [one(spark, package.safe_path(F.col("p")), p=x) for x in ("a/b.txt", "../a", "C:/x", "a/NUL.txt", "/a", "")] == [True, False, False, False, False, False]
+    box = spark.createDataFrame([((0.0, 0.0, 10.0, 10.0), (5.0, 0.0, 20.0, 5.0))], "a struct<x0:double,top:double,x1:double,bottom:double>, b struct<x0:double,top:double,x1:double,bottom:double>")
+    assert box.select(package.overlap_share(F.col("a"), F.col("b")).alias("x")).first().x == 0.25
+
+
+def test_archives(spark, tmp_path):
+    from dossier.sources import archives
+
+    def packed(files):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            for n, d in files.items():
+                z.writestr(n, d)
+        return out.getvalue()
+
+    chunk = lambda k, d: len(d).to_bytes(4, "big") + k + d + b"\0\0\0\0"
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"tEXt", b"Author\0me") + chunk(b"zTXt", b"Note\0\0" + zlib.compress(b"deep"))
+    deep = packed({"d.zip": packed({"e.zip": packed({"f.txt": "too deep"})})})
+    (tmp_path / "a.zip").write_bytes(packed({"b.txt": "bee", "c.zip": deep, "p.png": png}))
+    (tmp_path / "bad.zip").write_bytes(b"??")
+    got = {r.path.rsplit("/", 1)[1]: (r.text, r.note) for r in archives.texts(spark, str(tmp_path)).collect()}
+    assert got["a.zip!b.txt"] == ("bee", "") and got["a.zip!p.png"] == ("Author: me\nNote: deep", "")
+    assert got["bad.zip"] == ("", "not_an_archive") and got["a.zip!c.zip!d.zip!e.zip"] == ("", "archive_too_deep")
