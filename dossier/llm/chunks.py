@@ -20,7 +20,7 @@ from ..runtime import ship_package
 from . import textbytes as tb
 from .scratch import stored
 
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def squeeze(a: np.ndarray) -> bytes:

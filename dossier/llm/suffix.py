@@ -44,7 +44,7 @@ LENGTH = 100
 GRAM = 32
 HOT = 20_000
 #: contested spans in a bucket
-BUCKET_SPANS = 6000
+BUCKET_SPANS = 3000
 FIRST_ID = -(1 << 63)
 
 
@@ -87,7 +87,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int
         tail = g[(a[s] + count[s] - 1)[:, None] + np.arange(width)] == v[s, None]
         one = (head.sum(1) == 1) & (tail.sum(1) == 1) & (head.argmax(1) == tail.argmax(1) + count[s] - 1)
         twice[s] |= ~one
-    return a, count, v, span, twice
+    return a, count, tb.mix(v), span, twice  # minima crowd at the low end; mixed, they spread over the shards
 
 
 def _ordered(data, sizes, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -114,7 +114,11 @@ NO_RUNS = _pack_runs(np.zeros(0), np.zeros(0))
 
 
 def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    fields = "shard int, chunk long, keys binary, spans binary, ids binary, at binary, n binary, twice binary, sure binary"
+    """An anchor with one span in a chunk goes to the anchor's shard with its
+    span. One with several sends a pointer there, with their number (weight
+    over 1), and the spans to shards of their own hashes (weight 0): a passage
+    with ever new surroundings is one entry per chunk at its anchor."""
+    fields = "shard int, chunk long, keys binary, spans binary, ids binary, at binary, n binary, twice binary, weight binary, sure binary"
 
     def run(batches):
         for b in batches:
@@ -129,51 +133,63 @@ def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFra
                 mine = int(chunk.as_py())
                 sure = _pack_runs(a[again], n[again])
                 a, n, v, s, t = (x[~again] for x in (a, n, v, s, t))
+                first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
+                several = np.diff(np.append(first, len(v)))
+                own = np.repeat(several > 1, several)
+                v = np.concatenate([np.where(own, tb.mix(v ^ tb.mix(s)), v), v[first[several > 1]]])
+                point = first[several > 1]
+                s = np.concatenate([s, np.zeros(len(point), tb.U)])
+                w = np.concatenate([np.where(own, 0, 1), several[several > 1]])
+                a, n, t = (np.concatenate([x, x[point]]) for x in (a, n, t))
+                order = np.argsort(v, kind="stable")
+                a, n, v, s, t, w = (x[order] for x in (a, n, v, s, t, w))
                 doc = key[np.searchsorted(offs, a, "right") - 1]
                 cuts = chunks.split(v, shards)
                 rows = []
                 for i in range(shards):
                     c = slice(cuts[i], cuts[i + 1])
                     if cuts[i] < cuts[i + 1]:
-                        rows.append((i, mine, v[c].tobytes(), s[c].tobytes(), chunks.squeeze(doc[c].astype("<i8")), chunks.squeeze(a[c].astype("<i4")), chunks.squeeze(n[c].astype("<i4")), chunks.squeeze(t[c]), NO_RUNS))
+                        rows.append((i, mine, v[c].tobytes(), s[c].tobytes(), chunks.squeeze(doc[c].astype("<i8")), chunks.squeeze(a[c].astype("<i4")), chunks.squeeze(n[c].astype("<i4")), chunks.squeeze(t[c]), chunks.squeeze(w[c].astype("<i4")), NO_RUNS))
                 e = chunks.squeeze(np.zeros(0))
-                rows.append((mine % shards, mine, b"", b"", e, e, e, e, sure))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 7]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "chunk", "keys", "spans", "ids", "at", "n", "twice", "sure"])
+                rows.append((mine % shards, mine, b"", b"", e, e, e, e, e, sure))
+                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "chunk", "keys", "spans", "ids", "at", "n", "twice", "weight", "sure"])
 
     return packed.mapInArrow(run, fields)
 
 
 def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard of anchors: spans that stand earlier as a whole (sure), and
-    those to compare window by window (open; hot: of an anchor with many)."""
+    """Of one shard: spans that stand earlier as a whole (sure) and those to
+    compare window by window (open, or hot if their anchor has very many);
+    flags are pointers to anchors of which all open spans are hot."""
     v, s = (np.concatenate([np.frombuffer(x, tb.U) for x in pdf[c]]) for c in ("keys", "spans"))
-    ids, at, n, t = (np.concatenate([chunks.expand(x, k) for x in pdf[c]]) for c, k in (("ids", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", bool)))
+    ids, at, n, t, w = (np.concatenate([chunks.expand(x, k) for x in pdf[c]]) for c, k in (("ids", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", bool), ("weight", "<i4")))
     row = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["keys"]])
     order = np.lexsort((at, pdf["chunk"].to_numpy()[row], ids, s, v))
-    v, s, t = v[order], s[order], t[order]
+    v, s, t, w = v[order], s[order], t[order], w[order]
     new_v = np.ones(len(v), bool)
     new_v[1:] = v[1:] != v[:-1]
     new_s = new_v.copy()
     new_s[1:] |= s[1:] != s[:-1]
+    pointer = w > 1
     first = np.flatnonzero(new_v)
     group = np.cumsum(new_v) - 1
-    several = np.add.reduceat(new_s.astype(np.int64), first) if len(v) else np.zeros(0, np.int64)
-    inner = np.maximum.reduceat(t, first) if len(v) else np.zeros(0, bool)
-    contested = ((several > 1) | inner)[group] & new_s
-    hot = contested & (several > HOT)[group]
+    several = np.add.reduceat(np.where(pointer, w, new_s), first) if len(v) else np.zeros(0, np.int64)
+    inner = np.maximum.reduceat(t | (w == 0), first) if len(v) else np.zeros(0, bool)
+    hot = (several > HOT)[group]
+    contested = ((several > 1) | inner)[group]
     code = np.empty(len(v), np.int8)
-    code[order] = np.where(~new_s, 1, np.where(hot, 3, np.where(contested, 2, 0)))
+    code[order] = np.where(pointer, np.where(hot, 4, 0), np.where(~new_s, 1, np.where(hot, 3, np.where(contested, 2, 0))))
     out = []
     for i in range(len(pdf)):
         mine = slice(*np.searchsorted(row, [i, i + 1]))
         c, a, k = code[mine], at[mine], n[mine]
-        sure, open_, many = (_pack_runs(a[c == x], k[c == x]) for x in (1, 2, 3))
+        sure, open_, many, flags = (_pack_runs(a[c == x], k[c == x]) for x in (1, 2, 3, 4))
         given = _runs(pdf["sure"].iloc[i])
         if len(given[0]):
             sure = _pack_runs(np.concatenate([a[c == 1], given[0]]), np.concatenate([k[c == 1], given[1]]))
-        out.append((pdf["chunk"].iloc[i], sure, open_, many, int((c == 2).sum()), int((c == 3).sum())))
-    return pd.DataFrame(out, columns=["chunk", "sure", "open", "hot", "n_open", "n_hot"])
+        out.append((pdf["chunk"].iloc[i], sure, open_, many, flags, int(((c == 2) | (c == 3)).sum()), int((c == 4).sum())))
+    return pd.DataFrame(out, columns=["chunk", "sure", "open", "hot", "flags", "n_open", "n_flags"])
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -264,8 +280,8 @@ def _ranks(doc: np.ndarray, chunk: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank << 32 | at
 
 
-def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int) -> DataFrame:
-    mine = answers.where("n_open + n_hot > 0").groupBy("chunk").agg(F.collect_list(F.struct("open", "hot")).alias("got"))
+def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    mine = answers.where("n_open + n_flags > 0").groupBy("chunk").agg(F.collect_list(F.struct("open", "hot", "flags")).alias("got"))
 
     def run(batches):
         for b in batches:
@@ -273,44 +289,67 @@ def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int) ->
             for i in range(b.num_rows):
                 raw, offs, key, _ = _ordered(col("data")[i].as_py(), col("sizes")[i].as_py(), col("doc_id")[i].as_py())
                 text = raw.tobytes()
+                runs = {k: [np.concatenate(x) for x in zip(*(_runs(g[k]) for g in col("got")[i].as_py()))] for k in ("open", "hot", "flags")}
+                flagged = np.unique(_anchor_of(raw, *runs["flags"], length, gram)[0])
                 for name in ("open", "hot"):
-                    runs = [_runs(g[name]) for g in col("got")[i].as_py()]
-                    a, n = (np.concatenate(x) for x in zip(*runs))
+                    a, n = runs[name]
                     if not len(a):
                         continue
-                    # the anchor, from the span alone: the smallest hash of its first window
-                    v = _anchor_of(raw, a, length)
+                    v, place = _anchor_of(raw, a, n, length, gram)
+                    hot = np.isin(v, flagged) | (name == "hot")
                     doc = key[np.searchsorted(offs, a, "right") - 1]
                     for s in range(0, len(a), 20_000):
                         c = slice(s, s + 20_000)
                         span = [text[x : x + y + length - 1] for x, y in zip(a[c].tolist(), n[c].tolist())]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array((v[c] % tb.U(buckets)).astype(np.int64)), pa.array([name == "hot"] * len(span)), pa.array(doc[c]), pa.array([col("chunk")[i].as_py()] * len(span), pa.int64()), pa.array(a[c]), pa.array(span, pa.binary())],
-                            names=["bucket", "hot", "doc", "chunk", "at", "span"],
+                            [pa.array((v[c] % tb.U(buckets)).astype(np.int64)), pa.array(hot[c]), pa.array(doc[c]), pa.array([col("chunk")[i].as_py()] * len(span), pa.int64()), pa.array(a[c]), pa.array(place[c]), pa.array(span, pa.binary())],
+                            names=["bucket", "hot", "doc", "chunk", "at", "place", "span"],
                         )
 
-    return stored(packed.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, span binary"), "spans")
-
-
-def _anchor_of(raw: np.ndarray, a: np.ndarray, length: int, gram: int = GRAM) -> np.ndarray:
-    """Bucket key of spans: the smallest gram hash of the first window."""
-    out = np.empty(len(a), tb.U)
-    for s in range(0, len(a), 4096):
-        rows = raw[a[s : s + 4096, None] + np.arange(length)]
-        flat = rows.reshape(-1)
-        h = tb.Hasher(flat)
-        g = tb.mix((h.pre[gram:] - h.pre[:-gram]) * h.inv[: len(flat) + 1 - gram])
-        at = np.arange(len(rows))[:, None] * length + np.arange(length - gram + 1)
-        out[s : s + 4096] = g[at].min(1)
-    return out
+    return stored(packed.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, place long, span binary"), "spans")
+
+
+def _anchor_of(raw: np.ndarray, a: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of spans: the anchor's hash, and its place in the span, or -1 if it stands there more than once."""
+    v, place = np.empty(len(a), tb.U), np.empty(len(a), np.int64)
+    width = 2 * (length - gram) + 1
+    raw = np.concatenate([raw, np.zeros(2 * length, np.uint8)])
+    for s in range(0, len(a), 2048):
+        c = slice(s, s + 2048)
+        rows = raw[a[c, None] + np.arange(width + gram - 1)]
+        h = tb.Hasher(rows.reshape(-1))
+        at = np.arange(len(rows))[:, None] * rows.shape[1] + np.arange(width)
+        g = tb.mix((h.pre[at + gram] - h.pre[at]) * h.inv[at])
+        v[c] = g[:, : length - gram + 1].min(1)
+        same = (g == v[c, None]) & (np.arange(width) < n[c, None] + length - gram)
+        place[c] = np.where((same.sum(1) == 1) & (n[c] <= length - gram + 1), same.argmax(1), -1)
+    return v, place
+
+
+def _may_repeat(spans: list[bytes], place: np.ndarray, length: int, gram: int) -> np.ndarray:
+    """Equal windows share their anchor and at least half of the rest of the
+    window before or after it; spans that share neither with another are settled."""
+    half = (length - gram) // 2
+    data = np.frombuffer(b"".join(spans), np.uint8)
+    sizes = np.array([len(x) for x in spans])
+    begin = np.cumsum(sizes) - sizes
+    h = tb.Hasher(data)
+    keep = place < 0
+    p = begin + place
+    for ok, s, e in ((place >= half, p - half, p + gram), ((place >= 0) & (place + gram + half <= sizes), p, p + gram + half)):
+        at = np.flatnonzero(ok)
+        often, _ = tb.repeated(h(s[at], e[at]))
+        keep[at[often]] = True
+    return keep
 
 
-def _compare(spans: DataFrame, length: int) -> DataFrame:
+def _compare(spans: DataFrame, length: int, gram: int) -> DataFrame:
     """(chunk, at, n): runs of windows of the contested spans that stand earlier."""
 
     def bucket(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[_may_repeat([bytes(x) for x in pdf["span"]], pdf["place"].to_numpy(), length, gram)]
         order = _ranks(pdf["doc"].to_numpy(), pdf["chunk"].to_numpy(), pdf["at"].to_numpy())
-        found = repeated_windows([bytes(x) for x in pdf["span"]], order, length)
+        found = repeated_windows([bytes(x) for x in pdf["span"]], order, length) if len(pdf) else []
         who = np.array([f[0] for f in found], np.int64)
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[who], "at": pdf["at"].to_numpy()[who] + np.array([f[1] for f in found], np.int64), "n": np.array([f[2] for f in found], np.int64)})
 
@@ -322,7 +361,7 @@ def _compare(spans: DataFrame, length: int) -> DataFrame:
                 n = len(s)
                 yield pa.RecordBatch.from_arrays([pa.array(h(s, s + length).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array(at + s)], names=["key", "doc", "chunk", "at"])
 
-    cold = spans.where("not hot").select("bucket", "doc", "chunk", "at", "span").groupBy("bucket").applyInPandas(bucket, "chunk long, at long, n long")
+    cold = spans.where("not hot").select("bucket", "doc", "chunk", "at", "place", "span").groupBy("bucket").applyInPandas(bucket, "chunk long, at long, n long")
     each = spans.where("hot").select("doc", "chunk", "at", "span").mapInArrow(windows, "key long, doc long, chunk long, at long")
     least = each.groupBy("key").agg(F.min(F.struct("doc", "chunk", "at")).alias("least"))
     late = each.join(least, "key").where(F.struct("doc", "chunk", "at") > F.col("least")).select("chunk", "at", F.lit(1).cast("long").alias("n"))
@@ -335,9 +374,9 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     packed = chunks.pack(rows, keep)
     shards = max(1, packed.count())
-    answers = stored(_requests(packed, shards, length, gram).groupBy("shard").applyInPandas(_settle, "chunk long, sure binary, open binary, hot binary, n_open long, n_hot long"), "settled")
+    answers = stored(_requests(packed, shards, length, gram).groupBy("shard").applyInPandas(_settle, "chunk long, sure binary, open binary, hot binary, flags binary, n_open long, n_flags long"), "settled")
     n_open = answers.agg(F.sum("n_open")).first()[0] or 0
-    late = stored(_compare(_spans(packed, answers, -(-n_open // BUCKET_SPANS) or 1, length), length), "late")
+    late = stored(_compare(_spans(packed, answers, -(-n_open // BUCKET_SPANS) or 1, length, gram), length, gram), "late")
     marks = answers.groupBy("chunk").agg(F.collect_list("sure").alias("sure"))
     lists = late.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
 
