@@ -32,7 +32,7 @@ GAMMA = (1 + ERROR) / (1 - ERROR)
 ZERO = -1_000_000
 #: measure: (numerator, denominator, least width above and below the quartiles; None: no fence on that side)
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 0.1, None),
+    "symbols": ("n_symbols", "word_chars", 0.05, None),
     "dup_lines": ("n_dup_lines", "n_lines", 0.4, None),
     "word_length": ("word_chars", "n_words", 4.0, 3.0),
     "repeats": ("n_repeat_words", "n_words", 0.3, None),
