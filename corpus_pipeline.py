@@ -17,7 +17,7 @@ from dossier.llm.scratch import stored
 from dossier.runtime import table
 
 #: a document with more of its words than this in no known language is rejected
-MOST_OTHER = 0.5
+MOST_OTHER = 0.8
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
