@@ -37,56 +37,70 @@ def number_text(c: Column) -> Column:
     return F.regexp_replace(F.trim(c), ",", "")
 
 
-def decimals(value: Column) -> Column:
-    """The numbers of a value: two of a range ``a-b`` or ``a to b``, else the first, else none."""
+_RANGE = rf"(?i)^(?:.*?)({NUMBER})\s*(?:[-–—]|to)\s*({NUMBER})"
+
+
+def first_and_last(value: Column) -> tuple[Column, Column]:
+    """The numbers of a value as text: both of a range ``a-b`` or ``a to b``, else the first one; null where there is none."""
     t = number_text(value)
-    pattern = rf"(?i)({NUMBER})\s*(?:[-–—]|to)\s*({NUMBER})"
-    one = F.regexp_extract(t, f"({NUMBER})", 1)
-    both = F.array(F.regexp_extract(t, pattern, 1), F.regexp_extract(t, pattern, 2))
-    found = F.when(F.regexp_extract(t, pattern, 1) != "", both).when(one != "", F.array(one)).otherwise(F.array().cast("array<string>"))
-    return F.transform(found, lambda x: x.try_cast("decimal(28,10)"))
+    last = F.nullif(F.regexp_extract(t, _RANGE, 2), F.lit(""))
+    return F.when(last.isNotNull(), F.regexp_extract(t, _RANGE, 1)).otherwise(F.nullif(F.regexp_extract(t, f"({NUMBER})", 1), F.lit(""))), last
+
+
+def decimals(value: Column) -> Column:
+    """The same as an array of none, one or two decimals."""
+    return F.transform(F.array_compact(F.array(*first_and_last(value))), lambda x: x.try_cast("decimal(28,10)"))
 
 
 def plain(d: Column) -> Column:
     """A decimal without trailing zeros."""
-    s = d.cast(DECIMAL).cast("string")
-    s = F.when(s.contains("."), F.regexp_replace(F.regexp_replace(s, "0+$", ""), r"\.$", "")).otherwise(s)
-    return F.when(s == "-0", "0").otherwise(s)
+    return F.regexp_replace(d.cast(DECIMAL).cast("string"), r"\.?0+$", "")
+
+
+def _times(number: Column, by: Column, step: Column | None) -> Column:
+    y = (number.try_cast("decimal(28,10)") * by).cast(DECIMAL)
+    return plain(y if step is None else y - y % step)
 
 
-def scaled(numbers: Column, factor: str, cut: bool = False) -> Column:
-    """The numbers times a factor, joined; ``cut`` drops what lies beyond two places."""
+def scaled(value: Column, factor: Column | str, cut: Column | None = None) -> Column:
+    """The numbers of a value times a factor, joined; where ``cut``, without what lies beyond two places."""
+    by = (F.lit(factor) if isinstance(factor, str) else factor).cast("decimal(14,7)")
+    step = None if cut is None else F.when(cut, "0.01").otherwise("0.0000000001").cast("decimal(11,10)")
+    return F.concat_ws("-", *(_times(x, by, step) for x in first_and_last(value)))
 
-    def one(x):
-        y = (x * F.lit(factor).cast("decimal(14,7)")).cast(DECIMAL)
-        if cut:
-            y = F.when(y < 0, F.ceil(y, F.lit(2))).otherwise(F.floor(y, F.lit(2)))
-        return plain(y)
 
-    return F.array_join(F.transform(numbers, one), "-")
+def _pick(key: Column, rows, default) -> Column:
+    out = default
+    for names, value in reversed(rows):
+        out = F.when(key.isin(*names), value).otherwise(out)
+    return out
 
 
-def _result(value: Column, unit: Column, note: tuple[str, str]) -> Column:
-    return F.struct(value.alias("value"), unit.alias("unit"), F.lit(note[0]).alias("note_cn"), F.lit(note[1]).alias("note_en"))
+def _normalized(value: Column, raw: Column, factor: Column, unit: Column, notes: tuple[Column, Column], cut: Column | None) -> Column:
+    """One conversion whatever the unit: only factor, unit and notes depend on it."""
+    some = F.regexp_extract(number_text(value), f"({NUMBER})", 1) != ""
+    return F.struct(
+        F.when(some, scaled(value, factor, cut)).otherwise(F.trim(value)).alias("value"),
+        F.when(some, unit).otherwise(raw).alias("unit"),
+        F.when(some, notes[0]).otherwise(REVIEW[0]).alias("note_cn"),
+        F.when(some, notes[1]).otherwise(REVIEW[1]).alias("note_en"),
+    )
 
 
 def normalize_flow(value: Column, unit: Column) -> Column:
     """Struct (value, unit, note_cn, note_en) in L/h."""
     raw = F.trim(F.coalesce(unit, F.lit("")))
     key = F.regexp_replace(F.regexp_replace(F.lower(raw), "³", "3"), " ", "")
-    n = decimals(value)
-    out = _result(scaled(n, "1"), raw, REVIEW)
-    for factor, names in FLOW.items():
-        out = F.when(key.isin(*names), _result(scaled(n, factor), F.lit("L/h"), NOTHING)).otherwise(out)
-    return F.when(F.size(n) == 0, _result(F.trim(value), raw, REVIEW)).otherwise(out)
+    rows = [(names, factor) for factor, names in FLOW.items()]
+    known = key.isin(*(x for names, _ in rows for x in names))
+    notes = tuple(F.when(known, "").otherwise(REVIEW[i]) for i in (0, 1))
+    return _normalized(value, raw, _pick(key, [(n, F.lit(f)) for n, f in rows], F.lit("1")), F.when(known, "L/h").otherwise(raw), notes, None)
 
 
 def normalize_pressure(value: Column, unit: Column) -> Column:
     """Struct (value, unit, note_cn, note_en) in MPa or bar.g."""
     raw = F.trim(F.coalesce(unit, F.lit("")))
     key = F.regexp_replace(F.lower(raw), r"[ \t._-]+", "")
-    n = decimals(value)
-    out = _result(scaled(n, "1"), raw, REVIEW)
-    for names, factor, to, note, cut in reversed(PRESSURE):
-        out = F.when(key.isin(*names), _result(scaled(n, factor, cut), F.lit(to), note)).otherwise(out)
-    return F.when(F.size(n) == 0, _result(F.trim(value), raw, REVIEW)).otherwise(out)
+    pick = lambda i, default: _pick(key, [(r[0], F.lit(r[i])) for r in PRESSURE], default)
+    notes = tuple(_pick(key, [(r[0], F.lit(r[3][i])) for r in PRESSURE], F.lit(REVIEW[i])) for i in (0, 1))
+    return _normalized(value, raw, pick(1, F.lit("1")), pick(2, raw), notes, pick(4, F.lit(False)))

@@ -20,13 +20,22 @@ UNTAGGED = "无位号泵"
 
 
 def normalised(candidates: DataFrame) -> DataFrame:
-    """Adds field, norm_value, norm_unit and note."""
+    """Adds field, norm_value, norm_unit and note.
+
+    Numbers with units repeat a lot: each distinct (kind, value, unit) is
+    converted once and joined back. Spark broadcasts that side where it is
+    small enough and else splits a frequent value's partition."""
     name = F.col("name")
     field = F.when(name == "material", "wetted_parts_material").when(name.isin(*dims.CARD_FIELDS), name).otherwise("others")
-    c = candidates.withColumn("field", field)
-    as_is = F.struct(text.clean_value(F.col("value")).alias("value"), F.trim(F.coalesce("unit", F.lit(""))).alias("unit"), F.lit("").alias("note_cn"), F.lit("").alias("note_en"))
-    n = F.when(F.col("field").isin(*dims.FLOW_FIELDS), units.normalize_flow(F.col("value"), F.col("unit"))).when(F.col("field").isin(*dims.PRESSURE_FIELDS), units.normalize_pressure(F.col("value"), F.col("unit"))).otherwise(as_is)
-    return c.withColumn("n", n).select(*c.columns, F.col("n.value").alias("norm_value"), F.col("n.unit").alias("norm_unit"), F.col("n.note_en").alias("note")).where("norm_value <> ''")
+    kind = F.when(F.col("field").isin(*dims.FLOW_FIELDS), "flow").when(F.col("field").isin(*dims.PRESSURE_FIELDS), "pressure")
+    c = candidates.where(text.clean_value(F.col("value")) != "").withColumn("field", field)
+    c = c.withColumn("_kind", kind).withColumn("_unit", F.trim(F.coalesce("unit", F.lit(""))))
+    numbers = c.where(F.col("_kind").isNotNull()).select("_kind", "value", "_unit").distinct()
+    flow = numbers.where("_kind = 'flow'").withColumn("n", units.normalize_flow(F.col("value"), F.col("_unit")))
+    pressure = numbers.where("_kind = 'pressure'").withColumn("n", units.normalize_pressure(F.col("value"), F.col("_unit")))
+    done = flow.unionByName(pressure).select("_kind", "value", "_unit", "n.value", "n.unit", "n.note_en").toDF("_kind", "value", "_unit", "_v", "_u", "_n")
+    out = c.join(done, ["_kind", "value", "_unit"], "left")
+    return out.select(*candidates.columns, "field", F.coalesce("_v", text.clean_value(F.col("value"))).alias("norm_value"), F.coalesce("_u", "_unit").alias("norm_unit"), F.coalesce("_n", F.lit("")).alias("note"))
 
 
 def card_key(candidates: DataFrame) -> DataFrame:

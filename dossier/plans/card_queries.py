@@ -23,8 +23,7 @@ def unit_pressure(spark, d):
 def decimal_range(spark, d):
     li = table(spark, d, "lineitem")
     v = F.concat(F.col("l_quantity").cast("long").cast("string"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit(".50 to "), F.col("l_linenumber").cast("string"), F.lit(",000"))).otherwise(F.lit(".0 m")))
-    n = units.decimals(F.col("v"))
-    return li.select(v.alias("v")).groupBy("v").agg(F.count("*").alias("n_rows")).select("v", "n_rows", F.size(n).cast("long").alias("n_numbers"), units.scaled(n, "1").alias("shown"))
+    return li.select(v.alias("v")).groupBy("v").agg(F.count("*").alias("n_rows")).select("v", "n_rows", F.size(units.decimals(F.col("v"))).cast("long").alias("n_numbers"), units.scaled(F.col("v"), "1").alias("shown"))
 
 
 def _normal(spark, d):
