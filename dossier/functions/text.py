@@ -138,16 +138,19 @@ def page_list(spec: Column, pages: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(parts, expand)), lambda x: x >= 1)))
 
 
+#: codes, numbers with units, standards, addresses
+PROTECTED = (
+    r"([A-Z]+[0-9]*(?:-[A-Z0-9]+)+)",
+    r"([0-9]+(?:\.[0-9]+)? ?(?:mm|cm|m3/h|L/h|bar|MPa|kPa|kW|rpm|Hz|V))",
+    r"((?:API|ISO|ASTM|ASME|DIN|EN|GB) ?[0-9]+)",
+    r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
+    r"(https?://[^ \t\r\n]+)",
+)
+
+
 def protected_tokens(c: Column) -> Column:
-    """Distinct tokens that a translation must keep: codes, numbers with units, standards, addresses."""
-    families = (
-        r"([A-Z]+[0-9]*(?:-[A-Z0-9]+)+)",
-        r"([0-9]+(?:\.[0-9]+)? ?(?:mm|cm|m3/h|L/h|bar|MPa|kPa|kW|rpm|Hz|V))",
-        r"((?:API|ISO|ASTM|ASME|DIN|EN|GB) ?[0-9]+)",
-        r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})",
-        r"(https?://[^ \t\r\n]+)",
-    )
-    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), 1) for p in families))))
+    """Distinct tokens that a translation must keep."""
+    return F.array_distinct(F.flatten(F.array(*(F.regexp_extract_all(c, F.lit(p), 1) for p in PROTECTED))))
 
 
 def needs_translation(c: Column) -> Column:

@@ -238,6 +238,7 @@ ORACLE_SQL = {
         SELECT p.page_id, coalesce(i.n, f.n)::BIGINT AS material, CASE WHEN i.n IS NOT NULL THEN 'item' WHEN f.n IS NOT NULL THEN 'next_page' ELSE 'none' END AS matched_by FROM p LEFT JOIN i ON i.item = p.item LEFT JOIN f ON f.file = p.file AND f.page = p.page + 1""",
     "asof_events": """WITH k AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS i FROM (SELECT DISTINCT event_type FROM events)), l AS (SELECT e.* FROM events e JOIN k ON k.event_type = e.event_type AND i = 1), r AS (SELECT user_id, ts, max(event_id) AS before_id FROM events e JOIN k ON k.event_type = e.event_type AND i = 2 GROUP BY user_id, ts)
         SELECT l.event_id, l.user_id, r.before_id FROM l ASOF LEFT JOIN r ON l.user_id = r.user_id AND l.ts >= r.ts""",
+    "protected_terms": "SELECT doc_id, array_to_string(list_sort(list_distinct(flatten([" + ", ".join(f"regexp_extract_all(text, '{p}', 1)" for p in text.PROTECTED) + "]))), chr(10)) AS tokens FROM documents",
     "translation_routing": """SELECT conv_id, turn, regexp_matches(trim(text), '[A-Za-z]') AND NOT regexp_matches(trim(text), '[\\x{4e00}-\\x{9fff}]') AND length(trim(text)) > 2 AND NOT regexp_matches(trim(text), '^[A-Z0-9][A-Z0-9 ./_-]*$') AS needs_translation,
         len(regexp_extract_all(text, '[A-Za-z]+')) >= 7 OR regexp_matches(lower(text), '(^|[^a-z])(shall|must|should|will|is|are|be|provide|include)([^a-z]|$)') AS clause FROM conversations""",
     "labelled_values": "SELECT p_partkey, trim(p_type) AS pump_type, p_size || ' m3/h' AS capacity FROM part",
