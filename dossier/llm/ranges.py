@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
 
 
-def shards(df: DataFrame, key: str, size, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``, rising with ``key``, so that a shard has about
-    ``shard_bytes`` of the column expression ``size``; and the number of
-    shards. The cuts come from an exact histogram of at most ``BINS`` equal
+def shards(df: DataFrame, key: str, size: Column, shard_bytes: int) -> tuple[Column, int]:
+    """An expression over ``key`` for the shard, rising with the key, so that a
+    shard has about ``shard_bytes`` of ``size``; and the number of shards. The cuts come from an exact histogram of at most ``BINS`` equal
     ranges of the key, so the same rows always get the same shards. Null keys
     come first."""
     k = F.col(key).cast("double")
@@ -24,4 +23,4 @@ def shards(df: DataFrame, key: str, size, shard_bytes: int) -> tuple[DataFrame,
             at, held = at + 1, 0
         held += n or 0
         shard_of[b] = at
-    return df.withColumn("shard", F.get(F.lit(shard_of), bin_)), at + 1
+    return F.get(F.lit(shard_of), bin_), at + 1

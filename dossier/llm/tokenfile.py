@@ -76,8 +76,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Fals
     ship_package(spark)
     base = base or new_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    dealt, n = ranges.shards(rows, "doc_id", F.octet_length("text") + 1, shard_bytes)
-    dealt = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "text").select("doc_id", "shard", "text")
+    shard, n = ranges.shards(rows, "doc_id", F.octet_length("text") + 1, shard_bytes)
+    dealt = rows.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "text").select("doc_id", "shard", "text")
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("places", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches):

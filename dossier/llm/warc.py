@@ -68,15 +68,19 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
     ship_package(spark)
     base = base or new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    sha = F.sha1(F.col("html").cast("binary"))
-    owners = rows.groupBy(sha.alias("sha")).agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt, n = ranges.shards(rows, "page_id", F.octet_length("html"), shard_bytes)
-    dealt = dealt.withColumn("sha", sha).join(owners, "sha", "left").select("shard", "page_id", "url", "html", "owner")
-    dealt = dealt.repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    # who revisits whom, by digests alone; these few columns go to the shards as
+    # rows of their own, each just before its page, so payloads move once
+    digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"))
+    owners = digests.groupBy("sha").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = digests.join(owners, "sha").where("owner is not null and not (owner <=> page_id)").select("page_id", "sha", "owner").distinct()
+    shard, n = ranges.shards(rows, "page_id", F.octet_length("html"), shard_bytes)
+    every = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("owner")).union(revisits.select("page_id", "sha", F.lit(None).cast("string"), "owner"))
+    dealt = every.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", F.col("owner").asc_nulls_last(), "url", "html").select("shard", "page_id", "url", "html", "owner")
 
     def run(batches):
         out = crc = shard = None
         seq = records = 0
+        told, of = {}, None
 
         def close():
             out.commit()
@@ -84,6 +88,11 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
 
         for b in batches:
             for s, i, url, html, owner in zip(*(c.to_pylist() for c in b.columns)):
+                if (s, i) != of:
+                    told, of = {}, (s, i)
+                if html is None:  # the digest of a payload of this id, and what it revisits
+                    told[url] = owner
+                    continue
                 if out is not None and (s != shard or out.bytes >= roll_bytes):
                     yield close()
                     out, seq = None, seq + 1 if s == shard else 0
@@ -93,7 +102,8 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
                     first = _member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:x-file:{out.name}>"), ("WARC-Date", DATE), ("WARC-Filename", out.name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
                     out.write(first)
                     crc.update(first)
-                data = _record(i, url, html.encode("utf-8", "surrogatepass"), owner)
+                payload = html.encode()
+                data = _record(i, url, payload, told.get(hashlib.sha1(payload).hexdigest()) if told else None)
                 out.write(data)
                 crc.update(data)
                 records += 1

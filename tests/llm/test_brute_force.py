@@ -350,7 +350,7 @@ def test_encoder_cuts_as_the_tokenizer():
                 assert ids[at[k] : at[k + 1]].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids, repr(t)
 
 
-PAGES = [(1, "http://a/\n", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "u", ""), (5, "http://c", "x" * 70000), (6, "http://c", "x" * 70000), (7, "d", "solo"), (None, "e", "solo"), (None, "f", "own"), (9, "g", "q"), (9, "g", "q")]
+PAGES = [(1, "http://a/\n", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "http://b", None), (4, "u", ""), (5, "http://c", "x" * 70000), (6, "http://c", "x" * 70000), (7, "d", "solo"), (None, "e", "solo"), (None, "f", "own"), (9, "g", "q"), (9, "g", "q"), (9, "g", "x" * 70000), (0, "zero", "only zero"), (12, "z", "only zero")]
 
 
 def test_warc(spark):
