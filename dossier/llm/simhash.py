@@ -130,7 +130,8 @@ def near_duplicates(docs: DataFrame, size: int = 3, dense: int = 64) -> DataFram
     each = stored(f.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
     comp = stored(connected_components(links(each.select("fp"), dense=dense)), "components")
     least = comp.join(each, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("component_id"))
-    named = each.join(comp, F.col("fp") == F.col("node"), "left").join(least, "component", "left")
+    linked = comp.join(least, "component").select("node", "component_id")
+    named = each.join(linked, F.col("fp") == F.col("node"), "left")
     named = named.select(F.col("fp").alias("of"), F.coalesce("component_id", "low").alias("component_id"))
     out = f.join(named, F.col("fp") == F.col("of"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
