@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ..runtime import table
 from . import decontam, langid, lm, packing, quality, simhash, suffix, tokenfile, urlfilter, warc
@@ -105,7 +104,6 @@ def _op1_sql() -> str:
 
 
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_FOLD = "crc32"
 
 
 def _op3_sql() -> str:

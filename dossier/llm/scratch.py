@@ -8,30 +8,26 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def root(spark: SparkSession) -> str:
+_OWN: dict[str, str] = {}
+
+
+def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only where a session has none,
     as in tests, a temporary one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="dossier-shared-")
-        spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        spark.sparkContext.setCheckpointDir(found)
-        _OWN[spark.sparkContext.applicationId] = found
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="dossier-shared-")
+        found = _OWN[app]
     return found.rstrip("/")
 
 
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    return _OWN.get(spark.sparkContext.applicationId) or root(spark)
-
-
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one run; with a scheme, so that tasks and driver agree."""
     base = shared_root(spark)
-    if "://" not in base and not base.startswith("file:"):
-        base = "file://" + base
+    if "://" not in base:
+        base = "file://" + base.removeprefix("file:")
     return f"{base}/dossier-{label}-{uuid.uuid4().hex}"
 
 
