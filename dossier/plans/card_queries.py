@@ -10,14 +10,18 @@ from ..runtime import table
 from .candidates import FLOW_UNITS, PRESSURE_UNITS, candidates, line_candidates
 
 
+def _converted(c, convert):
+    """Distinct values with their counts, then one conversion each."""
+    n = c.groupBy("value", "unit").agg(F.count("*").alias("n_rows")).withColumn("n", convert(F.col("value"), F.col("unit")))
+    return n.select("value", "unit", F.col("n.value").alias("norm_value"), F.col("n.unit").alias("norm_unit"), F.col("n.note_en").alias("note"), "n_rows")
+
+
 def unit_flow(spark, d):
-    c = line_candidates(spark, d).where("name = 'process_capacity'")
-    return c.withColumn("n", units.normalize_flow(F.col("value"), F.col("unit"))).groupBy("value", "unit", F.col("n.value").alias("norm_value"), F.col("n.unit").alias("norm_unit"), F.col("n.note_en").alias("note")).agg(F.count("*").alias("n_rows"))
+    return _converted(line_candidates(spark, d).where("name = 'process_capacity'"), units.normalize_flow)
 
 
 def unit_pressure(spark, d):
-    c = line_candidates(spark, d).where("name = 'suction_pressure'")
-    return c.withColumn("n", units.normalize_pressure(F.col("value"), F.col("unit"))).groupBy("value", "unit", F.col("n.value").alias("norm_value"), F.col("n.unit").alias("norm_unit"), F.col("n.note_en").alias("note")).agg(F.count("*").alias("n_rows"))
+    return _converted(line_candidates(spark, d).where("name = 'suction_pressure'"), units.normalize_pressure)
 
 
 def decimal_range(spark, d):
