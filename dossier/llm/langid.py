@@ -160,10 +160,12 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
     spark = docs.sparkSession
     ship_package(spark)
     model = spark.sparkContext.broadcast(logp)  # BUCKETS numbers a language
-    kept = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    others = [c for c in keep if c != "text"]
+    kept = docs.select(*others, F.col("text").cast("string").alias("text"))
+    sent = kept.columns if "text" in keep else others
 
     def run(batches):
-        for b, data, offs in tb.pieces(batches, "_text"):
+        for b, data, offs in tb.pieces(batches, "text"):
             name, score, sets, other = ["und"] * b.num_rows, np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], np.zeros(b.num_rows)
             bucket, doc, first = trigrams(data, offs)
             if len(bucket) and langs:
@@ -176,12 +178,13 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
                     name[i] = langs[k]
                     sets[i] = [{"lang": langs[j], "share": x} for j, x in enumerate(s) if x > 0]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in range(len(keep))), pa.array(name, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))), pa.array(other)],
-                names=[*keep, "lang_pred", "score", "languages", "other_share"],
+                [*(b.column(i) for i in range(len(sent))), pa.array(name, pa.string()), pa.array(score), pa.array(sets, pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))), pa.array(other)],
+                names=[*sent, "lang_pred", "score", "languages", "other_share"],
             )
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<struct<lang: string, share: double>>, other_share double")
+    found = ["lang_pred", "score", "languages", "other_share"]
+    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in sent)
+    return kept.mapInArrow(run, f"{fields}, lang_pred string, score double, languages array<struct<lang: string, share: double>>, other_share double").select(*keep, *found)
 
 
 def identify(docs: DataFrame, folds: int = 5, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

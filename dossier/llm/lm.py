@@ -95,6 +95,8 @@ def _requests(packed: DataFrame, shards: int) -> DataFrame:
                     cols.append(pa.array([keys[at[i] : at[i + 1]].tobytes() for i in ones], pa.binary()))
                     cols.append(pa.array([chunks.squeeze(n[at[i] : at[i + 1]].astype("<u4")) for i in ones], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=["shard", "chunk", "uni", "uni_n", "bi", "bi_n"])
+                del cols, out, tok, before, doc
+                tb.release()
 
     return packed.select("chunk", "data", "sizes", "held").mapInArrow(run, "shard int, chunk long, uni binary, uni_n binary, bi binary, bi_n binary")
 
@@ -120,6 +122,7 @@ def _answers(requests: DataFrame) -> DataFrame:
             if kind == "uni":
                 once = np.arange(len(pdf)) == 0
                 out["words"], out["tokens"] = once * int((total > 0).sum()), once * int(total.sum())
+        tb.release()
         return pd.DataFrame(out)
 
     return requests.groupBy("shard").applyInPandas(count, "shard int, chunk long, uni binary, uni_wide boolean, words long, tokens long, bi binary, bi_wide boolean")
@@ -160,6 +163,8 @@ def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, k: float = K, kee
                 add = lambda x: np.add.reduceat(x, starts)
                 out = [tb.per_doc(doc, n), add((c > 0).astype(np.int64)), np.full(n, total), np.round(add(np.log10(base)), 6), np.round(add(np.log10(arc)), 6)]
                 yield pa.RecordBatch.from_arrays([*(col(x)[i].values for x in (*keep, "held")), *map(pa.array, out)], names=[*keep, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                del tok, before, doc, got, seen, pairs
+                tb.release()
 
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     return packed.join(mine, "chunk").select(*keep, "held", "data", "sizes", "got").mapInArrow(run, f"{fields}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

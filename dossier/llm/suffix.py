@@ -154,6 +154,8 @@ def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFra
                 rows.append((mine % shards, mine, b"", b"", e, e, e, e, e, sure))
                 kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "chunk", "keys", "spans", "ids", "at", "n", "twice", "weight", "sure"])
+                del parts, rows, raw, a, n, v, s, t, w
+                tb.release()
 
     return packed.mapInArrow(run, fields)
 
@@ -189,6 +191,7 @@ def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(given[0]):
             sure = _pack_runs(np.concatenate([a[c == 1], given[0]]), np.concatenate([k[c == 1], given[1]]))
         out.append((pdf["chunk"].iloc[i], sure, open_, many, flags, int(((c == 2) | (c == 3)).sum()), int((c == 4).sum())))
+    tb.release()
     return pd.DataFrame(out, columns=["chunk", "sure", "open", "hot", "flags", "n_open", "n_flags"])
 
 
@@ -350,6 +353,7 @@ def _compare(spans: DataFrame, length: int, gram: int) -> DataFrame:
         pdf = pdf[_may_repeat([bytes(x) for x in pdf["span"]], pdf["place"].to_numpy(), length, gram)]
         order = _ranks(pdf["doc"].to_numpy(), pdf["chunk"].to_numpy(), pdf["at"].to_numpy())
         found = repeated_windows([bytes(x) for x in pdf["span"]], order, length) if len(pdf) else []
+        tb.release()
         who = np.array([f[0] for f in found], np.int64)
         return pd.DataFrame({"chunk": pdf["chunk"].to_numpy()[who], "at": pdf["at"].to_numpy()[who] + np.array([f[1] for f in found], np.int64), "n": np.array([f[2] for f in found], np.int64)})
 
@@ -402,6 +406,8 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
                 cols = list(zip(*out)) or [()] * 5
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([*kept, *(pa.array(c, k) for c, k in zip(cols, kinds))], names=[*keep, "n_bytes", "n_removed", "n_spans", "kept_sha256", "text"])
+                del raw, out, cols, gone, edge
+                tb.release()
 
     joined = packed.join(marks, "chunk", "left").join(lists, "chunk", "left")
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)

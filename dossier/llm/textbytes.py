@@ -7,6 +7,7 @@ sums over a table of random byte values, so that any range costs O(1).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,20 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # not the GNU C library
+    _trim = None
+
+
+def release() -> None:
+    """Gives freed memory back: Python workers outlive their tasks, and an
+    executor keeps several."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -47,6 +62,8 @@ def pieces(batches, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.Recor
             to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
             yield b.slice(at, to - at), data[offs[at] : offs[to]], offs[at : to + 1] - offs[at]
             at = to
+        del b, data
+        release()
 
 
 def mix(h: np.ndarray) -> np.ndarray:
