@@ -29,9 +29,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps, of each group of near copies, the document with the smallest id."""
     groups = simhash.near_duplicates(docs)
-    stays = stored(groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n")), "stays")
-    kept = docs.join(stays.select(F.col("doc_id").alias("d")), F.col("doc_id").eqNullSafe(F.col("d")), "left_semi")
-    if not stays.where("n > 1").isEmpty():  # rows that repeat an id
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = stored(groups.groupBy("doc_id").agg(F.max(first).alias("stays"), F.count("*").alias("n")), "ids")
+    # written, so that Spark knows their size and moves texts only if it must
+    gone = stored(ids.where("not stays").select(F.col("doc_id").alias("d")), "gone")
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    if not ids.where("stays and n > 1").isEmpty():  # rows that repeat an id
         kept = kept.dropDuplicates(["doc_id"])
     return kept.select(docs.columns)
 
@@ -46,7 +49,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a benchmark passage."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = found.where("contaminated").select(F.col("doc_id").alias("d")).distinct()
+    hit = stored(found.where("contaminated").select(F.col("doc_id").alias("d")).distinct(), "hit")
     return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
 
 
