@@ -331,18 +331,28 @@ def _anchor_of(raw: np.ndarray, a: np.ndarray, n: np.ndarray, length: int, gram:
 
 def _may_repeat(spans: list[bytes], place: np.ndarray, length: int, gram: int) -> np.ndarray:
     """Equal windows share their anchor and at least half of the rest of the
-    window before or after it; spans that share neither with another are settled."""
+    window before or after it; spans that share neither with another are settled.
+    A span in which the anchor stands more than once is never settled, and every
+    stand of it counts for the others."""
     half = (length - gram) // 2
     data = np.frombuffer(b"".join(spans), np.uint8)
-    sizes = np.array([len(x) for x in spans])
+    sizes = np.array([len(x) for x in spans], np.int64)
     begin = np.cumsum(sizes) - sizes
     h = tb.Hasher(data)
     keep = place < 0
-    p = begin + place
-    for ok, s, e in ((place >= half, p - half, p + gram), ((place >= 0) & (place + gram + half <= sizes), p, p + gram + half)):
-        at = np.flatnonzero(ok)
-        often, _ = tb.repeated(h(s[at], e[at]))
-        keep[at[often]] = True
+    one, many = np.flatnonzero(~keep), np.flatnonzero(keep)
+    m = sizes[many] - gram + 1
+    first = np.cumsum(m) - m
+    at = np.repeat(begin[many] - first, m) + np.arange(m.sum())
+    g = tb.mix((h.pre[at + gram] - h.pre[at]) * h.inv[at])
+    v = g[first[:, None] + np.arange(length - gram + 1)].min(1)
+    stands = g == np.repeat(v, m)
+    who = np.concatenate([one, np.repeat(many, m)[stands]])
+    p = np.concatenate([begin[one] + place[one], at[stands]])
+    b, e = begin[who], begin[who] + sizes[who]
+    for ok, s, t in ((p - half >= b, p - half, p + gram), (p + gram + half <= e, p, p + gram + half)):
+        often, _ = tb.repeated(h(s[ok], t[ok]))
+        keep[who[ok][often]] = True
     return keep
 
 

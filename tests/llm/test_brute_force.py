@@ -246,6 +246,19 @@ def test_suffix(docs, empty, hot, monkeypatch):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_suffix_anchor_stands_twice(spark):
+    r = random.Random(5)
+    make = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
+    texts = []
+    for k in range(40):
+        p, line, q = make(70), make(36 + k % 30), make(100)
+        pair = [p + line + line, p + line + q]
+        texts += pair if k % 2 else pair[::-1]
+    want = brute_removed({i: raw(t) for i, t in enumerate(texts)}, 100)
+    got = rows_of(suffix.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)))
+    assert any(map(sum, want.values())) and {i: r.n_removed for i, r in got.items()} == {i: sum(g) for i, g in want.items()}
+
+
 def test_merge_of_shard_transforms():
     import numpy as np
 
