@@ -27,15 +27,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps, of each group of near copies, the document with the smallest id."""
-    groups = simhash.near_duplicates(docs)
-    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
-    ids = stored(groups.groupBy("doc_id").agg(F.max(first).alias("stays"), F.count("*").alias("n")), "ids")
-    # written, so that Spark knows their size and moves texts only if it must
-    gone = stored(ids.where("not stays").select(F.col("doc_id").alias("d")), "gone")
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
-    if not ids.where("stays and n > 1").isEmpty():  # rows that repeat an id
-        kept = kept.dropDuplicates(["doc_id"])
+    """Keeps one row of each group of near copies: that with the smallest id,
+    null last, and of equal ids that with the smallest hash over its columns.
+    Rows are known by id and hash: other texts under a null or repeated id stay."""
+    # the hash passes over nulls; which columns are null is hashed too
+    row = F.xxhash64(*docs.columns, *(F.isnull(c) for c in docs.columns))
+    found = simhash.first_copies(docs.withColumn("row_hash", row), "row_hash")
+    rows = stored(found.groupBy("doc_id", "row_hash").agg(F.max("first").alias("stays"), F.count("*").alias("n")), "rows")
+    # written, so that Spark knows their size and moves texts only if it must; ids of which no row stays need no hash
+    gone = stored(rows.where("doc_id is not null").groupBy("doc_id").agg(F.max("stays").alias("stays")).where("not stays").select(F.col("doc_id").alias("d")), "gone")
+    named = rows.where("not stays and doc_id is not null").join(gone, F.col("doc_id") == F.col("d"), "left_anti")
+    some = stored(named.union(rows.where("not stays and doc_id is null")).select(F.col("doc_id").alias("d"), F.col("row_hash").alias("h")), "gone-rows")
+    kept = docs.join(gone, F.col("doc_id") == F.col("d"), "left_anti")
+    if not some.isEmpty():
+        kept = kept.join(some, F.col("doc_id").eqNullSafe(F.col("d")) & (row == F.col("h")), "left_anti")
+    if not rows.where("stays and n > 1").isEmpty():  # equal rows
+        kept = kept.withColumn("row_hash", row).dropDuplicates(["doc_id", "row_hash"])
     return kept.select(docs.columns)
 
 
@@ -47,10 +54,10 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a benchmark passage."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"))
-    hit = stored(found.where("contaminated").select(F.col("doc_id").alias("d")).distinct(), "hit")
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d")), "left_anti")
+    """Drops documents with a benchmark passage, known by id and hash of the text."""
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), with_hash=True)
+    hit = stored(found.where("contaminated").select(F.col("doc_id").alias("d"), F.col("th").alias("h")).distinct(), "hit")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64(F.col("text").cast("string")) == F.col("h")), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,8 +66,9 @@ def _windows(items: DataFrame) -> DataFrame:
     )
 
 
-def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items (sorted ids), contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, with_hash: bool = False) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items (sorted ids), contaminated,
+    and with ``with_hash`` th, the ``xxhash64`` of its text."""
     given = stored(items.select(F.col("item_id").cast("string").alias("item_id"), words_of(F.col("text").cast("string")).alias("w")), "items")
     windows = stored(_windows(given), "windows")
     n_windows = windows.count()
@@ -110,6 +111,7 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.col("items"), F.array().cast("array<string>")).alias("items"),
         (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
+        *(["th"] if with_hash else []),
     )
 
 

@@ -75,18 +75,19 @@ def fingerprint(text: bytes, size: int) -> int:
     return sum(1 << i for i in range(64) if 2 * bits[i] > len(h))
 
 
-def fingerprints(docs: DataFrame, size: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of each whole text as a signed 64-bit number."""
+def fingerprints(docs: DataFrame, size: int = 3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and fp: the fingerprint of each whole text as a signed 64-bit number."""
     ship_package(docs.sparkSession)
-    kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    kept = docs.select(*keep, F.col("text").cast("string").alias("text"))
 
     def run(batches):
         for b, data, offs in tb.pieces(batches, "text"):
             raw, o = data.tobytes(), offs.tolist()
             fps = [_signed(fingerprint(raw[s:e], size)) for s, e in zip(o, o[1:])]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(fps, pa.int64())], names=[*keep, "fp"])
 
-    return kept.mapInArrow(run, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, fp bigint")
+    fields = ", ".join(f"`{c}` {kept.schema[c].dataType.simpleString()}" for c in keep)
+    return kept.mapInArrow(run, f"{fields}, fp bigint")
 
 
 def _embedded(fps: DataFrame) -> DataFrame:
@@ -135,3 +136,18 @@ def near_duplicates(docs: DataFrame, size: int = 3, dense: int = 64) -> DataFram
     named = named.select(F.col("fp").alias("of"), F.coalesce("component_id", "low").alias("component_id"))
     out = f.join(named, F.col("fp") == F.col("of"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+
+
+def first_copies(docs: DataFrame, tie: str, size: int = 3, dense: int = 64) -> DataFrame:
+    """(doc_id, ``tie``, first) for each row of ``docs``: whether it has the
+    smallest id of its component, null ids last, and of equal ids the smallest
+    ``tie``. Each component has one such row, or several equal in both."""
+    place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col(tie))
+    f = stored(fingerprints(docs, size, ("doc_id", tie)), "fingerprints")
+    each = stored(f.groupBy("fp").agg(F.min(place).alias("low")), "distinct")
+    comp = stored(connected_components(links(each.select("fp"), dense=dense)), "components")
+    least = comp.join(each, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("least"))
+    linked = comp.join(least, "component").select("node", "least")
+    named = each.join(linked, F.col("fp") == F.col("node"), "left")
+    named = named.select(F.col("fp").alias("of"), F.coalesce("least", "low").alias("least"))
+    return f.join(named, F.col("fp") == F.col("of")).select("doc_id", tie, place.eqNullSafe(F.col("least")).alias("first"))

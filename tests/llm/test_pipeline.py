@@ -80,3 +80,25 @@ def test_repeated_rows(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").where("doc_id < 6")
     kept = corpus_pipeline.near_dedup(spark, docs.union(docs), folder)
     assert sorted(r.doc_id for r in kept.collect()) == list(range(6))
+
+
+def test_null_and_repeated_ids(spark, folder):
+    r = random.Random(3)
+    say = lambda n: " ".join(r.choice(WORDS["en"]) + str(r.randint(0, 400)) for _ in range(n))
+    a, b, c, d, e = (say(60) for _ in range(5))
+    rows = [(None, a), (None, b), (7, c), (7, d), (8, e), (None, e), (None, a), (9, c), (3, d + " "), (3, d)]
+    # c stays under 7; of d's copies the smallest id is 3, with two texts: one stays
+    want = {(None, a), (None, b), (7, c), (8, e)}
+    seen = set()
+    for given in (rows, rows[::-1]):
+        docs = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in given], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        kept = [(x.doc_id, x.text) for x in corpus_pipeline.near_dedup(spark, docs, folder).collect()]
+        assert len(kept) == len(set(kept)) == 5 and want < set(kept) and {(i, t.strip()) for i, t in set(kept) - want} == {(3, d)}
+        seen.add(frozenset(kept))
+    assert len(seen) == 1
+
+    (_, item), _ = corpus()[1]
+    rows = [(None, a), (None, b + " " + item), (7, c), (7, item + " " + d), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {(x.doc_id, x.text) for x in corpus_pipeline.decontaminate(spark, docs, folder).collect()}
+    assert kept == {(None, a), (7, c), (None, None)}
