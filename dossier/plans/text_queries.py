@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
@@ -125,19 +126,33 @@ def evidence_verify(spark, d):
 
 
 def best_translation(spark, d):
-    """For each benchmark item the conversation turn of its remainder with the best score."""
-    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("k"), F.length("text").alias("n"))
-    c = table(spark, d, "conversations").where("turn <= 1").select((F.col("conv_id") % 20).alias("k"), "conv_id", "turn", F.length("text").alias("m"))
-    score = F.lit(2) + F.when(F.col("m") % 7 == F.col("n") % 7, 6).otherwise(0) + F.when(F.col("m") > F.col("n"), 4).otherwise(0)
-    return evidence.best_match(b, c, ["k"], score, ["conv_id", "turn"], 6).select("item_id", F.col("score").cast("long").alias("score"), "conv_id", "turn")
+    """For each benchmark item the conversation turn of its remainder with the
+    best score. The score hangs on the lengths alone, so both sides are reduced
+    to one row per remainder and length; running minima over longer turns then
+    give the first turn of each score, and no pairs arise."""
+    k = lambda c: (F.col(c) % 20).alias("k")
+    b = table(spark, d, "benchmark").select("item_id", k("item_id"), F.length("text").alias("n")).where("k is not null and n is not null")
+    c = table(spark, d, "conversations").select(k("conv_id"), F.length("text").alias("n"), F.struct("conv_id", "turn").alias("t")).where("k is not null and n is not null")
+    lengths = c.unionByName(b.select("k", "n"), allowMissingColumns=True).groupBy("k", "n").agg(F.min("t").alias("t"))
+    same = Window.partitionBy("k", F.col("n") % 7)
+    longer = lambda w: w.orderBy(F.desc("n")).rangeBetween(Window.unboundedPreceding, -1)
+    scored = lengths.select("k", "n", *(F.min("t").over(w).alias(f"s{x}") for x, w in ((12, longer(same)), (8, same), (6, longer(Window.partitionBy("k"))))))
+    best = F.coalesce(*(F.when(F.col(f"s{x}").isNotNull(), F.struct(F.lit(x).cast("long").alias("score"), f"s{x}.conv_id", f"s{x}.turn")) for x in (12, 8, 6)))
+    found = scored.select("k", "n", best.alias("b")).where("b is not null")
+    return b.join(found, ["k", "n"]).select("item_id", "b.score", "b.conv_id", "b.turn")
 
 
 def first_match(spark, d):
-    """Labelled documents with the first document of the same source and length class."""
+    """Labelled documents with the first document of the same source and length
+    class: the smallest id there, or for that document the second smallest."""
     docs = table(spark, d, "documents").select("doc_id", "source", (F.col("n_chars") % 40).alias("k"))
     lab = table(spark, d, "labels").where("toxic = 1").join(docs, "doc_id").select("doc_id", "source", "k")
-    other = docs.withColumnRenamed("doc_id", "other_id")
-    return evidence.first_match(lab, other, ["source", "k"], ["other_id"], ["other_id"], F.col("other_id") != F.col("doc_id")).select("doc_id", "other_id")
+    least = docs.groupBy("source", "k").agg(F.min("doc_id").alias("low"))
+    rest = docs.join(least.withColumnRenamed("low", "doc_id"), ["source", "k", "doc_id"], "left_anti")
+    second = rest.groupBy("source", "k").agg(F.min("doc_id").alias("second"))
+    met = lab.join(least.join(second, ["source", "k"], "left"), ["source", "k"], "left")
+    other = F.when(F.col("low") != F.col("doc_id"), F.col("low")).otherwise(F.col("second"))
+    return met.groupBy("doc_id").agg(F.min(other).alias("other_id"))
 
 
 def orphan_segments(spark, d):

@@ -1,5 +1,7 @@
 """Text queries over small tables that hold what the driver tables lack."""
 
+import random
+
 from dossier.plans import text_queries as Q
 
 
@@ -16,3 +18,30 @@ def test_doc_language_sees_the_whole_text(spark, tmp_path):
     texts = {1: "a" * 5000 + "я" * 5000, 2: "a" * 4000 + "я" * 40_000, 3: "a" * 9000, 4: "1"}
     d = folder(spark, tmp_path, documents=([(i, t, None, "s", len(t)) for i, t in texts.items()], DOCS))
     assert {r.doc_id: r.language for r in Q.doc_language(spark, d).collect()} == {1: "mixed", 2: "ru", 3: "en", 4: "unknown"}
+
+
+def test_best_translation_takes_all_turns(spark, tmp_path):
+    r = random.Random(4)
+    items = [(i, None if i == 9 else "x" * r.randint(0, 40)) for i in range(60)]
+    turns = [(i, t, None if (i, t) == (5, 2) else "y" * r.randint(0, 40)) for i in range(70) for t in range(5) if i % 20 != 13]
+    d = folder(spark, tmp_path, benchmark=(items, "item_id long, text string"), conversations=(turns, "conv_id long, turn long, text string"))
+    want = set()
+    for i, a in items:
+        met = [(2 + 6 * (len(b) % 7 == len(a) % 7) + 4 * (len(b) > len(a)), -c, -t) for c, t, b in turns if a is not None and b is not None and c % 20 == i % 20]
+        if met and max(met)[0] >= 6:
+            s, c, t = max(met)
+            want.add((i, s, -c, -t))
+    assert any(t > 1 for *_, t in want)
+    assert sorted(map(tuple, Q.best_translation(spark, d).collect())) == sorted(want)
+
+
+def test_first_match_makes_no_pairs(spark, tmp_path, capsys):
+    docs = [(i, None, None, None if i % 10 == 0 else f"s{i % 3}", 40 * (i % 2) + i % 4) for i in range(60)] + [(99, None, None, "alone", 1)]
+    d = folder(spark, tmp_path, documents=(docs, DOCS), labels=([(i, 1 - (i % 5 == 4)) for i, *_ in docs], "doc_id long, toxic int"))
+    want = {i: min((o for o, _, _, t, m in docs if t == s and m % 40 == n % 40 and o != i), default=None) if s else None for i, _, _, s, n in docs if i % 5 != 4}
+    found = Q.first_match(spark, d)
+    assert {r.doc_id: r.other_id for r in found.collect()} == want
+    found.explain("extended")
+    plan = capsys.readouterr().out.split("== Physical Plan ==")[0]
+    # what meets the labelled documents is one row per source and class
+    assert "other_id" in plan and "NOT (other_id" not in plan
