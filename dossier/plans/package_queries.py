@@ -74,7 +74,7 @@ def safe_paths(spark, d):
 
 
 def failure_lines(spark, d):
-    t = table(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.concat(F.lit("start\nTraceback (most recent call last)\n  File \"x\"\nValueError: order "), F.col("o_orderkey").cast("string"), F.lit(" in /tmp/a/b.txt is bad\n\n")).alias("log"))
+    t = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("start\nTraceback (most recent call last)\n  File \"x\"\nValueError: order "), F.col("o_orderkey").cast("string"), F.lit(" in /tmp/a/b.txt is bad\n\n")).alias("log"))
     return t.select("o_orderkey", package.failure_summary(F.col("log")).alias("message"))
 
 

@@ -79,7 +79,7 @@ def placeholder_tags(spark, d):
 
 def tag_tokens(spark, d):
     """Tags found in running text, in order of first sight."""
-    li = table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("pump"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), F.lit("spare of"), F.concat(F.lit("a/p-"), F.col("l_suppkey").cast("string")), F.lit("see V-12, P-XX-1 and"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))).alias("t"))
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws(" ", F.lit("pump"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string")), F.lit("spare of"), F.concat(F.lit("a/p-"), F.col("l_suppkey").cast("string")), F.lit("see V-12, P-XX-1 and"), F.concat(F.lit("P-"), F.col("l_partkey").cast("string"))).alias("t"))
     return li.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), F.array_join(text.tags(F.col("t")), ",").alias("tags"))
 
 
@@ -104,9 +104,10 @@ def page_rule_scan(spark, d):
 
 
 def denylist_scan(spark, d):
-    """Five-word runs of benchmark items, as a list of digests, found in documents."""
+    """All five-word runs of benchmark items, as a list of digests, found in documents."""
     w = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != "")
-    b = table(spark, d, "benchmark").select(w.alias("w")).where(F.size("w") >= 5).select(F.sha2(F.array_join(F.slice("w", 1, 5), " "), 256).alias("digest"), F.lit(5).alias("size")).distinct()
+    b = table(spark, d, "benchmark").select(w.alias("w")).where(F.size("w") >= 5)
+    b = b.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 4)).alias("i")).select(F.sha2(F.array_join(F.slice("w", F.col("i"), 5), " "), 256).alias("digest"), F.lit(5).alias("size")).distinct()
     return rules.denied(_docs(spark, d), "doc_id", "text", b, [5])
 
 

@@ -2,6 +2,7 @@
 
 import random
 
+from dossier.plans import package_queries as P
 from dossier.plans import text_queries as Q
 
 
@@ -45,3 +46,16 @@ def test_first_match_makes_no_pairs(spark, tmp_path, capsys):
     plan = capsys.readouterr().out.split("== Physical Plan ==")[0]
     # what meets the labelled documents is one row per source and class
     assert "other_id" in plan and "NOT (other_id" not in plan
+
+
+def test_denylist_holds_every_run(spark, tmp_path):
+    item = "one two three four five six seven"
+    docs = {1: "x one two three four five y", 2: "say Two three, four five six!", 3: "three four five six seven", 4: "one two three four six seven", 5: item}
+    d = folder(spark, tmp_path, benchmark=([(1, item), (2, "one two"), (3, None)], "item_id long, text string"), documents=([(i, t, None, "s", len(t)) for i, t in docs.items()], DOCS))
+    assert {r.doc_id: r.n_denied for r in Q.denylist_scan(spark, d).collect()} == {1: 1, 2: 1, 3: 1, 5: 3}
+
+
+def test_no_row_is_left_out(spark, tmp_path):
+    d = folder(spark, tmp_path, lineitem=([(1, n, n + 10, n + 20) for n in range(1, 8)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"), orders=([(i,) for i in range(1, 16)], "o_orderkey long"))
+    assert {r.l_linenumber: r.tags for r in Q.tag_tokens(spark, d).collect()} == {n: f"P-{n + 10},A/P-{n + 20}" for n in range(1, 8)}
+    assert {r.o_orderkey: r.message for r in P.failure_lines(spark, d).collect()} == {i: f"ValueError: order {i} in <path> is bad" for i in range(1, 16)}
