@@ -5,7 +5,7 @@ rules judge each url by itself; connected components over redirect and
 canonical edges then carry the decisions to the aliases that no rule fits: a
 class with an explicitly allowed member is allowed, else one with a blocked
 member is blocked, else the page is allowed. A rule that fits a url itself
-always stands.
+always stands. Relative targets are resolved against the page's url.
 
 Edge cases: a null url, or one without ``://``, has an empty host and path, is
 no alias of anything and is allowed unless a rule fits; equal rows get equal
@@ -54,6 +54,27 @@ def node_of(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.concat(scheme, F.lit("://"), host_of(url), rest))
 
 
+def resolved(src: Column, dst: Column) -> Column:
+    """The target ``dst`` of a link in the page ``src`` as a whole url (RFC 3986; ``<base>`` is not read)."""
+    scheme = F.regexp_extract(src, r"(?s)^(.*?)://", 1)
+    site = F.concat(scheme, F.lit("://"), F.regexp_extract(src, r"(?s)^.*?://([^/?#]*)", 1))
+    path, rest = F.regexp_extract(dst, r"(?s)^([^?#]*)", 1), F.regexp_extract(dst, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path_of(src), r"(?s)^(.*/)", 1)
+    full = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    parts = F.split(F.substr(full, F.lit(2)), "/")
+    parts = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    up = lambda a: F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))
+    walked = F.aggregate(parts, F.array().cast("array<string>"), lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.concat(a, F.array(x))))
+    query = F.when(rest.startswith("?"), rest).otherwise(F.concat(F.regexp_extract(src, r"(?s)^[^?#]*(\?[^#]*)", 1), rest))
+    return (
+        F.when(dst.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), dst)
+        .when(F.instr(src, "://") == 0, F.lit(None).cast("string"))
+        .when(dst.startswith("//"), F.concat(scheme, F.lit(":"), dst))
+        .when(path == "", F.concat(site, path_of(src), query))
+        .otherwise(F.concat(site, F.lit("/"), F.array_join(walked, "/"), rest))
+    )
+
+
 def _ordered(rules: Sequence[tuple[str, str, str]]) -> list[tuple[str, str, str]]:
     """Longest first; of equal length an allowing one first, then by name."""
     return sorted(rules, key=lambda r: (-len(r[1] + r[2]), r[0] != "allow", r[1] + r[2]))
@@ -92,6 +113,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redir
     edges = canonical_edges(urls)
     if redirects is not None:
         edges = edges.union(redirects.select("src", "dst"))
+    edges = edges.select("src", resolved(F.col("src"), F.col("dst")).alias("dst"))
     edges = stored(edges.select(node_of(F.col("src")).alias("a"), node_of(F.col("dst")).alias("b")).where("a <> b").distinct(), "aliases")
     seen = urls.select("page_id", node_of(F.col("url")).alias("node"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     ruled = apply_rules(seen, rules)

@@ -419,6 +419,27 @@ def test_urls(spark):
     assert urlfilter.judge(df.limit(0)).count() == 0
 
 
+def test_relative_links(spark):
+    from urllib.parse import urljoin
+
+    src = "https://Host.io:80/a/b/page?q=1#f"
+    links = ["/en/7", "//other.io/x?y", "c", "c/d?e=http://z/", "./c", "../c", "../../../c", "..", ".", "?r", "?r/../s", "#g", "http://x.com/../k", "../c/./d/", "mailto:a@b"]
+    df = spark.createDataFrame([(s, d) for s in (src, "http://bare.io", "http://bare.io?k") for d in links], "src string, dst string")
+    for r in df.withColumn("got", urlfilter.resolved(df.src, df.dst)).collect():
+        want = r.dst if ":" in r.dst.split("/")[0].split("?")[0] else urljoin(r.src, r.dst)
+        # an empty path stands for "/"
+        assert r.got.replace(".io?", ".io/?") == want.replace(".io?", ".io/?"), (r.src, r.dst)
+    pages = [
+        (1, "http://example.com/q/1", "<link rel=canonical href='/en/7'>"),
+        (2, "http://m.io/a", '<meta http-equiv="refresh" content="0;url=//blocked.org/es/1">'),
+        (3, "http://shop.org/x/y", "<link rel=canonical href='../es/2'>"),
+        (4, "http://m.io/z", "<link rel=canonical href='a'>"),
+        (5, "no scheme", "<link rel=canonical href='/a'>"),
+    ]
+    got = urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.verdict, r.by_alias) for r in got} == {1: ("allow", True), 2: ("block", True), 3: ("block", True), 4: ("block", True), 5: ("allow", False)}
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "alpha beta gamma delta", None, None), (None, "alpha beta gamma delta", None, None), (4, None, None, None)], "doc_id long, text string, lang string, source string")
     bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")
