@@ -6,14 +6,16 @@ state store; timers are event time under a watermark.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..runtime import ship_package
+from ..runtime import shared_path, ship_package
 
 EVENT = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
@@ -64,31 +66,41 @@ def unique_snapshots(events: DataFrame, fingerprint: list[str], delay: str = "10
     return events.withWatermark("ts", delay).dropDuplicatesWithinWatermark(fingerprint)
 
 
-def in_batches(events: DataFrame, handle, checkpoint: str, most_rows: int = 1000, trigger: str = "1 second"):
+def in_batches(events: DataFrame, handle, checkpoint: str, most_rows: int = 1000, trigger: str = "1 second", aside: str | None = None):
     """Calls ``handle(rows, batch_id)`` for bounded micro-batches; a failing
-    batch is split in two until single rows fail, which are put aside."""
+    batch is split in two until single rows fail, which are put aside: written
+    to the table ``aside`` (a new one in the shared folder if none is given)
+    under failed_batch and failed_row, and listed as (batch id, error, table)."""
     failed: list = []
+    aside = aside or shared_path(events.sparkSession, "failed")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.persist()
+        rows = batch.withColumn("_number", F.monotonically_increasing_id()).persist()
         try:
-            n = rows.count()
-            parts = max(1, -(-n // most_rows))
-            key = F.pmod(F.xxhash64(*rows.columns), F.lit(parts))
-            for k in range(parts):
-                attempt(rows.where(key == k), batch_id, 1)
+            # numbers rise by one within a partition, whose number is in the high bits
+            sizes = sorted(rows.groupBy(F.shiftright("_number", 33).alias("part")).count().collect())
+            ends = list(accumulate(r[1] for r in sizes))
+
+            def number(k: int) -> int:
+                i = min(bisect_right(ends, k), len(ends) - 1)
+                return (sizes[i][0] << 33) + k - ends[i] + sizes[i][1]
+
+            def attempt(lo: int, hi: int) -> None:
+                these = rows.where(F.col("_number").between(number(lo), number(hi - 1))).drop("_number")
+                try:
+                    handle(these, batch_id)
+                except Exception as e:
+                    if hi - lo > 1:
+                        mid = (lo + hi) // 2
+                        attempt(lo, mid)
+                        attempt(mid, hi)
+                        return
+                    these.write.mode("overwrite").parquet(f"{aside}/failed_batch={batch_id}/failed_row={lo}")
+                    failed.append((batch_id, str(e), aside))
+
+            for lo in range(0, ends[-1] if ends else 0, most_rows):
+                attempt(lo, min(lo + most_rows, ends[-1]))
         finally:
             rows.unpersist()
 
-    def attempt(rows: DataFrame, batch_id: int, depth: int) -> None:
-        try:
-            handle(rows, batch_id)
-        except Exception as e:
-            if depth >= 1 << 6 or rows.limit(2).count() < 2:
-                failed.append((batch_id, str(e)))
-                return
-            half = F.pmod(F.xxhash64(F.lit(depth), *rows.columns), F.lit(2))
-            for k in (0, 1):
-                attempt(rows.where(half == k), batch_id, depth * 2)
-
     return events.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(processingTime=trigger).start(), failed

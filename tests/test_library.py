@@ -248,6 +248,26 @@ def test_streams(spark, tmp_path):
     assert sorted(seen) == list(range(12)) and not failed
 
 
+def test_failing_rows_are_put_aside_alone(spark, tmp_path):
+    at = datetime(2024, 1, 1)
+    rows = [(i, at, 1, "a", 1.0, "{}") for i in range(200)] + [(-1, at, 1, "a", 1.0, "{}")] * 2
+    src, aside = str(tmp_path / "in"), str(tmp_path / "aside")
+    spark.createDataFrame(rows, progress.EVENT).repartition(3).write.parquet(src)
+    seen = []
+
+    def handle(df, _):
+        got = [r.event_id for r in df.collect()]
+        if -1 in got:
+            raise ValueError("bad row")
+        seen.extend(got)
+
+    q, failed = progress.in_batches(spark.readStream.schema(progress.EVENT).parquet(src), handle, str(tmp_path / "c"), most_rows=150, aside=aside)
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen) == list(range(200)) and [(f[1], f[2]) for f in failed] == [("bad row", aside)] * 2
+    assert [r.event_id for r in spark.read.parquet(aside).collect()] == [-1, -1]
+
+
 def test_stalls_stream(spark, tmp_path):
     src = tmp_path / "in"
     at = lambda m: datetime(2024, 1, 1) + timedelta(minutes=m)
