@@ -1,17 +1,22 @@
 """Quality rules with adaptive thresholds.
 
-Measures of each text come from one vectorised pass. Every measure goes into a
-mergeable quantile sketch of logarithmic buckets (relative error ``ERROR``) per
-language and source: a sketch is a set of (bucket, count) rows, and merging is
-adding counts, so Spark builds them with partial sums. Fences at the quartiles
-plus a multiple of their distance replace fixed cutoffs; groups of fewer than
-``least`` documents take the merged sketch of their language, and rare
-languages that of everything. The documents are then joined with the fences.
+Counts of each text come from one vectorised pass. Each measure is an odds or a
+mean, with one added to both sides of an odds, so that a short text without a
+fault is not taken for a faultless one and every measure has a spread in every
+group. It goes into a mergeable quantile sketch of logarithmic buckets (relative
+error ``ERROR``) per language and source, over the texts that pass the base
+rule: a sketch is a set of (bucket, count) rows, and merging is adding counts,
+so Spark builds them with partial sums. Fences lie ``FACTOR`` times the distance
+of the quartiles beyond them, in buckets, that is on a logarithmic scale; no
+fixed cutoff or least width takes part. Quartiles of small groups lean on those
+of their language, and these on those of everything, with the weight of
+``LEAN`` documents. The documents are then joined with the fences.
 
 Edge cases: a null or blank text has no words, fails the base rule and isn't
 kept; a null language or source is a group of its own; equal rows get equal
 results, one row out for each row in; an empty table gives an empty result;
-further columns of the input are ignored.
+further columns of the input are ignored. Lines and windows of a text are known
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,14 +34,20 @@ from .scratch import stored
 
 ERROR = 0.01
 GAMMA = (1 + ERROR) / (1 - ERROR)
+#: the bucket of values that have no logarithm
 ZERO = -1_000_000
-#: measure: (numerator, denominator, least width above and below the quartiles; None: no fence on that side)
+#: distance of a fence from its quartile, in distances of the quartiles
+FACTOR = 2
+#: documents that the next wider group counts for
+LEAN = 100
+#: measure: (value in SQL, whether low values are faults too)
 MEASURES = {
-    "symbols": ("n_symbols", "word_chars", 0.05, None),
-    "dup_lines": ("n_dup_lines", "n_lines", 0.4, None),
-    "word_length": ("word_chars", "n_words", 4.0, 3.0),
-    "repeats": ("n_repeat_words", "n_words", 0.3, None),
+    "symbols": ("(n_symbols + 1) / (word_chars - n_symbols + 1)", False),
+    "dup_lines": ("(n_dup_lines + 1) / (n_lines - n_dup_lines + 1)", False),
+    "word_length": ("word_chars / greatest(n_words, 1)", True),
+    "repeats": ("(n_repeat_words + 1) / (n_words - n_repeat_words + 1)", False),
 }
+BASE_FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -94,74 +105,62 @@ def measures(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "lang", "source
     return kept.mapInArrow(run, fields + "".join(f", {c} bigint" for c in COUNTS))
 
 
-def _ratio(name: str) -> Column:
-    top, below, *_ = MEASURES[name]
-    return F.col(top).cast("double") / F.greatest(F.col(below), F.lit(1))
-
-
-def _bucket(value: Column) -> Column:
+def _bucket(measure: str) -> Column:
+    value = F.expr(MEASURES[measure][0])
     return F.when(value <= 0, F.lit(ZERO)).otherwise(F.ceil(F.log(value) / F.lit(math.log(GAMMA))).cast("int"))
 
 
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, measure, bucket, n): one mergeable sketch per group."""
-    rows = measured.select(
+    rows = measured.where(~F.expr(BASE_FAILED)).select(
         "lang",
         "source",
-        F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), _bucket(_ratio(k)).alias("bucket")) for k in MEASURES))).alias("x"),
+        F.explode(F.array(*(F.struct(F.lit(k).alias("measure"), _bucket(k).alias("bucket")) for k in MEASURES))).alias("x"),
     )
     return rows.groupBy("lang", "source", "x.measure", "x.bucket").agg(F.count("*").alias("n"))
 
 
 def _quartiles(sketch: DataFrame, by: list[str]) -> DataFrame:
-    """Size and quartiles of the sketches merged by ``by``."""
+    """Size and buckets of the quartiles of the sketches merged by ``by``."""
     merged = sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(*by, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("size", F.sum("n").over(w))
-    value = F.when(F.col("bucket") == ZERO, F.lit(0.0)).otherwise(F.lit(2.0) * F.pow(F.lit(GAMMA), F.col("bucket")) / F.lit(GAMMA + 1))
-    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("size") - 1)), value))
+    at = lambda q: F.min(F.when(F.col("upto") > F.floor(F.lit(q) * (F.col("size") - 1)), F.col("bucket")))
     return ranked.groupBy(*by, "measure").agg(F.max("size").alias("size"), at(0.25).alias("q1"), at(0.75).alias("q3"))
 
 
-def fences(sketch: DataFrame, least: int = 100, factor: float = 3.0) -> DataFrame:
-    """One row per (lang, source) with a low and a high fence for each measure."""
+def fences(sketch: DataFrame, lean: int = LEAN, factor: int = FACTOR) -> DataFrame:
+    """One row per (lang, source) with the highest bucket of each measure and,
+    where low values are faults, the lowest."""
     own = _quartiles(sketch, ["lang", "source"])
     lang = _quartiles(sketch, ["lang"]).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("size").alias("lsize"), F.col("q1").alias("lq1"), F.col("q3").alias("lq3"))
     every = _quartiles(sketch, []).select(F.col("measure").alias("em"), F.col("q1").alias("eq1"), F.col("q3").alias("eq3"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("m"))).join(every, F.col("measure") == F.col("em"))
-    pick = lambda q: F.when(F.col("size") >= least, F.col(q)).when(F.col("lsize") >= least, F.col("l" + q)).otherwise(F.col("e" + q))
-    both = both.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
-    wide = F.col("q3") - F.col("q1")
-    up = F.lit(None).cast("double")
-    down = F.lit(None).cast("double")
-    for k, (_, _, above, below) in MEASURES.items():
-        if above is not None:
-            up = F.when(F.col("measure") == k, F.col("q3") + F.greatest(wide * factor, F.lit(above))).otherwise(up)
-        if below is not None:
-            down = F.when(F.col("measure") == k, F.col("q1") - F.greatest(wide * factor, F.lit(below))).otherwise(down)
-    rows = both.withColumn("up", up).withColumn("down", down)
+    leant = lambda q, size, wider: (F.col(size) * F.col(q) + lean * wider) / (F.col(size) + lean)
+    quart = lambda q: F.floor(leant(q, "size", leant("l" + q, "lsize", F.col("e" + q))) + 0.5).cast("int")
+    rows = both.select("lang", "source", "measure", quart("q1").alias("q1"), quart("q3").alias("q3"))
+    # a sketch knows a value up to its bucket
+    width = factor * (F.col("q3") - F.col("q1") + 1)
     out = []
-    for k, (_, _, above, below) in MEASURES.items():
-        if above is not None:
-            out.append(F.max(F.when(F.col("measure") == k, F.col("up"))).alias(f"max_{k}"))
-        if below is not None:
-            out.append(F.max(F.when(F.col("measure") == k, F.col("down"))).alias(f"min_{k}"))
+    for k, (_, low) in MEASURES.items():
+        out.append(F.max(F.when(F.col("measure") == k, F.col("q3") + width)).alias(f"max_{k}"))
+        if low:
+            out.append(F.max(F.when(F.col("measure") == k, F.col("q1") - width)).alias(f"min_{k}"))
     return rows.groupBy("lang", "source").agg(*out)
 
 
-def judge(docs: DataFrame, least: int = 100, factor: float = 3.0) -> DataFrame:
+def judge(docs: DataFrame, lean: int = LEAN, factor: int = FACTOR) -> DataFrame:
     """Measures and verdict of each document: ``base_failed`` by the fixed base
     rule, ``kept`` also by the fences of its language and source."""
     m = stored(measures(docs), "quality")
-    f = fences(sketches(m), least, factor).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
+    f = fences(sketches(m), lean, factor).withColumnsRenamed({"lang": "f_lang", "source": "f_source"})
     joined = m.join(f, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
-    failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
+    failed = F.expr(BASE_FAILED)
     fits = F.lit(True)
-    for k, (_, _, above, below) in MEASURES.items():
-        if above is not None:
-            fits = fits & (_ratio(k) <= F.col(f"max_{k}"))
-        if below is not None:
-            fits = fits & (_ratio(k) >= F.col(f"min_{k}"))
+    for k, (_, low) in MEASURES.items():
+        fits = fits & (_bucket(k) <= F.col(f"max_{k}"))
+        if low:
+            fits = fits & (_bucket(k) >= F.col(f"min_{k}"))
     return joined.select(
         "doc_id",
         "lang",

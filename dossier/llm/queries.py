@@ -70,16 +70,15 @@ _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
 
 
 def _op1_sql() -> str:
-    ratios = ", ".join(f"('{k}', {top}::DOUBLE / greatest({below}, 1))" for k, (top, below, *_) in quality.MEASURES.items())
-    ratio = "(CASE measure " + " ".join(f"WHEN '{k}' THEN {top}::DOUBLE / greatest({below}, 1)" for k, (top, below, *_) in quality.MEASURES.items()) + " END)"
-    up = "CASE measure " + " ".join(f"WHEN '{k}' THEN q3 + greatest(3.0 * (q3 - q1), {a!r}::DOUBLE)" for k, (_, _, a, _) in quality.MEASURES.items() if a is not None) + " END"
-    down = "CASE measure " + " ".join(f"WHEN '{k}' THEN q1 - greatest(3.0 * (q3 - q1), {b!r}::DOUBLE)" for k, (_, _, _, b) in quality.MEASURES.items() if b is not None) + " END"
-    quart = lambda by: f"""SELECT {by}measure, max(size) AS size, min(CASE WHEN upto > floor(0.25 * (size - 1)) THEN v END) AS q1, min(CASE WHEN upto > floor(0.75 * (size - 1)) THEN v END) AS q3
-      FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS size,
-              CASE WHEN bucket = {quality.ZERO} THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * pow({quality.GAMMA!r}::DOUBLE, bucket) / {quality.GAMMA + 1!r}::DOUBLE END AS v
-            FROM (SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
     import math
 
+    value = "(CASE measure " + " ".join(f"WHEN '{k}' THEN {v}" for k, (v, _) in quality.MEASURES.items()) + " END)"
+    low = ", ".join(f"'{k}'" for k, (_, low) in quality.MEASURES.items() if low)
+    quart = lambda by: f"""SELECT {by}measure, max(size) AS size, min(CASE WHEN upto > floor(0.25 * (size - 1)) THEN bucket END) AS q1, min(CASE WHEN upto > floor(0.75 * (size - 1)) THEN bucket END) AS q3
+      FROM (SELECT *, sum(n) OVER (PARTITION BY {by}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}measure) AS size
+            FROM (SELECT {by}measure, bucket, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL"""
+    leant = lambda q, size, wider: f"(({size} * {q} + {quality.LEAN} * {wider}) / ({size} + {quality.LEAN}))"
+    quartile = lambda q: f"floor({leant('own.' + q, 'own.size', leant('b.' + q, 'b.size', 'e.' + q))} + 0.5::DOUBLE)::INT AS {q}"
     return f"""
     WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS.format("text")} AS w FROM documents),
     win AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM d, unnest(range(1, len(w) - 1)) AS u(i) WHERE len(w) >= 3),
@@ -90,16 +89,15 @@ def _op1_sql() -> str:
     m AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum([length(x) for x in w]), 0)::BIGINT AS word_chars,
             length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0)::BIGINT AS n_lines
           FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN ln USING (doc_id)),
-    long AS (SELECT m.*, measure, value FROM m, (VALUES {", ".join(f"('{k}')" for k in quality.MEASURES)}) AS k(measure), LATERAL (SELECT {ratio} AS value)),
-    sketch AS (SELECT lang, source, measure, CASE WHEN value <= 0 THEN {quality.ZERO} ELSE ceil(ln(value) / {math.log(quality.GAMMA)!r}::DOUBLE)::INT END AS bucket, count(*) AS n FROM long GROUP BY ALL),
+    long AS (SELECT m.doc_id, lang, source, measure, ({quality.BASE_FAILED}) AS failed, CASE WHEN {value} <= 0 THEN {quality.ZERO} ELSE ceil(ln({value}) / {math.log(quality.GAMMA)!r}::DOUBLE)::INT END AS bucket
+             FROM m, (VALUES {", ".join(f"('{k}')" for k in quality.MEASURES)}) AS k(measure)),
+    sketch AS (SELECT lang, source, measure, bucket, count(*) AS n FROM long WHERE NOT failed GROUP BY ALL),
     own AS ({quart("lang, source, ")}), bylang AS ({quart("lang, ")}), every AS ({quart("")}),
-    q AS (SELECT own.lang, own.source, own.measure, CASE WHEN own.size >= 100 THEN own.q1 WHEN b.size >= 100 THEN b.q1 ELSE e.q1 END AS q1, CASE WHEN own.size >= 100 THEN own.q3 WHEN b.size >= 100 THEN b.q3 ELSE e.q3 END AS q3
+    q AS (SELECT own.lang, own.source, own.measure, {quartile("q1")}, {quartile("q3")}
           FROM own JOIN bylang b ON own.lang IS NOT DISTINCT FROM b.lang AND own.measure = b.measure JOIN every e ON own.measure = e.measure),
-    fence AS (SELECT lang, source, measure, {up} AS up, {down} AS down FROM q),
-    fits AS (SELECT doc_id, bool_and(coalesce(value <= up, true) AND coalesce(value >= down, true)) AS fits
-             FROM long l JOIN fence f ON l.lang IS NOT DISTINCT FROM f.lang AND l.source IS NOT DISTINCT FROM f.source AND l.measure = f.measure GROUP BY doc_id)
-    SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-      (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND fits) AS kept, n_lines
+    fits AS (SELECT doc_id, bool_and(coalesce(bucket <= q3 + {quality.FACTOR} * (q3 - q1 + 1) AND (l.measure NOT IN ({low}) OR bucket >= q1 - {quality.FACTOR} * (q3 - q1 + 1)), true)) AS fits
+             FROM long l LEFT JOIN q ON l.lang IS NOT DISTINCT FROM q.lang AND l.source IS NOT DISTINCT FROM q.source AND l.measure = q.measure GROUP BY doc_id)
+    SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ({quality.BASE_FAILED}) AS base_failed, (NOT ({quality.BASE_FAILED}) AND fits) AS kept, n_lines
     FROM m JOIN fits USING (doc_id)"""
 
 
