@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 
 
@@ -31,3 +32,11 @@ class Writer:
 def open_file(base: str, name: str):
     fs, path = pafs.FileSystem.from_uri(base)
     return fs.open_input_file(f"{path}/{name}")
+
+
+def mapped(base: str, name: str):
+    """A file to read at any place: a memory map where its path is local."""
+    fs, path = pafs.FileSystem.from_uri(base)
+    if isinstance(fs, pafs.LocalFileSystem):
+        return pa.memory_map(f"{path}/{name}", "r")
+    return fs.open_input_file(f"{path}/{name}")

@@ -7,8 +7,10 @@ of a memory-mapped file is an offset and no copy. The last sequence of a shard
 is padded and masked. A second Arrow file has each document's id and place.
 
 Edge cases: a null text is empty and has the end id alone; null doc_ids come
-first; rows with equal doc_ids follow each other ordered by text; special
-tokens' strings in a text are ordinary text; an empty table gives no files.
+first, among the least long; rows with equal doc_ids follow each other ordered
+by a hash of their text; special tokens' strings in a text are ordinary text; an
+empty table gives no files. Ids must be whole numbers (Spark's cast fails on
+others).
 """
 
 from __future__ import annotations
@@ -76,8 +78,9 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Fals
     ship_package(spark)
     base = base or new_path(spark, "tokens")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    shard, n = ranges.shards(rows, "doc_id", F.octet_length("text") + 1, shard_bytes)
-    dealt = rows.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "doc_id", "text").select("doc_id", "shard", "text")
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    cuts = ranges.shards(rows, "doc_id", "tie", F.octet_length("text") + 1, shard_bytes)
+    dealt = ranges.dealt(rows, cuts).repartitionById(cuts.count, "shard").sortWithinPartitions("shard", "doc_id", "tie", "text").select("doc_id", "shard", "text")
     schema = pa.schema([("shard", pa.int32()), ("file", pa.string()), ("places", pa.string()), ("docs", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
 
     def run(batches):
@@ -101,10 +104,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Fals
 
 
 class TokenFile:
-    """Random access to the sequences of one shard file, without copies."""
+    """Random access to the sequences of one shard file. A file with a local
+    path is memory-mapped: batches, and rows of them, are views into the map,
+    and only the pages that are looked at are read."""
 
     def __init__(self, base: str, name: str):
-        self.file = pa.ipc.open_file(store.open_file(base, name))
+        self.source = store.mapped(base, name)
+        self.file = pa.ipc.open_file(self.source)
         self.batches = self.file.num_record_batches
         self.sequence = self.file.schema.field("ids").type.list_size
 
@@ -112,10 +118,14 @@ class TokenFile:
         """Ids of batch ``k`` as one array."""
         return self.file.get_batch(k).column(0).flatten().to_numpy(zero_copy_only=True)
 
+    def bits(self, k: int) -> pa.BooleanArray:
+        """Mask of sequence ``k``, its bits where they lie in the file."""
+        return self.file.get_batch(k // BATCH_ROWS).column(1).slice(k % BATCH_ROWS, 1).flatten()
+
     def row(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        b = self.file.get_batch(k // BATCH_ROWS)
-        i = k % BATCH_ROWS * self.sequence
-        return b.column(0).flatten().to_numpy()[i : i + self.sequence], b.column(1).flatten().to_numpy(zero_copy_only=False)[i : i + self.sequence]
+        """Ids of sequence ``k`` where they lie in the file, and its mask spread to booleans."""
+        ids = self.file.get_batch(k // BATCH_ROWS).column(0).slice(k % BATCH_ROWS, 1).flatten()
+        return ids.to_numpy(zero_copy_only=True), self.bits(k).to_numpy(zero_copy_only=False)
 
 
 def read(spark: SparkSession, base: str) -> DataFrame:

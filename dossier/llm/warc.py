@@ -1,7 +1,8 @@
 """WARC archives, written in deterministic shards and read back.
 
-Pages are range-sorted by id into shards; each shard is a run of files that
-roll over by compressed size. Headers and digests are made anew from the
+Pages are range-sorted by id, and within an id by a hash of url and payload,
+into shards that follow the sizes; each shard is a run of files that roll over
+by compressed size. Headers and digests are made anew from the
 payload. Of equal payloads the smallest page_id gets the response record and
 the others revisit records that refer to it. Files are written under temporary
 names, moved, and count only once the manifest names them, so repeated tasks
@@ -11,7 +12,9 @@ Edge cases: null html is an empty payload; a null url gives a record without
 target; a null page_id is written as such and never referred to (if a payload
 has no other pages, all its records are responses); rows that repeat the
 smallest page_id of a payload are all responses; an empty table gives an empty
-archive; control characters in a url are percent-encoded.
+archive; control characters in a url are percent-encoded. Ids must be whole
+numbers (Spark's cast fails on others). Record ids are unique: beside the page
+they name a hash of its url and payload and a number among equal rows.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship_package
 from . import ranges, store
 from .scratch import new_path, stored
+from .skew import join_counted
 
 SHARD_BYTES = 32 << 20
 ROLL_BYTES = 8 << 20
@@ -48,18 +52,22 @@ def _member(head: list[tuple[str, str]], block: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def _record(page_id, url, payload: bytes, owner) -> bytes:
+def _urn(page_id, tie: int, copy: int, nth: int) -> str:
+    """Page, a hash of its url and payload, and a number among equal rows."""
+    return f"<urn:x-page:{page_id}:{tie & (1 << 64) - 1:016x}:{copy}:{nth}>"
+
+
+def _record(urn: str, url, payload: bytes, owner: str | None) -> bytes:
     found = digest_of(payload)
-    revisit = owner is not None and owner != page_id
-    head = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:x-page:{page_id}>"), ("WARC-Date", DATE)]
+    head = [("WARC-Type", "revisit" if owner else "response"), ("WARC-Record-ID", urn), ("WARC-Date", DATE)]
     if url is not None:
         head.append(("WARC-Target-URI", quote(url, safe="!#$%&'()*+,/:;=?@[]~")))
     head.append(("WARC-Payload-Digest", f"sha1:{found}"))
-    if revisit:
-        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:x-page:{owner}>")]
+    if owner:
+        head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", owner)]
     head.append(("Content-Type", "application/http; msgtype=response"))
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    return _member(head, http if revisit else http + payload)
+    return _member(head, http if owner else http + payload)
 
 
 def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BYTES, roll_bytes: int = ROLL_BYTES) -> tuple[str, DataFrame]:
@@ -68,18 +76,24 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
     ship_package(spark)
     base = base or new_path(spark, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    rows = rows.withColumn("tie", F.xxhash64(F.coalesce("url", F.lit("")), "html"))
     # who revisits whom, by digests alone; these few columns go to the shards as
     # rows of their own, each just before its page, so payloads move once
-    digests = rows.select("page_id", F.sha1(F.col("html").cast("binary")).alias("sha"))
-    owners = digests.groupBy("sha").agg(F.min("page_id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    revisits = digests.join(owners, "sha").where("owner is not null and not (owner <=> page_id)").select("page_id", "sha", "owner").distinct()
-    shard, n = ranges.shards(rows, "page_id", F.octet_length("html"), shard_bytes)
-    every = rows.select("page_id", "url", "html", F.lit(None).cast("long").alias("owner")).union(revisits.select("page_id", "sha", F.lit(None).cast("string"), "owner"))
-    dealt = every.withColumn("shard", shard).repartitionById(n, "shard").sortWithinPartitions("shard", "page_id", F.col("owner").asc_nulls_last(), "url", "html").select("shard", "page_id", "url", "html", "owner")
+    digests = rows.select("page_id", "tie", F.sha1(F.col("html").cast("binary")).alias("sha"))
+    page = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "tie"))
+    owners = stored(digests.groupBy("sha").agg(F.min(page).alias("owner"), F.count("*").alias("n")).where("n > 1"), "owners")
+    known = join_counted(digests, owners, "sha").where("owner is not null and not (owner.page_id <=> page_id)")
+    cuts = ranges.shards(rows, "page_id", "tie", F.octet_length("html"), shard_bytes)
+    told = known.select("page_id", "tie", "sha", "owner", cuts.shard.alias("shard"), F.explode(F.sequence(F.lit(0), cuts.span)).alias("copy")).distinct()
+    none = F.lit(None).cast("struct<page_id: bigint, tie: bigint>")
+    payloads = ranges.dealt(rows, cuts).select("shard", "page_id", "tie", "copy", "url", "html", none.alias("owner"))
+    every = payloads.union(told.select(F.col("shard") + F.col("copy"), "page_id", "tie", "copy", "sha", F.lit(None).cast("string"), "owner"))
+    dealt = every.repartitionById(cuts.count, "shard").sortWithinPartitions("shard", "page_id", "tie", F.col("html").isNotNull(), "url", "html")
+    dealt = dealt.select("shard", "page_id", "tie", "copy", "url", "html", F.col("owner.page_id").alias("owner"), F.col("owner.tie").alias("owner_tie"))
 
     def run(batches):
         out = crc = shard = None
-        seq = records = 0
+        seq = records = nth = 0
         told, of = {}, None
 
         def close():
@@ -87,11 +101,11 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
             return pa.RecordBatch.from_pylist([{"file": out.name, "shard": shard, "records": records, "bytes": out.bytes, "digest": crc.hexdigest()}], schema=schema)
 
         for b in batches:
-            for s, i, url, html, owner in zip(*(c.to_pylist() for c in b.columns)):
-                if (s, i) != of:
-                    told, of = {}, (s, i)
-                if html is None:  # the digest of a payload of this id, and what it revisits
-                    told[url] = owner
+            for s, i, tie, copy, url, html, owner, owner_tie in zip(*(c.to_pylist() for c in b.columns)):
+                if (s, i, tie) != of:
+                    told, of, nth = {}, (s, i, tie), 0
+                if html is None:  # the digest of a payload of this page, and what it revisits
+                    told[url] = _urn(owner, owner_tie, 0, 0)
                     continue
                 if out is not None and (s != shard or out.bytes >= roll_bytes):
                     yield close()
@@ -103,10 +117,10 @@ def write(pages: DataFrame, base: str | None = None, shard_bytes: int = SHARD_BY
                     out.write(first)
                     crc.update(first)
                 payload = html.encode()
-                data = _record(i, url, payload, told.get(hashlib.sha1(payload).hexdigest()) if told else None)
+                data = _record(_urn(i, tie, copy, nth), url, payload, told.get(hashlib.sha1(payload).hexdigest()) if told else None)
                 out.write(data)
                 crc.update(data)
-                records += 1
+                records, nth = records + 1, nth + 1
         if out is not None:
             yield close()
 
@@ -140,7 +154,7 @@ def parse(member: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _page(urn: str | None):
-    found = re.fullmatch(r"<urn:x-page:(-?\d+)>", urn or "")
+    found = re.fullmatch(r"<urn:x-page:(-?\d+):[0-9a-f]{16}:\d+:\d+>", urn or "")
     return int(found[1]) if found else None
 
 
