@@ -1,15 +1,20 @@
 """A corpus as packed chunks of whole documents, and counting over them.
 
 Operators that count strings of the whole corpus work in rounds: every chunk
-asks for its distinct keys once, keys are dealt over shards by their value (a
-key that fills a third of the corpus is one entry per chunk), and each shard
+asks for its distinct keys once, keys are dealt over slots by their value (a
+key that fills a third of the corpus is one entry per chunk), and each slot
 answers every chunk. Rows are blobs, so the work stays in vectorised code while
-Spark deals, joins and recovers it.
+Spark deals, joins and recovers it. A chunk makes at most ``FAN`` rows, however
+large the corpus: beyond ``FAN`` chunks a slot's pieces are merged in bundles
+of ``FAN``, and the bundles ask finer slots in turn (:func:`resolve`).
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple, Protocol
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
@@ -21,6 +26,8 @@ from . import textbytes as tb
 from .scratch import stored
 
 CHUNK_BYTES = 4 << 20
+#: rows that a chunk, or a bundle of chunks, asks with at most
+FAN = 256
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -31,9 +38,49 @@ def expand(blob, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype)
 
 
-def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def encode(*arrays: np.ndarray) -> bytes:
+    """Arrays in one blob; of unsigned 64-bit ones, which are taken to be sorted,
+    the byte planes of their differences."""
+    parts = []
+    for a in arrays:
+        if a.dtype == tb.U:
+            raw = np.ascontiguousarray(np.diff(a, prepend=tb.U(0)).view(np.uint8).reshape(-1, 8).T)
+        else:
+            if a.dtype.kind == "i" and (not len(a) or a.min() >= 0):
+                a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
+                a = a.astype(np.int64) if a.dtype == tb.U else a
+            raw = a
+        parts.append(a.dtype.str.encode().ljust(4) + zstandard.compress(raw.tobytes(), 1))
+    return np.array([len(parts), *map(len, parts)], "<i4").tobytes() + b"".join(parts)
+
+
+def decode(blob: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(blob[:4], "little")
+    at, out = 4 * (n + 1), []
+    for size in np.frombuffer(blob, "<i4", n, 4).tolist():
+        kind = np.dtype(blob[at : at + 4].decode().strip())
+        raw = zstandard.decompress(blob[at + 4 : at + size])
+        if kind == tb.U:
+            out.append(np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(tb.U)[:, 0], dtype=tb.U))
+        else:
+            out.append(np.frombuffer(raw, kind))
+        at += size
+    return out
+
+
+class Packed(NamedTuple):
+    chunks: DataFrame
+    count: int
+
+    @property
+    def slots(self) -> int:
+        return max(1, min(self.count, FAN))
+
+
+def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int = CHUNK_BYTES) -> Packed:
     """The written table (chunk, data, sizes, then an array for each ``keep``
-    column): whole texts in chunks of about ``chunk_bytes``, null as empty."""
+    column): whole texts in chunks of about ``chunk_bytes``, null as empty;
+    chunks are numbered from 0."""
     ship_package(docs.sparkSession)
     rows = docs.select(*keep, F.col("text").cast("string").alias("text"))
     kinds = {c: rows.schema[c].dataType.simpleString() for c in keep}
@@ -57,7 +104,14 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int
         if held:
             yield row()
 
-    return stored(rows.mapInArrow(run, "chunk long, data binary, sizes binary" + "".join(f", `{c}` array<{k}>" for c, k in kinds.items())), "chunks")
+    found = stored(rows.mapInArrow(run, "chunk long, data binary, sizes binary" + "".join(f", `{c}` array<{k}>" for c, k in kinds.items())), "chunks")
+    part = F.shiftright("chunk", 32).cast("int")
+    have = sorted(tuple(r) for r in found.groupBy(part).count().collect())  # a row per task
+    before = np.zeros(have[-1][0] + 1 if have else 1, np.int64)
+    at = 0
+    for p, n in have:
+        before[p], at = at, at + n
+    return Packed(found.withColumn("chunk", F.get(F.lit(before), part) + F.col("chunk").bitwiseAND(F.lit((1 << 32) - 1))), at)
 
 
 def texts(data, sizes) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +129,69 @@ def slices(data: np.ndarray, offs: np.ndarray, most: int = 1 << 20):
         at = to
 
 
-def split(keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard's keys begin among sorted keys, and their end."""
-    edges = np.array([(i << 64) // shards for i in range(1, shards)], dtype=tb.U)
-    return np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]]).astype(np.int64)
+def edges(slot: int, slots: int, sub: int) -> np.ndarray:
+    """The keys at which ``slot`` of ``slots`` equal ranges falls into ``sub`` ranges."""
+    return np.array([((slot * sub + j) << 64) // (slots * sub) for j in range(1, sub)], dtype=tb.U)
+
+
+def split(keys: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where each range's keys begin among sorted keys, and their end."""
+    return np.concatenate([[0], np.searchsorted(keys, at), [len(keys)]]).astype(np.int64)
+
+
+#: an answer, and two numbers that Spark can see
+Answer = tuple[bytes, int, int]
+
+
+class Job(Protocol):
+    def settle(self, bodies: list[bytes]) -> list[Answer]:
+        """Answers for all the requests of one slot."""
+
+    def merge(self, bodies: list[bytes], at: np.ndarray) -> list[bytes]:
+        """The requests as one, cut at the keys ``at``."""
+
+    def spread(self, bodies: list[bytes], answers: list[Answer]) -> list[Answer]:
+        """Answers for the requests from those for what ``merge`` made of them."""
+
+
+ANSWER = "slot long, unit long, got binary, a long, b long"
+
+
+def _table(slot, unit, answers: list[Answer]) -> pd.DataFrame:
+    got, a, b = zip(*answers)
+    return pd.DataFrame({"slot": slot, "unit": unit, "got": got, "a": a, "b": b})
+
+
+def resolve(pieces: DataFrame, units: int, slots: int, job: Job, fan: int | None = None) -> DataFrame:
+    """(slot, unit, got, a, b) for each row (slot, unit, body) of ``pieces``:
+    unit, from 0 up to ``units``, asks in at most ``fan`` rows, each for a slot
+    of the keys. Rows grow with the units, not with their square."""
+    fan = fan or FAN
+    if units <= fan:
+
+        def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = _table(pdf["slot"], pdf["unit"], job.settle(list(pdf["body"])))
+            tb.release()
+            return out
+
+        return pieces.groupBy("slot").applyInPandas(settle, ANSWER)
+    bundles = -(-units // fan)
+    sub = min(bundles, fan)
+    put = stored(pieces.withColumn("bundle", F.floor(F.col("unit") / fan).cast("long")), "pieces")
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        slot = int(pdf["slot"].iloc[0])
+        made = job.merge(list(pdf["body"]), edges(slot, slots, sub))
+        tb.release()
+        return pd.DataFrame({"slot": slot * sub + np.arange(sub), "unit": pdf["bundle"].iloc[0], "body": made})
+
+    def spread(pdf: pd.DataFrame, back: pd.DataFrame) -> pd.DataFrame:
+        back = back.sort_values("part")
+        out = _table(pdf["slot"], pdf["unit"], job.spread(list(pdf["body"]), list(zip(back["got"], back["a"], back["b"]))))
+        tb.release()
+        return out
+
+    merged = stored(put.groupBy("slot", "bundle").applyInPandas(merge, "slot long, unit long, body binary"), "merged")
+    found = resolve(merged, bundles, slots * sub, job, fan)
+    back = found.select(F.floor(F.col("slot") / sub).cast("long").alias("slot"), F.col("unit").alias("bundle"), F.col("slot").alias("part"), "got", "a", "b")
+    return put.groupBy("slot", "bundle").cogroup(back.groupBy("slot", "bundle")).applyInPandas(spread, ANSWER)

@@ -106,21 +106,23 @@ _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwx
 
 def _op3_sql() -> str:
     # DuckDB has no crc32: the table of its bytes' remainders is built by a recursive step over 8 bits
-    k = lm.K
+    k1, k2 = (f"{k!r}::DOUBLE" for k in lm.K)
     return f"""
     WITH RECURSIVE tab AS (SELECT b, b AS c, 0 AS k FROM range(256) AS t(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
     crc AS (SELECT list(c ORDER BY b) AS t FROM tab WHERE k = 8),
     ids AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS s FROM (SELECT DISTINCT doc_id FROM documents)),
     held AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(s, '') if x <> '']), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 7 = 2 AS held_out FROM ids CROSS JOIN crc),
     tok AS (SELECT doc_id, held_out, list_append({_WORDS.format(_LOWER.format("text"))}, chr(0)) AS w FROM documents JOIN held USING (doc_id)),
-    flat AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(1) ELSE w[i - 1] END AS h FROM tok, unnest(range(1, len(w) + 1)) AS u(i)),
+    flat AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(1) ELSE w[i - 1] END AS h, CASE WHEN i = 2 THEN chr(1) WHEN i > 2 THEN w[i - 2] END AS g FROM tok, unnest(range(1, len(w) + 1)) AS u(i)),
     uni AS (SELECT t, count(*) AS c FROM flat WHERE NOT held_out GROUP BY t),
     bi AS (SELECT h, t, count(*) AS c2 FROM flat WHERE NOT held_out GROUP BY h, t),
+    tri AS (SELECT g, h, t, count(*) AS c3 FROM flat WHERE NOT held_out AND g IS NOT NULL GROUP BY g, h, t),
     tot AS (SELECT coalesce(sum(c), 0)::BIGINT AS n, count(*) AS v FROM uni),
-    p AS (SELECT doc_id, held_out, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1)::DOUBLE / (n + v + 1) AS base, coalesce(c2, 0) AS c2, coalesce(s.c, 0) AS ch, n
-          FROM flat f CROSS JOIN tot LEFT JOIN uni u ON u.t = f.t LEFT JOIN uni s ON s.t = CASE WHEN f.h = chr(1) THEN chr(0) ELSE f.h END LEFT JOIN bi ON bi.h = f.h AND bi.t = f.t)
+    p AS (SELECT doc_id, held_out, coalesce(u.c, 0) AS c, (coalesce(u.c, 0) + 1)::DOUBLE / (n + v + 1) AS base, coalesce(bi.c2, 0) AS c2, coalesce(s.c, 0) AS ch, coalesce(c3, 0) AS c3, coalesce(gh.c2, 0) AS cgh, n
+          FROM flat f CROSS JOIN tot LEFT JOIN uni u ON u.t = f.t LEFT JOIN uni s ON s.t = CASE WHEN f.h = chr(1) THEN chr(0) ELSE f.h END LEFT JOIN bi ON bi.h = f.h AND bi.t = f.t
+          LEFT JOIN tri ON tri.g = f.g AND tri.h = f.h AND tri.t = f.t LEFT JOIN bi gh ON gh.h = f.g AND gh.t = f.h)
     SELECT doc_id, held_out, count(*) AS n_tokens, count(*) FILTER (c > 0) AS n_known, max(n) AS train_tokens, round(fsum(log10(base)), 6) AS base_score,
-      round(fsum(log10((c2 + {k!r}::DOUBLE * base) / (ch + {k!r}::DOUBLE))), 6) AS score
+      round(fsum(log10((c3 + {k2} * (c2 + {k1} * base) / (ch + {k1})) / (cgh + {k2}))), 6) AS score
     FROM p GROUP BY doc_id, held_out"""
 
 

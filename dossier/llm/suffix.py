@@ -5,7 +5,7 @@ Burrows-Wheeler transforms.
    ``GRAM`` bytes. Equal windows have equal anchors, so windows whose anchor is
    unique in the corpus are settled. Consecutive windows with one anchor form a
    span; a span whose bytes stand earlier as a whole is settled as well. Chunks
-   ask shards of anchors for this (:mod:`.chunks`).
+   ask slots of anchors for this (:mod:`.chunks`).
 2. What is left are anchors with several different spans. Each bucket of
    anchors puts its spans into two shards, builds the BWT of each, and merges
    them by iterative interleave refinement: two text columns a round, the
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 from . import chunks
 from . import textbytes as tb
 from .scratch import stored
+from .skew import join_counted
 
 LENGTH = 100
 GRAM = 32
@@ -101,24 +102,89 @@ def _ordered(data, sizes, ids) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return raw, offs, key[order], order
 
 
-def _pack_runs(a: np.ndarray, n: np.ndarray) -> bytes:
-    return chunks.squeeze(np.concatenate([a, n]).astype("<i4"))
-
-
-def _runs(blob) -> tuple[np.ndarray, np.ndarray]:
-    x = chunks.expand(blob, "<i4").astype(np.int64)
-    return x[: len(x) // 2], x[len(x) // 2 :]
-
-
-NO_RUNS = _pack_runs(np.zeros(0), np.zeros(0))
-
-
-def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFrame:
-    """An anchor with one span in a chunk goes to the anchor's shard with its
+#: of a span or pointer: nothing to do; stands earlier as a whole; to compare
+#: window by window; the same, but its anchor has very many spans; a pointer to
+#: an anchor of which all open spans are such
+DONE, SURE, OPEN, MANY, FLAG = range(5)
+
+
+class Spans:
+    """Requests are spans and pointers to anchors, sorted by key, and runs that
+    the chunk has settled itself; answers a code for each span or pointer."""
+
+    def __init__(self, hot: int):
+        self.hot = hot
+
+    @staticmethod
+    def _joined(bodies):
+        asked = [chunks.decode(x) for x in bodies]
+        v, s, ids, chunk, at, n, t, w = (np.concatenate([a[k] for a in asked]) for k in range(8))
+        ids, chunk, at, n, w = (x.astype(np.int64) for x in (ids, chunk, at, n, w))
+        order = np.lexsort((at, chunk, ids, s, v))
+        new_v = np.ones(len(v), bool)
+        new_v[1:] = v[order][1:] != v[order][:-1]
+        new_s = new_v.copy()
+        new_s[1:] |= s[order][1:] != s[order][:-1]
+        return asked, [x[order] for x in (v, s, ids, chunk, at, n, t.astype(bool), w)], order, new_v, new_s
+
+    @staticmethod
+    def _told(asked, code):
+        out, begin = [], 0
+        for a in asked:
+            c = code[begin : begin + len(a[0])]
+            begin += len(c)
+            some = c > 0
+            out.append((chunks.encode(c, *(a[k][some].astype(np.int64) for k in (4, 5)), *a[8:]), int(((c == OPEN) | (c == MANY)).sum()), int((c == FLAG).sum())))
+        return out
+
+    def settle(self, bodies):
+        asked, (v, _, _, _, _, _, t, w), order, new_v, new_s = self._joined(bodies)
+        pointer = w > 1
+        first = np.flatnonzero(new_v)
+        group = np.cumsum(new_v) - 1
+        several = np.add.reduceat(np.where(pointer, w, new_s), first) if len(v) else np.zeros(0, np.int64)
+        inner = np.maximum.reduceat(t | (w == 0), first) if len(v) else np.zeros(0, bool)
+        hot = (several > self.hot)[group]
+        contested = ((several > 1) | inner)[group]
+        code = np.empty(len(v), np.int8)
+        code[order] = np.where(pointer, np.where(hot, FLAG, DONE), np.where(~new_s, SURE, np.where(hot, MANY, np.where(contested, OPEN, DONE))))
+        return self._told(asked, code)
+
+    def merge(self, bodies, at):
+        _, x, _, _, new_s = self._joined(bodies)
+        first = np.flatnonzero(new_s)
+        if len(first):  # the earliest span of each kind; pointers add up
+            t, w = np.maximum.reduceat(x[6], first), np.where(x[7][first] > 1, np.add.reduceat(x[7], first), x[7][first])
+            x = [*(c[first] for c in x[:6]), t, w]
+        cuts = chunks.split(x[0], at)
+        none = np.zeros(0, np.int64)
+        return [chunks.encode(*(c[i:j] for c in x), none, none) for i, j in zip(cuts, cuts[1:])]
+
+    def spread(self, bodies, answers):
+        asked, (*_, w), order, _, new_s = self._joined(bodies)
+        got = np.concatenate([chunks.decode(x)[0] for x, _, _ in answers])[np.cumsum(new_s) - 1]
+        code = np.empty(len(w), np.int8)
+        code[order] = np.where(new_s | (w > 1), got, SURE)
+        return self._told(asked, code)
+
+
+def _runs(answers: list[bytes], *codes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of windows with one of the codes; settled ones with those that the chunk settled itself."""
+    at, n = [], []
+    for blob in answers:
+        code, a, k, own_at, own_n = chunks.decode(blob)
+        pick = np.isin(code[code > 0], codes)
+        at += [a[pick], own_at] if SURE in codes else [a[pick]]
+        n += [k[pick], own_n] if SURE in codes else [k[pick]]
+    return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, n))
+
+
+def _requests(packed: chunks.Packed, length: int, gram: int) -> DataFrame:
+    """An anchor with one span in a chunk goes to the anchor's slot with its
     span. One with several sends a pointer there, with their number (weight
-    over 1), and the spans to shards of their own hashes (weight 0): a passage
+    over 1), and the spans to slots of their own hashes (weight 0): a passage
     with ever new surroundings is one entry per chunk at its anchor."""
-    fields = "shard int, chunk long, keys binary, spans binary, ids binary, at binary, n binary, twice binary, weight binary, sure binary"
+    slots = packed.slots
 
     def run(batches):
         for b in batches:
@@ -131,7 +197,7 @@ def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFra
                 again = np.zeros(len(a), bool)
                 again[1:] = (v[1:] == v[:-1]) & (s[1:] == s[:-1])
                 mine = int(chunk.as_py())
-                sure = _pack_runs(a[again], n[again])
+                sure = a[again].astype(np.int64), n[again].astype(np.int64)
                 a, n, v, s, t = (x[~again] for x in (a, n, v, s, t))
                 first = np.flatnonzero(np.concatenate([[True], v[1:] != v[:-1]])) if len(v) else np.zeros(0, np.int64)
                 several = np.diff(np.append(first, len(v)))
@@ -144,55 +210,16 @@ def _requests(packed: DataFrame, shards: int, length: int, gram: int) -> DataFra
                 order = np.argsort(v, kind="stable")
                 a, n, v, s, t, w = (x[order] for x in (a, n, v, s, t, w))
                 doc = key[np.searchsorted(offs, a, "right") - 1]
-                cuts = chunks.split(v, shards)
-                rows = []
-                for i in range(shards):
-                    c = slice(cuts[i], cuts[i + 1])
-                    if cuts[i] < cuts[i + 1]:
-                        rows.append((i, mine, v[c].tobytes(), s[c].tobytes(), chunks.squeeze(doc[c].astype("<i8")), chunks.squeeze(a[c].astype("<i4")), chunks.squeeze(n[c].astype("<i4")), chunks.squeeze(t[c]), chunks.squeeze(w[c].astype("<i4")), NO_RUNS))
-                e = chunks.squeeze(np.zeros(0))
-                rows.append((mine % shards, mine, b"", b"", e, e, e, e, e, sure))
-                kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 8]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["shard", "chunk", "keys", "spans", "ids", "at", "n", "twice", "weight", "sure"])
-                del parts, rows, raw, a, n, v, s, t, w
+                cuts = chunks.split(v, chunks.edges(0, 1, slots))
+                ones = [i for i in range(slots) if cuts[i] < cuts[i + 1] or i == mine % slots]
+                none = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                columns = v, s, doc, np.full(len(v), mine), a.astype(np.int64), n.astype(np.int64), t, w.astype(np.int64)
+                bodies = [chunks.encode(*(c[cuts[i] : cuts[i + 1]] for c in columns), *(sure if i == mine % slots else none)) for i in ones]
+                yield pa.RecordBatch.from_arrays([pa.array(ones, pa.int64()), pa.array([mine] * len(ones), pa.int64()), pa.array(bodies, pa.binary())], names=["slot", "unit", "body"])
+                del parts, bodies, columns, raw, a, n, v, s, t, w
                 tb.release()
 
-    return packed.mapInArrow(run, fields)
-
-
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one shard: spans that stand earlier as a whole (sure) and those to
-    compare window by window (open, or hot if their anchor has very many);
-    flags are pointers to anchors of which all open spans are hot."""
-    v, s = (np.concatenate([np.frombuffer(x, tb.U) for x in pdf[c]]) for c in ("keys", "spans"))
-    ids, at, n, t, w = (np.concatenate([chunks.expand(x, k) for x in pdf[c]]) for c, k in (("ids", "<i8"), ("at", "<i4"), ("n", "<i4"), ("twice", bool), ("weight", "<i4")))
-    row = np.repeat(np.arange(len(pdf)), [len(x) // 8 for x in pdf["keys"]])
-    order = np.lexsort((at, pdf["chunk"].to_numpy()[row], ids, s, v))
-    v, s, t, w = v[order], s[order], t[order], w[order]
-    new_v = np.ones(len(v), bool)
-    new_v[1:] = v[1:] != v[:-1]
-    new_s = new_v.copy()
-    new_s[1:] |= s[1:] != s[:-1]
-    pointer = w > 1
-    first = np.flatnonzero(new_v)
-    group = np.cumsum(new_v) - 1
-    several = np.add.reduceat(np.where(pointer, w, new_s), first) if len(v) else np.zeros(0, np.int64)
-    inner = np.maximum.reduceat(t | (w == 0), first) if len(v) else np.zeros(0, bool)
-    hot = (several > HOT)[group]
-    contested = ((several > 1) | inner)[group]
-    code = np.empty(len(v), np.int8)
-    code[order] = np.where(pointer, np.where(hot, 4, 0), np.where(~new_s, 1, np.where(hot, 3, np.where(contested, 2, 0))))
-    out = []
-    for i in range(len(pdf)):
-        mine = slice(*np.searchsorted(row, [i, i + 1]))
-        c, a, k = code[mine], at[mine], n[mine]
-        sure, open_, many, flags = (_pack_runs(a[c == x], k[c == x]) for x in (1, 2, 3, 4))
-        given = _runs(pdf["sure"].iloc[i])
-        if len(given[0]):
-            sure = _pack_runs(np.concatenate([a[c == 1], given[0]]), np.concatenate([k[c == 1], given[1]]))
-        out.append((pdf["chunk"].iloc[i], sure, open_, many, flags, int(((c == 2) | (c == 3)).sum()), int((c == 4).sum())))
-    tb.release()
-    return pd.DataFrame(out, columns=["chunk", "sure", "open", "hot", "flags", "n_open", "n_flags"])
+    return packed.chunks.select("chunk", "data", "sizes", "doc_id").mapInArrow(run, "slot long, unit long, body binary")
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -283,8 +310,8 @@ def _ranks(doc: np.ndarray, chunk: np.ndarray, at: np.ndarray) -> np.ndarray:
     return rank << 32 | at
 
 
-def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
-    mine = answers.where("n_open + n_flags > 0").groupBy("chunk").agg(F.collect_list(F.struct("open", "hot", "flags")).alias("got"))
+def _spans(packed: chunks.Packed, answers: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    mine = answers.where("a + b > 0").groupBy(F.col("unit").alias("chunk")).agg(F.collect_list("got").alias("got"))
 
     def run(batches):
         for b in batches:
@@ -292,14 +319,14 @@ def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int, gra
             for i in range(b.num_rows):
                 raw, offs, key, _ = _ordered(col("data")[i].as_py(), col("sizes")[i].as_py(), col("doc_id")[i].as_py())
                 text = raw.tobytes()
-                runs = {k: [np.concatenate(x) for x in zip(*(_runs(g[k]) for g in col("got")[i].as_py()))] for k in ("open", "hot", "flags")}
-                flagged = np.unique(_anchor_of(raw, *runs["flags"], length, gram)[0])
-                for name in ("open", "hot"):
-                    a, n = runs[name]
+                got = col("got")[i].as_py()
+                flagged = np.unique(_anchor_of(raw, *_runs(got, FLAG), length, gram)[0])
+                for code in (OPEN, MANY):
+                    a, n = _runs(got, code)
                     if not len(a):
                         continue
                     v, place = _anchor_of(raw, a, n, length, gram)
-                    hot = np.isin(v, flagged) | (name == "hot")
+                    hot = np.isin(v, flagged) | (code == MANY)
                     doc = key[np.searchsorted(offs, a, "right") - 1]
                     for s in range(0, len(a), 20_000):
                         c = slice(s, s + 20_000)
@@ -309,7 +336,7 @@ def _spans(packed: DataFrame, answers: DataFrame, buckets: int, length: int, gra
                             names=["bucket", "hot", "doc", "chunk", "at", "place", "span"],
                         )
 
-    return stored(packed.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, place long, span binary"), "spans")
+    return stored(packed.chunks.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, place long, span binary"), "spans")
 
 
 def _anchor_of(raw: np.ndarray, a: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -376,22 +403,21 @@ def _compare(spans: DataFrame, length: int, gram: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h(s, s + length).view(np.int64)), pa.array([doc] * n, pa.int64()), pa.array([chunk] * n, pa.int64()), pa.array(at + s)], names=["key", "doc", "chunk", "at"])
 
     cold = spans.where("not hot").select("bucket", "doc", "chunk", "at", "place", "span").groupBy("bucket").applyInPandas(bucket, "chunk long, at long, n long")
-    each = spans.where("hot").select("doc", "chunk", "at", "span").mapInArrow(windows, "key long, doc long, chunk long, at long")
-    least = each.groupBy("key").agg(F.min(F.struct("doc", "chunk", "at")).alias("least"))
-    late = each.join(least, "key").where(F.struct("doc", "chunk", "at") > F.col("least")).select("chunk", "at", F.lit(1).cast("long").alias("n"))
+    each = stored(spans.where("hot").select("doc", "chunk", "at", "span").mapInArrow(windows, "key long, doc long, chunk long, at long"), "windows")
+    least = stored(each.groupBy("key").agg(F.min(F.struct("doc", "chunk", "at")).alias("least"), F.count("*").alias("n")).where("n > 1"), "least")
+    late = join_counted(each, least, "key").where(F.struct("doc", "chunk", "at") > F.col("least")).select("chunk", "at", F.lit(1).cast("long").alias("n"))
     return cold.union(late)
 
 
-def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bool = False, keep: tuple[str, ...] = ("doc_id",), hot: int = HOT) -> DataFrame:
     """Per document the ``keep`` columns (doc_id among them), n_bytes, n_removed, n_spans, kept_sha256, and with
     ``with_text`` the text that is left (bytes of a cut character are dropped from it)."""
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     packed = chunks.pack(rows, keep)
-    shards = max(1, packed.count())
-    answers = stored(_requests(packed, shards, length, gram).groupBy("shard").applyInPandas(_settle, "chunk long, sure binary, open binary, hot binary, flags binary, n_open long, n_flags long"), "settled")
-    n_open = answers.agg(F.sum("n_open")).first()[0] or 0
+    answers = stored(chunks.resolve(_requests(packed, length, gram), packed.count, packed.slots, Spans(hot)), "settled")
+    n_open = answers.agg(F.sum("a")).first()[0] or 0
     late = stored(_compare(_spans(packed, answers, -(-n_open // BUCKET_SPANS) or 1, length, gram), length, gram), "late")
-    marks = answers.groupBy("chunk").agg(F.collect_list("sure").alias("sure"))
+    marks = answers.groupBy(F.col("unit").alias("chunk")).agg(F.collect_list("got").alias("got"))  # at most FAN a chunk
     lists = late.groupBy("chunk").agg(F.collect_list("at").alias("at"), F.collect_list("n").alias("n"))
 
     def run(batches):
@@ -399,7 +425,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
             col = lambda c: b.column(b.schema.get_field_index(c))
             for i in range(b.num_rows):
                 raw, offs, _, where = _ordered(col("data")[i].as_py(), col("sizes")[i].as_py(), col("doc_id")[i].as_py())
-                runs = [_runs(x) for x in col("sure")[i].as_py() or []]
+                runs = [_runs(col("got")[i].as_py() or [], SURE)]
                 runs.append((np.array(col("at")[i].as_py() or [], np.int64), np.array(col("n")[i].as_py() or [], np.int64)))
                 a, n = (np.concatenate(x) for x in zip(*runs))
                 edge = np.zeros(len(raw) + 1, np.int64)
@@ -419,7 +445,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
                 del raw, out, cols, gone, edge
                 tb.release()
 
-    joined = packed.join(marks, "chunk", "left").join(lists, "chunk", "left")
+    joined = packed.chunks.join(marks, "chunk", "left").join(lists, "chunk", "left")
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
     out = joined.mapInArrow(run, f"{fields}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string")
     return out if with_text else out.drop("text")

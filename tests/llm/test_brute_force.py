@@ -104,28 +104,78 @@ def test_language_shares_do_not_see_labels(spark):
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}
 
 
-def test_lm(docs, empty):
+def plain_automaton(texts, k):
+    """States are histories as tuples; arcs and failure arcs in dictionaries."""
+    import math
+
+    counts = Counter()
+    for w in texts:
+        line = ["<s>", *w]
+        for size in (1, 2, 3):
+            counts.update(tuple(line[i : i + size]) for i in range(len(line) - size + 1))
+    total, known = sum(map(len, texts)), {x for w in texts for x in w}
+    p1 = lambda x: ((counts[x,] if x in known else 0) + 1) / (total + len(known) + 1)
+    p2 = lambda h, x: (counts[h, x] + k[0] * p1(x)) / (counts[h,] + k[0])
+    p3 = lambda g, h, x: (counts[g, h, x] + k[1] * p2(h, x)) / (counts[g, h] + k[1])
+
+    def walk(w):
+        state, score = ("<s>",), 0.0
+        for x in w:
+            while state and not counts[*state, x]:
+                score += math.log10(k[len(state) - 1] / (counts[state] + k[len(state) - 1]))
+                state = state[1:]
+            score += math.log10((p1, p2, p3)[len(state)](*state, x))
+            state = (*state, x)[-2:] if state else ((x,) if x in known else ())
+        return score
+
+    return walk, total, known, p1
+
+
+def check_lm(got, toks):
     import math
 
-    got = rows_of(lm.score(docs))
-    toks = {i: lower(raw(t)).split() + [None] for i, t, *_ in corpus()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in toks}
-    uni, bi = Counter(), Counter()
+    walk, n, known, p1 = plain_automaton([w for i, w in toks.items() if not held[i]], lm.K)
     for i, w in toks.items():
-        if not held[i]:
-            uni.update(w)
-            bi.update(zip(["<s>", *w], w))
-    n, v = sum(uni.values()), len(uni)
-    for i, w in toks.items():
-        base = [(uni[x] + 1) / (n + v + 1) for x in w]
         r = got[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(uni[x] > 0 for x in w), n)
-        assert abs(r.base_score - sum(map(math.log10, base))) < 1e-5
-        want = sum(math.log10((bi[h, x] + lm.K * p) / (uni[None if h == "<s>" else h] + lm.K)) for h, x, p in zip(["<s>", *w], w, base))
-        assert abs(r.score - want) < 1e-5
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(w), sum(x in known for x in w), n)
+        assert abs(r.base_score - sum(math.log10(p1(x)) for x in w)) < 1e-5
+        assert abs(r.score - walk(w)) < 1e-5, i
+
+
+def test_lm(docs, empty):
+    check_lm(rows_of(lm.score(docs)), {i: lower(raw(t)).split() + [None] for i, t, *_ in corpus()})
     assert lm.score(empty).count() == 0
 
 
+def test_lm_in_rounds(spark, monkeypatch):
+    """A fan of 3 makes bundles of bundles of bundles."""
+    monkeypatch.setattr(lm.chunks, "FAN", 3)
+    rows = [(i, t) for i, t, *_ in corpus(8, 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(30)
+    assert lm.chunks.pack(df).count > 27
+    check_lm(rows_of(lm.score(df)), {i: lower(raw(t)).split() + [None] for i, t in rows})
+
+
+@pytest.mark.parametrize("stretch", [1, 5, 1000])
+def test_lm_stretches(stretch, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(lm, "STRETCH", stretch)
+    r = random.Random(2)
+    texts = [[r.choice("abcde") for _ in range(r.randint(0, 40))] + [None] for _ in range(30)]
+    data = [" ".join(w[:-1]).encode() for w in texts]
+    tok, doc = lm.tokens(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]))
+    train = doc % 3 > 0  # the others bring words and pairs that training lacks
+    pair, triple, later, starts = lm.ngrams(tok, doc)
+    counts = [lm._distinct(k, n)[1] for k, n in ((tok, train), (pair, train), (triple, train[later]))]
+    walk, total, known, _ = plain_automaton([w for i, w in enumerate(texts) if i % 3], lm.K)
+    model = lm.Automaton(tok, doc, counts, len(known), total, lm.K)
+    weight = model.walk(starts, np.append(starts[1:], len(tok)))
+    for i, w in enumerate(texts):
+        assert abs(weight[doc == i].sum() - walk(w)) < 1e-9
+
+
 def brute_fingerprint(t):
     w = lower(raw(t)).split()
     if not w:
@@ -232,11 +282,10 @@ def brute_removed(texts, length):
 
 
 @pytest.mark.parametrize("hot", [20_000, 3])
-def test_suffix(docs, empty, hot, monkeypatch):
-    monkeypatch.setattr(suffix, "HOT", hot)
+def test_suffix(docs, empty, hot):
     texts = {i: raw(t) for i, t, *_ in corpus()}
     want = brute_removed(texts, 100)
-    got = rows_of(suffix.dedup(docs))
+    got = rows_of(suffix.dedup(docs, hot=hot))
     assert len(got) == len(texts)
     for i, b in texts.items():
         g, r = want[i], got[i]
@@ -246,6 +295,19 @@ def test_suffix(docs, empty, hot, monkeypatch):
     assert suffix.dedup(empty).count() == 0
 
 
+def test_suffix_in_rounds(spark, monkeypatch):
+    """A fan of 3 makes bundles of bundles; many texts share passages, some stand whole in others."""
+    monkeypatch.setattr(suffix.chunks, "FAN", 3)
+    r = random.Random(9)
+    make = lambda k: "".join(r.choice("abcdefghijklmnop ") for _ in range(k))
+    shared = [make(r.randint(80, 400)) for _ in range(6)]
+    texts = [make(r.randint(0, 200)) + r.choice(shared) + make(r.randint(0, 90)) + (r.choice(shared) if r.random() < 0.5 else "") for _ in range(60)] + shared * 2
+    want = brute_removed({i: raw(t) for i, t in enumerate(texts)}, 100)
+    for hot in (20_000, 2):
+        got = rows_of(suffix.dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(30), hot=hot))
+        assert {i: x.n_removed for i, x in got.items()} == {i: sum(g) for i, g in want.items()}
+
+
 def test_suffix_anchor_stands_twice(spark):
     r = random.Random(5)
     make = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
