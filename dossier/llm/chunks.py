@@ -38,19 +38,25 @@ def expand(blob, dtype) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(blob), dtype)
 
 
+def _planes(a: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T)
+
+
 def encode(*arrays: np.ndarray) -> bytes:
-    """Arrays in one blob; of unsigned 64-bit ones, which are taken to be sorted,
-    the byte planes of their differences."""
+    """Arrays in one blob, by byte planes. Unsigned 64-bit ones are hashes, best
+    sorted: of their differences only the upper planes can be compressed."""
     parts = []
     for a in arrays:
         if a.dtype == tb.U:
-            raw = np.ascontiguousarray(np.diff(a, prepend=tb.U(0)).view(np.uint8).reshape(-1, 8).T)
+            planes = _planes(np.diff(a, prepend=tb.U(0)))
+            fifth = zstandard.compress(planes[5].tobytes(), 1)
+            raw = len(fifth).to_bytes(4, "little") + planes[:5].tobytes() + fifth + zstandard.compress(planes[6:].tobytes(), 1)
         else:
             if a.dtype.kind == "i" and (not len(a) or a.min() >= 0):
-                a = a.astype(np.min_scalar_type(int(a.max()) if len(a) else 0))
-                a = a.astype(np.int64) if a.dtype == tb.U else a
-            raw = a
-        parts.append(a.dtype.str.encode().ljust(4) + zstandard.compress(raw.tobytes(), 1))
+                fits = np.min_scalar_type(int(a.max()) if len(a) else 0)
+                a = a.astype(fits if fits != tb.U else np.int64)
+            raw = zstandard.compress(_planes(a).tobytes(), 1)
+        parts.append(a.dtype.str.encode().ljust(4) + len(a).to_bytes(4, "little") + raw)
     return np.array([len(parts), *map(len, parts)], "<i4").tobytes() + b"".join(parts)
 
 
@@ -58,12 +64,16 @@ def decode(blob: bytes) -> list[np.ndarray]:
     n = int.from_bytes(blob[:4], "little")
     at, out = 4 * (n + 1), []
     for size in np.frombuffer(blob, "<i4", n, 4).tolist():
-        kind = np.dtype(blob[at : at + 4].decode().strip())
-        raw = zstandard.decompress(blob[at + 4 : at + size])
+        part = blob[at : at + size]
+        kind, many, raw = np.dtype(part[:4].decode().strip()), int.from_bytes(part[4:8], "little"), part[8:]
         if kind == tb.U:
-            out.append(np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(tb.U)[:, 0], dtype=tb.U))
+            cut = 4 + 5 * many
+            upper = cut + int.from_bytes(raw[:4], "little")
+            data = raw[4:cut] + zstandard.decompress(raw[cut:upper]) + zstandard.decompress(raw[upper:])
         else:
-            out.append(np.frombuffer(raw, kind))
+            data = zstandard.decompress(raw)
+        a = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, many).T).view(kind).reshape(-1)
+        out.append(np.cumsum(a, dtype=tb.U) if kind == tb.U else a)
         at += size
     return out
 

@@ -85,3 +85,15 @@ def test_join_of_hot_keys(spark):
     counted = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("low"))
     got = {(r.key, r.v): r.low for r in skew.join_counted(rows, counted, "key").collect()}
     assert len(got) == 3000 and got["hot", 2999] == 1 and got["k2997", 2997] == 2997
+
+
+def test_blobs_of_arrays():
+    import numpy as np
+
+    from dossier.llm import chunks
+
+    r = np.random.RandomState(4)
+    keys = np.sort(r.randint(0, 2**63 - 1, 5000).astype(np.uint64) * np.uint64(2))
+    given = [keys, keys[::-1].copy(), keys[:0], np.zeros(0, np.int64), np.array([0, 255]), np.array([256, 1]), np.array([1 << 40]), np.array([-5, 7]), np.array([True, False]), np.array([(1 << 64) - 1, 0], np.uint64)]
+    for a, b in zip(given, chunks.decode(chunks.encode(*given)), strict=True):
+        assert a.tolist() == b.tolist() and (a.dtype == b.dtype or a.dtype.kind != "u")
