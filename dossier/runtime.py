@@ -36,7 +36,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that all executors share."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="dossier-shared-")).rstrip("/")
-    return f"{base}/dossier-{label}-{uuid.uuid4().hex}"
+    """A fresh path in the folder of ``spark.checkpoint.dir``, which all
+    executors share; a temporary one only in local mode without that setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="dossier-shared-")
+        _OWN[spark.sparkContext.applicationId] = base
+    return f"{base.rstrip('/')}/dossier-{label}-{uuid.uuid4().hex}"
