@@ -2,33 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..runtime import shared_path
 
-_OWN: dict[str, str] = {}
-
-
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where a session has none,
-    as in tests, a temporary one of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="dossier-shared-")
-        found = _OWN[app]
-    return found.rstrip("/")
+_WRITTEN: dict[str, list[str]] = {}
 
 
 def new_path(spark: SparkSession, label: str) -> str:
     """A fresh path for one run; with a scheme, so that tasks and driver agree."""
-    base = shared_root(spark)
-    if "://" not in base:
-        base = "file://" + base.removeprefix("file:")
-    return f"{base}/dossier-{label}-{uuid.uuid4().hex}"
+    path = shared_path(spark, label)
+    return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -36,5 +20,20 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     computed once whoever reads it, and survives a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def written(spark: SparkSession) -> list[str]:
+    """The tables of this session that are still there, in order."""
+    return list(_WRITTEN.get(spark.sparkContext.applicationId, []))
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that nothing will read again."""
+    held = _WRITTEN.get(spark.sparkContext.applicationId, [])
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        held.remove(path)

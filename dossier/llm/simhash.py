@@ -27,13 +27,14 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from . import textbytes as tb
 from .components import connected_components
 from .scratch import stored
+from .skew import join_counted
 
 BLOCKS = (7, 7, 6, 6, 6)
 EVEN = 0x5555555555555555
@@ -105,8 +106,9 @@ def links(fps: DataFrame, most: int = 2, dense: int = 64) -> DataFrame:
     masks = projection_masks()
     e = _embedded(fps)
     cells = e.select("fp", "emb", F.posexplode(F.array(*(F.col("emb").bitwiseAND(F.lit(m)) for m in masks))).alias("grid", "cell"))
-    sizes = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(cells.join(sizes, ["grid", "cell"]), "cells")
+    cells = stored(cells.select("fp", "emb", F.struct("grid", "cell").alias("key")), "cells")
+    sizes = stored(cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    members = stored(join_counted(cells, sizes, "key").select("fp", "emb", "key.grid", "key.cell", "n"), "members")
     few = members.where(F.col("n") <= dense)
     left = few.select("grid", "cell", F.col("fp").alias("a"), F.col("emb").alias("ea"))
     right = few.select("grid", "cell", F.col("fp").alias("b"), F.col("emb").alias("eb"))
@@ -125,17 +127,21 @@ def links(fps: DataFrame, most: int = 2, dense: int = 64) -> DataFrame:
     return near.union(starred)
 
 
+def _least(f: DataFrame, place: Column, dense: int) -> DataFrame:
+    """(fp, least, n): for each fingerprint of ``f`` the smallest ``place`` in its component, and its rows."""
+    each = stored(f.groupBy("fp").agg(F.min(place).alias("low"), F.count("*").alias("n")), "distinct")
+    comp = stored(connected_components(links(each.select("fp"), dense=dense)), "components")
+    least = comp.join(each, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("least"), F.count("*").alias("n"))
+    linked = join_counted(comp, stored(least, "least"), "component").select("node", "least")
+    named = each.join(linked, F.col("fp") == F.col("node"), "left")
+    return stored(named.select("fp", F.coalesce("least", "low").alias("least"), "n"), "named")
+
+
 def near_duplicates(docs: DataFrame, size: int = 3, dense: int = 64) -> DataFrame:
     """(doc_id, fp, fingerprint, component_id) for each row of ``docs``."""
     f = stored(fingerprints(docs, size), "fingerprints")
-    each = stored(f.groupBy("fp").agg(F.min("doc_id").alias("low")), "distinct")
-    comp = stored(connected_components(links(each.select("fp"), dense=dense)), "components")
-    least = comp.join(each, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = comp.join(least, "component").select("node", "component_id")
-    named = each.join(linked, F.col("fp") == F.col("node"), "left")
-    named = named.select(F.col("fp").alias("of"), F.coalesce("component_id", "low").alias("component_id"))
-    out = f.join(named, F.col("fp") == F.col("of"))
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
+    out = join_counted(f, _least(f, F.col("doc_id"), dense), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"), "fp")
 
 
 def first_copies(docs: DataFrame, tie: str, size: int = 3, dense: int = 64) -> DataFrame:
@@ -144,10 +150,4 @@ def first_copies(docs: DataFrame, tie: str, size: int = 3, dense: int = 64) -> D
     ``tie``. Each component has one such row, or several equal in both."""
     place = F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id"), F.col(tie))
     f = stored(fingerprints(docs, size, ("doc_id", tie)), "fingerprints")
-    each = stored(f.groupBy("fp").agg(F.min(place).alias("low")), "distinct")
-    comp = stored(connected_components(links(each.select("fp"), dense=dense)), "components")
-    least = comp.join(each, F.col("node") == F.col("fp")).groupBy("component").agg(F.min("low").alias("least"))
-    linked = comp.join(least, "component").select("node", "least")
-    named = each.join(linked, F.col("fp") == F.col("node"), "left")
-    named = named.select(F.col("fp").alias("of"), F.coalesce("least", "low").alias("least"))
-    return f.join(named, F.col("fp") == F.col("of")).select("doc_id", tie, place.eqNullSafe(F.col("least")).alias("first"))
+    return join_counted(f, _least(f, place, dense), "fp").select("doc_id", tie, place.eqNullSafe(F.col("least")).alias("first"))

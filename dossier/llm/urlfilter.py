@@ -97,14 +97,36 @@ def apply_rules(urls: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES)
     return urls.join(best, ["host", "path"], "left").withColumns({"rule": F.col("x.rule"), "rule_verdict": F.col("x.v")}).drop("x")
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not; empty if it has none."""
+    at = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.concat(*(F.regexp_extract(tag, at, k) for k in (1, 2, 3)))
+
+
+def decoded(text: Column) -> Column:
+    """Character references of the characters that urls are made of: numbers of
+    ASCII characters, and the five names."""
+    code = lambda x: F.coalesce(F.regexp_extract(x, r"^#([0-9]{1,4});", 1).try_cast("int"), F.conv(F.regexp_extract(x, r"^#[xX]([0-9a-fA-F]{1,4});", 1), 16, 10).try_cast("int"))
+    part = lambda x: F.when(code(x).between(32, 126), F.concat(F.char(code(x)), F.regexp_replace(x, r"^#[0-9a-zA-Z]+;", ""))).otherwise(F.concat(F.lit("&"), x))
+    pieces = F.split(text, "&(?=#)")
+    out = F.when(F.size(pieces) > 1, F.array_join(F.transform(pieces, lambda x, i: F.when(i == 0, x).otherwise(part(x))), "")).otherwise(text)
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(c))
+    return out
+
+
 def canonical_edges(pages: DataFrame) -> DataFrame:
-    """(src, dst) urls of ``<link rel=canonical>`` and ``<meta http-equiv=refresh>`` in the html."""
+    """(src, dst) urls of each ``<link>`` whose ``rel`` has the word canonical
+    and each ``<meta http-equiv=refresh>`` with a url in the html."""
     low = F.lower("html")
     tagged = pages.where(low.contains("canonical") | low.contains("refresh"))
-    quoted = "[\"']?"
-    link = F.regexp_extract("html", rf"(?is)<link\b(?=[^>]*\brel\s*=\s*{quoted}canonical\b)[^>]*\bhref\s*=\s*{quoted}([^\"'>\s]+)", 1)
-    meta = F.regexp_extract("html", rf"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*{quoted}refresh\b)[^>]*\burl\s*=\s*{quoted}([^\"'>\s]+)", 1)
-    return tagged.select(F.col("url").alias("src"), F.explode(F.array(link, meta)).alias("dst")).where("dst <> ''")
+    tags = tagged.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<(?:link|meta)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>"), F.lit(0))).alias("tag"))
+    tag = F.col("tag")
+    link = F.lower(tag).startswith("<link") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical")
+    meta = F.lower(tag).startswith("<meta") & (F.lower(F.trim(_attribute(tag, "http-equiv"))) == "refresh")
+    refresh = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*(?:url\s*=\s*)?[\"']?([^\"']*)", 1)
+    target = F.when(link, _attribute(tag, "href")).when(meta, refresh)
+    return tags.select("src", F.trim(decoded(target)).alias("dst")).where("dst <> ''")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None) -> DataFrame:

@@ -502,6 +502,14 @@ def test_relative_links(spark):
     assert {r.page_id: (r.verdict, r.by_alias) for r in got} == {1: ("allow", True), 2: ("block", True), 3: ("block", True), 4: ("block", True), 5: ("allow", False)}
 
 
+def test_links_of_a_page(spark):
+    html = """<LINK REL="alternate canonical" hreflang=x href="http://a.io/1?x=1&amp;y=2">
+      <link href='/2' data-rel=canonical rel="stylesheet"><link title="a > b" rel=canonical href=/3><link rel='canonicals' href=/no>
+      <meta content="5; URL='http://a.io/&#52;&#x2F;&#X5a;'" http-equiv="Refresh"><meta http-equiv=refresh content="7"><link rel=canonical href="/5&#300;&eacute;&#9">"""
+    got = {r.dst for r in urlfilter.canonical_edges(spark.createDataFrame([("http://a.io/p", html), ("http://b.io/", None)], "url string, html string")).collect()}
+    assert got == {"http://a.io/1?x=1&y=2", "/3", "http://a.io/4/Z", "/5&#300;&eacute;&#9"}
+
+
 def test_null_ids(spark):
     df = spark.createDataFrame([(None, "alpha beta gamma delta", None, None), (None, "alpha beta gamma delta", None, None), (4, None, None, None)], "doc_id long, text string, lang string, source string")
     bench = spark.createDataFrame([(1, "beta gamma")], "item_id long, text string")

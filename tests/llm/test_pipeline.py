@@ -102,3 +102,46 @@ def test_null_and_repeated_ids(spark, folder):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {(x.doc_id, x.text) for x in corpus_pipeline.decontaminate(spark, docs, folder).collect()}
     assert kept == {(None, a), (7, c), (None, None)}
+
+
+CLASHES = ["d", "h", "score", "chunk", "n_bytes", "data", "sizes", "lang_pred", "languages", "other_share", "row_hash", "rest", "fp", "first", "at", "got", "a.b"]
+
+
+def test_every_stage_on_awkward_tables(spark, folder):
+    """Null and repeated ids, equal rows, null and blank texts, clashing columns; then no rows at all."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    say = lambda n: " ".join(r.choice(WORDS["en"]) + str(r.randint(0, 400)) for _ in range(n))
+    a, b, c, d = (say(70) for _ in range(4))
+    rows = [(None, a), (None, b), (5, c), (5, d), (5, d), (6, None), (7, ""), (8, " 12 \n")]
+    docs = spark.createDataFrame([(i, t, None, "s", 0, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, void string").repartition(3)
+    for k, name in enumerate(CLASHES):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce("doc_id", F.lit(0)).cast("string")) if k % 2 else F.lit(k))
+    words = {(None, a), (None, b), (5, c), (5, d)}
+    trained = docs.union(spark.createDataFrame([(i, say(70), "en", "s", 0, None, *docs.select(*(f"`{n}`" for n in CLASHES)).first()) for i in range(100, 110)], docs.schema))
+    # as the label is no input of a prediction, rows without one are judged like the others
+    got = corpus_pipeline.language_id(spark, trained, folder).where("doc_id is null or doc_id < 100")
+    assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([*words, (5, d)], key=str)
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["simhash near-dedup"](spark, docs, folder).collect()
+    assert sorted(((x.doc_id, x.text) for x in kept), key=str) == sorted([*words, (6, None), (8, " 12 \n")], key=str)
+    kept = stages["suffix-array dedup"](spark, docs, folder)
+    assert sorted(((x.doc_id, x.text) for x in kept.collect()), key=str) == sorted([*words, (8, " 12 \n")], key=str)
+    assert all(x.n_chars == len(x.text) and x["a.b"] == docs.first()["a.b"] for x in kept.collect())
+    kept = stages["benchmark decontamination"](spark, docs, folder).collect()
+    assert len(kept) == len(rows)
+    pieces = stages["best-fit packing"](spark, docs, folder).collect()
+    assert len(pieces) == len(rows) and all(crc(x.ids) == x.ids_crc32 and len(x.ids) == x.length for x in pieces)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs.limit(0), folder)
+        assert out.count() == 0, name
+        assert name == "best-fit packing" or (out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()), name
+
+
+def test_only_the_result_stays(spark, folder):
+    from dossier.llm import scratch
+
+    before = scratch.written(spark)
+    corpus_pipeline.run(spark, folder)
+    assert len(scratch.written(spark)) == len(before) + len(corpus_pipeline.STAGES)
