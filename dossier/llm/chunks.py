@@ -99,7 +99,7 @@ def pack(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), chunk_bytes: int
         part, seq, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
 
         def row():
-            data = zstandard.compress(b"".join(h[1].tobytes() for h in held), 1)
+            data = zstandard.compress(b"".join(h[1].tobytes() for h in held), 3)
             sizes = squeeze(np.concatenate([np.diff(h[2]) for h in held]).astype("<i8"))
             kept = [pa.concat_arrays([h[0].column(i) for h in held]) for i in range(len(keep))]
             lists = [pa.ListArray.from_arrays(pa.array([0, len(k)], pa.int32()), k) for k in kept]

@@ -47,6 +47,8 @@ K = (32.0, 8.0)
 END = tb.U(0x5851F42D4C957F2D)
 BEGIN = tb.U(0x14057B7EF767814F)
 STRETCH = 128
+#: larger chunks ask for fewer n-grams twice
+CHUNK_BYTES = 6 << 20
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,7 +220,7 @@ class Automaton:
 def score(docs: DataFrame, folds: int = 7, held_fold: int = 2, k: tuple[float, float] = K, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Counts and scores of every text: n_tokens, n_known, train_tokens, base_score, score."""
     rows = docs.select(*keep, (fold(F.col("doc_id"), folds) == held_fold).alias("held"), "text")
-    packed = chunks.pack(rows, (*keep, "held"))
+    packed = chunks.pack(rows, (*keep, "held"), CHUNK_BYTES)
     answers = stored(chunks.resolve(_requests(packed), packed.count, packed.slots, Counts()), "answers")
     words, total = (int(x or 0) for x in answers.agg(F.sum("a"), F.sum("b")).first())
     mine = answers.groupBy(F.col("unit").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("slot", "got"))).alias("got"))  # at most FAN a chunk

@@ -15,13 +15,23 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path if "://" in path else "file://" + path.removeprefix("file:")
 
 
+#: Spark sends this much to a Python worker at once where the session says nothing smaller; rows of blobs are large
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once and gives the written table: cuts the lineage, is
     computed once whoever reads it, and survives a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.parquet(path)
+    given = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(BATCH) if given is None else spark.conf.set(BATCH, given)
     return spark.read.schema(df.schema).parquet(path)
 
 
