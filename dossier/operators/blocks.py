@@ -38,7 +38,5 @@ def status_summary(documents: DataFrame, name: str = "file_name", most: int = 5)
 
 
 def language_of(latin: Column, cyrillic: Column) -> Column:
-    """English, Russian or both by the share of their letters; else unknown."""
-    both = latin + cyrillic
-    share = F.try_divide(cyrillic, both)
-    return F.when(both == 0, "unknown").when(share >= 0.8, "ru").when(share <= 0.2, "en").otherwise("mixed")
+    """English or Russian by the script of the letters, mixed with letters of both; else unknown."""
+    return F.when((latin > 0) & (cyrillic > 0), "mixed").when(cyrillic > 0, "ru").when(latin > 0, "en").otherwise("unknown")

@@ -5,42 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: at most so many sampled keys come to the driver; they only decide where buckets begin
-SAMPLE = 20_000
-BUCKETS = 256
+from ..runtime import written
 
 
-def _boundaries(df: DataFrame, by: list[str]) -> list:
-    n = df.count()
-    rows = sorted(df.select(*by).sample(min(1.0, SAMPLE / max(n, 1) / 2), seed=7).limit(SAMPLE).collect(), key=lambda r: tuple((x is not None, x) for x in r))
-    step = max(1, len(rows) // BUCKETS)
-    return rows[step::step]
+def _dealt(df: DataFrame, by: list[str]) -> DataFrame:
+    """The table in Spark's own range partitions, whose numbers in ``_b`` rise
+    with ``by``. Written, so that the numbers stay what they are; results that
+    build on counts of the partitions are exact, wherever those begin."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(parts, *by).withColumn("_b", F.spark_partition_id()), "ordered")
 
 
-def range_bucket(df: DataFrame, by: list[str]) -> Column:
-    """A number that rises with ``by``; equal keys share it. Whatever was
-    sampled, ranks built on it are exact."""
-    cuts = _boundaries(df, by)
-    if not cuts:
-        return F.lit(0)
-    kinds = [df.schema[c].dataType for c in by]
-    cut = F.array(*(F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(r, kinds, by))) for r in cuts))
-    return F.size(F.filter(cut, lambda x: x <= F.struct(*by)))
+def _with_earlier(d: DataFrame, total: Column) -> DataFrame:
+    """Adds ``_before``: ``total`` over all partitions before the row's."""
+    sums = d.groupBy("_b").agg(total.alias("_s"))
+    earlier = F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
+    return d.join(sums.select("_b", F.coalesce(earlier, F.lit(0)).alias("_before")), "_b")
 
 
 def rank_by_range(df: DataFrame, by: list[str], name: str) -> DataFrame:
     """Places 1..n in the order of ``by``, which should be unique."""
-    d = df.withColumn("_b", range_bucket(df, by))
     here = F.row_number().over(Window.partitionBy("_b").orderBy(*by))
-    sizes = d.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")  # at most BUCKETS rows
-    return d.withColumn("_here", here).join(before, "_b").withColumn(name, (F.col("_here") + F.col("_before")).cast("long")).drop("_b", "_here", "_before")
+    d = _with_earlier(_dealt(df, by), F.count("*"))
+    return d.withColumn(name, (here + F.col("_before")).cast("long")).drop("_b", "_before")
 
 
 def running_total(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
     """Sum of ``value`` up to and with each row in the order of ``by``."""
-    d = df.withColumn("_b", range_bucket(df, by))
-    sizes = d.groupBy("_b").agg(F.sum(value).alias("_s"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_s").over(Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")  # BUCKETS rows
     here = F.sum(value).over(Window.partitionBy("_b").orderBy(*by).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("_here", here).join(before, "_b").withColumn(name, F.col("_here") + F.col("_before")).drop("_b", "_here", "_before")
+    d = _with_earlier(_dealt(df, by), F.sum(value))
+    return d.withColumn(name, here + F.col("_before")).drop("_b", "_before")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dims, text, units
 from ..operators import cards
-from ..runtime import table
+from ..runtime import table, written
 from .candidates import FLOW_UNITS, PRESSURE_UNITS, candidates, line_candidates
 
 
@@ -34,12 +34,18 @@ def _normal(spark, d):
     return cards.normalised(cards.card_key(candidates(spark, d)))
 
 
+def _values_and_normal(spark, d):
+    """Both tables, for what reads them more than once: candidates are made and converted one time."""
+    normal = written(_normal(spark, d), "normal")
+    return written(cards.values(normal), "values"), normal
+
+
 def card_values(spark, d):
     return cards.values(_normal(spark, d)).select("card", "field", "value", "unit", "note", "n_sources", F.round("confidence", 4).alias("confidence"), "has_ref", "verified", "first_ord")
 
 
 def _fields(spark, d):
-    return cards.fields(cards.values(_normal(spark, d)))
+    return cards.fields(_values_and_normal(spark, d)[0])
 
 
 def card_conflicts(spark, d):
@@ -55,16 +61,18 @@ def card_overview(spark, d):
 
 
 def card_issues(spark, d):
-    return cards.issues(_fields(spark, d), _normal(spark, d))
+    values, normal = _values_and_normal(spark, d)
+    return cards.issues(cards.fields(values), normal)
 
 
 def issue_counts_by_code(spark, d):
-    return cards.issues(_fields(spark, d), _normal(spark, d)).groupBy("code", "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("card").alias("n_cards"))
+    return card_issues(spark, d).groupBy("code", "severity").agg(F.count("*").alias("n_issues"), F.countDistinct("card").alias("n_cards"))
 
 
 def card_stats(spark, d):
-    f = _fields(spark, d)
-    return cards.statistics(f, cards.issues(f, _normal(spark, d)))
+    values, normal = _values_and_normal(spark, d)
+    f = written(cards.fields(values), "fields")
+    return cards.statistics(f, cards.issues(f, normal))
 
 
 def duplicate_tags(spark, d):

@@ -123,7 +123,7 @@ ORACLE_SQL = {
     "upload_limits": "SELECT o_custkey, CASE WHEN count(*) > 15 THEN 'too_many_files' WHEN max(o_totalprice) > 300000 THEN 'file_too_large' WHEN sum(o_totalprice) > 1500000 THEN 'upload_too_large' ELSE '' END AS broken FROM orders GROUP BY o_custkey",
     "safe_paths": r"""WITH u AS (SELECT page_id, regexp_replace(substr(url, 8, 60), 'example', '..', 'g') AS p FROM pages), v AS (SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'C:' || p WHEN 1 THEN 'a/../' || p WHEN 2 THEN p || '/nul.txt' ELSE regexp_replace(p, '^/+', '') END AS p FROM u)
         SELECT page_id, p <> '' AND NOT starts_with(p, '/') AND NOT regexp_matches(p, '^[A-Za-z]:') AND NOT list_contains(string_split(p, '/'), '..') AND len([x for x in string_split(p, '/') if regexp_matches(x, '(?i)^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$')]) = 0 AS safe FROM v""",
-    "failure_lines": "SELECT o_orderkey, 'ValueError: order ' || o_orderkey || ' in <path> is bad' AS message FROM orders WHERE o_orderkey % 7 = 0",
+    "failure_lines": "SELECT o_orderkey, 'ValueError: order ' || o_orderkey || ' in <path> is bad' AS message FROM orders",
     "log_metrics": "SELECT o_orderkey, o_orderkey % 100 AS progress, 2::BIGINT AS n_failures, 1.75::DOUBLE AS seconds, 1.5::DOUBLE AS longest FROM orders",
     "file_types": "WITH u AS (SELECT lower(regexp_extract(regexp_replace(url, '[?#].*$', '') || ['', '.XLSX', '.xlsm', '.docx', '.pdf'][page_id % 5 + 1], '\\.([^./\\\\]+)$', 1)) AS s FROM pages) SELECT CASE WHEN s IN ('xlsx', 'xlsm') THEN 'xlsx' WHEN s IN ('docx', 'doc', 'xls', 'pdf', 'txt', 'csv') THEN s ELSE 'other' END AS file_type, count(*) AS n_files FROM u GROUP BY 1",
     "stream_change_events": "SELECT event_id, user_id, event_type FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) WHERE p IS DISTINCT FROM event_type",

@@ -117,13 +117,16 @@ def token_entropy(spark, d):
 
 
 def evidence_verify(spark, d):
-    """Benchmark words against the documents of the same remainder; equi-joined on a word."""
+    """The first word of each benchmark item against the documents that hold it
+    as a word. Words travel without their texts; each distinct value is then
+    verified once a document."""
     docs = table(spark, d, "documents").select("doc_id", "text")
     b = table(spark, d, "benchmark").select("item_id", F.element_at(F.split("text", " "), 1).alias("value"))
-    words = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split(text.evidence_text(F.col("text")), " "))).alias("w"))
-    met = b.join(words, F.lower("value") == F.col("w"))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(text.evidence_text(F.col("text")), " "))).alias("w"))
+    met = words.join(b.select("value", F.lower("value").alias("w")).distinct(), "w").select("doc_id", "value")
     none = F.lit(None).cast("string")
-    return met.select("item_id", "doc_id", evidence.verified(F.col("value"), F.col("text"), none, F.lit("text"), none, F.lit("")).alias("verified"))
+    told = met.join(docs, "doc_id").select("doc_id", "value", evidence.verified(F.col("value"), F.col("text"), none, F.lit("text"), none, F.lit("")).alias("verified"))
+    return b.join(told, "value").select("item_id", "doc_id", "verified")
 
 
 def best_translation(spark, d):
@@ -226,26 +229,26 @@ ORACLE_SQL = {
     "status_counts": f"WITH {_DOCST}, r AS (SELECT *, row_number() OVER (PARTITION BY parse_status ORDER BY path) AS k FROM st) SELECT parse_status, count(*) AS n_documents, string_agg(path, ',' ORDER BY path) FILTER (k <= 5) AS first_names FROM r GROUP BY parse_status",
     "script_metrics": """WITH m AS (SELECT doc_id, length(text) AS chars, length(regexp_replace(text, '[^\\x{4e00}-\\x{9fff}]', '', 'g')) AS cjk, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(text, '[^\\x{400}-\\x{4ff}]', '', 'g')) AS cyrillic, length(regexp_replace(text, '[\\x00-\\x7F]', '', 'g')) AS wide FROM documents)
         SELECT doc_id, chars, cjk, latin, cyrillic, round(latin / greatest(chars, 1), 4) AS latin_ratio, round(cjk / greatest(chars, 1), 4) AS cjk_ratio, chars + wide AS width FROM m""",
-    "doc_language": """WITH m AS (SELECT doc_id, length(regexp_replace(substr(text, 1, 4000), '[^A-Za-z]', '', 'g')) AS l, length(regexp_replace(substr(text, 1, 4000), '[^\\x{400}-\\x{4ff}]', '', 'g')) AS c FROM documents)
-        SELECT doc_id, CASE WHEN l + c = 0 THEN 'unknown' WHEN c / (l + c) >= 0.8 THEN 'ru' WHEN c / (l + c) <= 0.2 THEN 'en' ELSE 'mixed' END AS language FROM m""",
+    "doc_language": """WITH m AS (SELECT doc_id, regexp_matches(text, '[A-Za-z]') AS l, regexp_matches(text, '[\\x{400}-\\x{4ff}]') AS c FROM documents)
+        SELECT doc_id, CASE WHEN l AND c THEN 'mixed' WHEN c THEN 'ru' WHEN l THEN 'en' ELSE 'unknown' END AS language FROM m""",
     "wrapped_lines": "SELECT doc_id, list_sum([greatest(1, ceil((length(x) + length(regexp_replace(x, '[\\x00-\\x7F]', '', 'g'))) / 60.0)) for x in string_split(text, chr(10))])::BIGINT AS n_lines FROM documents",
     "reject_reasons": f"""WITH t AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents)
         SELECT doc_id, CASE WHEN t = '' THEN 'empty' WHEN length(t) > 2000 THEN 'length_limit' WHEN len(regexp_extract_all(t, '[0-9]+')) >= 8 THEN 'serial_number_sequence' WHEN len(regexp_extract_all(t, ':')) >= 4 THEN 'concatenated_labels' WHEN len(string_split(t, ' ')) > 150 THEN 'service_phrase_too_long' WHEN NOT regexp_matches(t, '[0-9]') THEN 'numeric_value_expected' ELSE '' END AS reason FROM t""",
     "truncated_previews": f"WITH t AS (SELECT doc_id, {_FOLD.format('text')} AS t FROM documents) SELECT doc_id, CASE WHEN length(t) > 120 THEN substr(t, 1, 119) || '…' ELSE t END AS preview FROM t",
     "placeholder_tags": f"""WITH h AS (SELECT p_partkey, ['P-', '11-P-XXXX-', 'TBD', 'A/P-', 'N/A', 'p?', 'V-'][p_partkey % 7 + 1] AS head FROM part), t AS (SELECT p_partkey, {_TAGSQL} AS tag FROM h)
         SELECT p_partkey, tag, {_PLACE} AS placeholder, NOT {_PLACE} AND (starts_with(upper(tag), 'P-') OR list_contains(regexp_split_to_array(upper(tag), '[-/]'), 'P')) AS pump FROM t""",
-    "tag_tokens": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'P-' || l_partkey || ',A/P-' || l_suppkey AS tags FROM lineitem WHERE l_linenumber <= 2",
+    "tag_tokens": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'P-' || l_partkey || ',A/P-' || l_suppkey AS tags FROM lineitem",
     "page_specs": """WITH s AS (SELECT l_orderkey, '2-' || l_orderkey % 6 || ', 9,' || l_orderkey % 11 + 3 || '-,-1' AS spec, l_orderkey % 6 AS b, l_orderkey % 11 + 3 AS c FROM lineitem WHERE l_linenumber = 1)
         SELECT l_orderkey, spec, array_to_string([x for x in range(1, 13) if (x >= 2 AND x <= b) OR x = 9 OR x >= c OR x = 1], ',') AS pages FROM s""",
     "column_refs": """SELECT p_partkey, CASE WHEN p_partkey > 702 THEN chr(65 + ((p_partkey - 703) // 676)::INT) ELSE '' END || CASE WHEN p_partkey > 26 THEN chr(65 + (((p_partkey - 27) // 26) % 26)::INT) ELSE '' END || chr(65 + ((p_partkey - 1) % 26)::INT) AS letters, p_partkey AS number FROM part WHERE p_partkey >= 1""",
     "rule_scan": f"WITH {_scan_sql('documents', 'doc_id', 'text', [r[0] for r in rules.RULES], True)} SELECT doc_id, rule, severity, fingerprint, n, first_line FROM found",
     "page_rule_scan": f"WITH {_scan_sql('pages', 'page_id', 'html', ('email', 'ipv4', 'phone'), False)} SELECT rule, severity, count(*) AS n_findings, count(DISTINCT page_id) AS n_pages FROM found GROUP BY ALL",
-    "denylist_scan": """WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM documents), b AS (SELECT DISTINCT array_to_string(w[1:5], ' ') AS g FROM (SELECT [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM benchmark) WHERE len(w) >= 5),
+    "denylist_scan": """WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM documents), b AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM benchmark), unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
         r AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5) SELECT doc_id, count(*) AS n_denied FROM r WHERE g IN (SELECT g FROM b) GROUP BY doc_id""",
     "token_entropy": f"WITH t AS (SELECT c_custkey, c_name || trunc(c_acctbal)::BIGINT AS token FROM customer) SELECT c_custkey, round({_ENT.format('token')}, 6) AS bits FROM t",
     "evidence_verify": f"""WITH b AS (SELECT item_id, string_split(text, ' ')[1] AS v FROM benchmark), d AS (SELECT doc_id, lower({_FOLD.format('text')}) AS t FROM documents), w AS (SELECT DISTINCT doc_id, t, unnest(string_split(t, ' ')) AS w FROM d)
         SELECT item_id, doc_id, v <> '' AND contains(t, lower(v)) AS verified FROM b JOIN w ON lower(v) = w""",
-    "best_translation": """WITH m AS (SELECT item_id, conv_id, turn, 2 + CASE WHEN length(c.text) % 7 = length(b.text) % 7 THEN 6 ELSE 0 END + CASE WHEN length(c.text) > length(b.text) THEN 4 ELSE 0 END AS score FROM benchmark b JOIN conversations c ON item_id % 20 = conv_id % 20 AND turn <= 1)
+    "best_translation": """WITH m AS (SELECT item_id, conv_id, turn, 2 + CASE WHEN length(c.text) % 7 = length(b.text) % 7 THEN 6 ELSE 0 END + CASE WHEN length(c.text) > length(b.text) THEN 4 ELSE 0 END AS score FROM benchmark b JOIN conversations c ON item_id % 20 = conv_id % 20)
         SELECT item_id, score::BIGINT AS score, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) AS k FROM m WHERE score >= 6) WHERE k = 1""",
     "first_match": "SELECT l.doc_id, min(o.doc_id) AS other_id FROM labels l JOIN documents d USING (doc_id) LEFT JOIN documents o ON o.source = d.source AND o.n_chars % 40 = d.n_chars % 40 AND o.doc_id <> l.doc_id WHERE toxic = 1 GROUP BY l.doc_id",
     "orphan_segments": """WITH d AS (SELECT doc_id FROM documents WHERE doc_id % 3 <> 0), s AS (SELECT doc_id, count(*) AS n FROM labels GROUP BY doc_id)

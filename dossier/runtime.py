@@ -49,3 +49,10 @@ def shared_path(spark: SparkSession, label: str) -> str:
         base = _OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="dossier-shared-")
         _OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/dossier-{label}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Writes ``df`` to the shared folder and gives the table: computed once, whoever reads it."""
+    path = shared_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
