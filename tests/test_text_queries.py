@@ -16,9 +16,9 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def test_doc_language_sees_the_whole_text(spark, tmp_path):
-    texts = {1: "a" * 5000 + "я" * 5000, 2: "a" * 4000 + "я" * 40_000, 3: "a" * 9000, 4: "1"}
+    texts = {1: "a" * 5000 + "я" * 5000, 2: "a" * 4000 + "я" * 40_000, 3: "a" * 9000, 4: "1", 5: "я 1", 6: "a" * 50_000 + "я"}
     d = folder(spark, tmp_path, documents=([(i, t, None, "s", len(t)) for i, t in texts.items()], DOCS))
-    assert {r.doc_id: r.language for r in Q.doc_language(spark, d).collect()} == {1: "mixed", 2: "ru", 3: "en", 4: "unknown"}
+    assert {r.doc_id: r.language for r in Q.doc_language(spark, d).collect()} == {1: "mixed", 2: "mixed", 3: "en", 4: "unknown", 5: "ru", 6: "mixed"}
 
 
 def test_best_translation_takes_all_turns(spark, tmp_path):
