@@ -18,6 +18,9 @@ def new_path(spark: SparkSession, label: str) -> str:
 #: Spark sends this much to a Python worker at once where the session says nothing smaller; rows of blobs are large
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
+#: a row group is held whole by who writes it and by who reads it; its size is looked at from the fourth row on
+#: (by default from the hundredth), since rows may be blobs of megabytes
+ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4"}
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -29,7 +32,7 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     given = spark.conf.get(BATCH, None)
     spark.conf.set(BATCH, BATCH_BYTES)
     try:
-        df.write.parquet(path)
+        df.write.options(**ROW_GROUPS).parquet(path)
     finally:
         spark.conf.unset(BATCH) if given is None else spark.conf.set(BATCH, given)
     return spark.read.schema(df.schema).parquet(path)

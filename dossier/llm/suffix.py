@@ -335,8 +335,12 @@ def _spans(packed: chunks.Packed, answers: DataFrame, buckets: int, length: int,
                             [pa.array((v[c] % tb.U(buckets)).astype(np.int64)), pa.array(hot[c]), pa.array(doc[c]), pa.array([col("chunk")[i].as_py()] * len(span), pa.int64()), pa.array(a[c]), pa.array(place[c]), pa.array(span, pa.binary())],
                             names=["bucket", "hot", "doc", "chunk", "at", "place", "span"],
                         )
+                        del span
+                del raw, text, got
+                tb.release()
 
-    return stored(packed.chunks.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, place long, span binary"), "spans")
+    texts = packed.chunks.select("chunk", "data", "sizes", "doc_id")
+    return stored(texts.join(mine, "chunk").mapInArrow(run, "bucket long, hot boolean, doc long, chunk long, at long, place long, span binary"), "spans")
 
 
 def _anchor_of(raw: np.ndarray, a: np.ndarray, n: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
