@@ -74,6 +74,10 @@ def cut(data: np.ndarray, offs: np.ndarray, drop_space: bool) -> tuple[np.ndarra
     return starts, ends
 
 
+#: pieces that the tokenizer encodes at once: its result for one takes far more room than the ids
+BATCH_WORDS = 2048
+
+
 class Encoder:
     """``drop_space``: the tokenizer ignores white space between words."""
 
@@ -120,7 +124,10 @@ class Encoder:
 
     def _texts(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> list[list[int]]:
         words = [raw[s:e].decode("utf-8", "replace") for s, e in zip(starts.tolist(), ends.tolist())]
-        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        out = []
+        for k in range(0, len(words), BATCH_WORDS):
+            out += [x.ids for x in self.tokenizer.encode_batch_fast(words[k : k + BATCH_WORDS], add_special_tokens=False)]
+        return out
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids of the texts and where each text's ids begin."""

@@ -103,7 +103,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
             crc = [zlib.crc32(wide[s : s + n]) for s, n in zip(at, length.tolist())]
             out = [b.column(0).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(doc), part), pa.int32()), pa.array(rank)]
             if with_ids:
-                out.append(pa.array([wide[s : s + n].astype(np.int32) for s, n in zip(at, length.tolist())], pa.list_(pa.int32())))
+                # pieces stand one after the other, so the list column is the flat ids and where each begins
+                out.append(pa.ListArray.from_arrays(pa.array([*at, len(wide)], pa.int32()), pa.array(wide.view("<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(out)])
 
     kind = kept.schema["doc_id"].dataType.simpleString()
