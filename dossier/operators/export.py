@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import ids
+
 # fixed values: the actions a reviewer may choose
 REVIEW_ACTIONS = ("confirm", "correct", "reject", "ask_supplier", "defer")
 
@@ -17,6 +19,32 @@ def review_reasons(confidence: Column, has_source: Column, status: Column, pendi
     return F.array_join(F.array_compact(reasons), ";")
 
 
+def parameters(card_fields: DataFrame, values: DataFrame) -> DataFrame:
+    """A row for each value of a card's field, or one empty row for a field
+    without values, with what a reviewer has to look at in ``issue``. One
+    equi-join on card and field; the tag itself needs no value."""
+    own = F.col("field") == "tag_no"
+    v = values.select("card", "field", "value", "unit", "n_sources", "has_ref", "verified", "confidence", F.lit(True).alias("given"))
+    rows = card_fields.select("card", "tag", "field", "status").join(v, ["card", "field"], "left")
+    issue = F.when(F.col("given").isNull() & ~own, "f_field_without_values").when(~F.col("has_ref"), "f_parameter_without_source")
+    return rows.select(
+        "card", "tag", "field", "status",
+        F.coalesce("value", F.when(own, F.col("tag")), F.lit("")).alias("value"),
+        F.coalesce("unit", F.lit("")).alias("unit"),
+        F.coalesce("n_sources", F.lit(0)).cast("long").alias("n_sources"),
+        F.when(F.col("verified"), "yes").when(~F.col("verified"), "no").otherwise("").alias("evidence_verified"),
+        "confidence",
+        issue.alias("issue"),
+    )
+
+
+def issue_rows(found: DataFrame, params: DataFrame) -> DataFrame:
+    """The cards' findings and those of the parameter rows, each with the action that a reviewer begins with."""
+    derived = params.where("issue is not null").select("card", F.col("field").alias("field_name"), F.col("issue").alias("code"), F.lit("warning").alias("severity")).distinct()
+    derived = derived.withColumn("issue_id", ids.keyed("f_", 12, F.col("code"), F.col("card"), F.col("field_name")))
+    return found.unionByName(derived).withColumn("review_action", F.lit(REVIEW_ACTIONS[0]))
+
+
 def cell_text(c: Column, kind: str = "string") -> Column:
     """What a workbook cell shows: nested values as JSON, null as empty."""
     return F.coalesce(F.to_json(c) if kind.startswith(("array", "map", "struct")) else c.cast("string"), F.lit(""))

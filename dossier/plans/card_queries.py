@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dims, text, units
-from ..operators import cards
+from ..operators import cards, export
 from ..runtime import table, written
 from .candidates import FLOW_UNITS, PRESSURE_UNITS, candidates, line_candidates
 
@@ -75,6 +75,17 @@ def card_stats(spark, d):
     return cards.statistics(f, cards.issues(f, normal))
 
 
+def export_parameters(spark, d):
+    values, _ = _values_and_normal(spark, d)
+    return export.parameters(cards.fields(values), values).withColumn("confidence", F.round("confidence", 4))
+
+
+def export_issues(spark, d):
+    values, normal = _values_and_normal(spark, d)
+    f = written(cards.fields(values), "fields")
+    return export.issue_rows(cards.issues(f, normal), export.parameters(f, values))
+
+
 def duplicate_tags(spark, d):
     return cards.duplicate_tags(candidates(spark, d))
 
@@ -99,7 +110,7 @@ def card_page_modes(spark, d):
     return n.select("card", "n_lines", "n_chars", F.when((F.col("n_lines") > 17) | (F.col("n_chars") > 650), "single").otherwise("paired").alias("page_mode"))
 
 
-QUERIES = {f.__name__: f for f in (unit_flow, unit_pressure, decimal_range, card_values, card_conflicts, card_missing, card_overview, card_issues, issue_counts_by_code, card_stats, duplicate_tags, natural_sort_rank, template_coverage, card_page_modes)}
+QUERIES = {f.__name__: f for f in (unit_flow, unit_pressure, decimal_range, card_values, card_conflicts, card_missing, card_overview, card_issues, issue_counts_by_code, card_stats, export_parameters, export_issues, duplicate_tags, natural_sort_rank, template_coverage, card_page_modes)}
 
 _list = lambda names: "[" + ", ".join(f"'{x}'" for x in names) + "]"
 _PLAIN = "regexp_replace(regexp_replace(({0})::DECIMAL(38,10)::VARCHAR, '0+$', ''), '\\.$', '')"
@@ -146,6 +157,10 @@ ISSUES_SQL = f"""{FIELDS_SQL}, iss AS (SELECT *, 'issue_' || substr(sha1(code ||
       CASE WHEN status = '{dims.CONFLICT}' THEN 'high_risk' ELSE 'warning' END AS severity FROM flds WHERE status <> '{dims.EXTRACTED}'
     UNION ALL SELECT DISTINCT card, field, 'pressure_value_or_unit_unrecognized', 'high_risk' FROM normal WHERE note = '{units.REVIEW[1]}'
     UNION ALL SELECT card, 'tag_no', 'duplicate_tag_merged', 'information' FROM normal GROUP BY card HAVING count(DISTINCT source_row) > 1))"""
+PARAMS_SQL = f"""params AS (SELECT f.card, f.tag, f.field, f.status, coalesce(v.value, CASE WHEN f.field = 'tag_no' THEN f.tag END, '') AS value, coalesce(v.unit, '') AS unit, coalesce(v.n_sources, 0)::BIGINT AS n_sources,
+    CASE WHEN verified THEN 'yes' WHEN NOT verified THEN 'no' ELSE '' END AS evidence_verified, round(v.confidence, 4) AS confidence,
+    CASE WHEN v.card IS NULL AND f.field <> 'tag_no' THEN 'f_field_without_values' WHEN NOT has_ref THEN 'f_parameter_without_source' END AS issue
+  FROM flds f LEFT JOIN vals v ON v.card = f.card AND v.field = f.field)"""
 _count = lambda s: f"count(*) FILTER (status = '{s}')"
 
 ORACLE_SQL = {
@@ -160,6 +175,9 @@ ORACLE_SQL = {
     "card_issues": f"WITH {ISSUES_SQL} SELECT card, field_name, code, severity, issue_id FROM iss",
     "issue_counts_by_code": f"WITH {ISSUES_SQL} SELECT code, severity, count(*) AS n_issues, count(DISTINCT card) AS n_cards FROM iss GROUP BY code, severity",
     "card_stats": f"WITH {ISSUES_SQL} SELECT * FROM (SELECT count(DISTINCT card) AS n_cards, 0::BIGINT AS n_untagged, {_count(dims.CONFLICT)} AS n_conflicts, {_count(dims.MISSING)} AS n_missing, {_count(dims.LOW_CONFIDENCE)} AS n_low, sum(n_values)::BIGINT AS n_values FROM flds) CROSS JOIN (SELECT count(*) AS n_issues, count(*) FILTER (code = 'duplicate_tag_merged') AS n_merged FROM iss)",
+    "export_parameters": f"WITH {FIELDS_SQL}, {PARAMS_SQL} SELECT * FROM params",
+    "export_issues": f"""WITH {ISSUES_SQL}, {PARAMS_SQL}, every AS (SELECT card, field_name, code, severity, issue_id FROM iss UNION ALL
+        SELECT DISTINCT card, field, issue, 'warning', 'f_' || substr(sha1(issue || ':' || card || ':' || field), 1, 12) FROM params WHERE issue IS NOT NULL) SELECT *, 'confirm' AS review_action FROM every""",
     "duplicate_tags": f"WITH {CAND_SQL} SELECT lower(tag) AS card, count(DISTINCT source_row) AS n_rows, count(*) AS n_candidates FROM cand GROUP BY 1 HAVING count(DISTINCT source_row) > 1",
     "natural_sort_rank": """WITH t AS (SELECT DISTINCT tag FROM (SELECT 'P-' || p_partkey || '/' || p_brand AS tag FROM part UNION ALL SELECT 'p-' || s_suppkey FROM supplier))
         SELECT tag, row_number() OVER (ORDER BY array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END for x in regexp_extract_all(lower(tag), '[0-9]+|[^0-9]+')], ''), lower(tag)) AS place FROM t""",
