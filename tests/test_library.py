@@ -320,3 +320,20 @@ def test_archives(spark, tmp_path):
     got = {r.path.rsplit("/", 1)[1]: (r.text, r.note) for r in archives.texts(spark, str(tmp_path)).collect()}
     assert got["a.zip!b.txt"] == ("bee", "") and got["a.zip!p.png"] == ("Author: me\nNote: deep", "")
     assert got["bad.zip"] == ("", "not_an_archive") and got["a.zip!c.zip!d.zip!e.zip"] == ("", "archive_too_deep")
+
+
+def test_parameter_rows_and_their_issues(spark):
+    fields = spark.createDataFrame([("c", "C", "tag_no", "extracted"), ("c", "C", "density", "extracted"), ("c", "C", "viscosity", "missing")], "card string, tag string, field string, status string")
+    values = spark.createDataFrame([("c", "density", "1", "kg/m3", 2, True, True, 0.9), ("c", "density", "2", None, 1, False, False, None)], "card string, field string, value string, unit string, n_sources long, has_ref boolean, verified boolean, confidence double")
+    rows = export.parameters(fields, values)
+    got = {(r.field, r.value): (r.unit, r.n_sources, r.evidence_verified, r.issue) for r in rows.collect()}
+    assert got == {
+        ("tag_no", "C"): ("", 0, "", None),
+        ("density", "1"): ("kg/m3", 2, "yes", None),
+        ("density", "2"): ("", 1, "no", "f_parameter_without_source"),
+        ("viscosity", ""): ("", 0, "", "f_field_without_values"),
+    }
+    found = spark.createDataFrame([("c", "density", "field_value_conflict", "high_risk", "i1")], "card string, field_name string, code string, severity string, issue_id string")
+    issues = export.issue_rows(found, rows).collect()
+    assert sorted((r.field_name, r.code, r.review_action) for r in issues) == [("density", "f_parameter_without_source", "confirm"), ("density", "field_value_conflict", "confirm"), ("viscosity", "f_field_without_values", "confirm")]
+    assert export.parameters(fields.limit(0), values).count() == 0
