@@ -76,6 +76,8 @@ def cut(data: np.ndarray, offs: np.ndarray, drop_space: bool) -> tuple[np.ndarra
 
 #: pieces that the tokenizer encodes at once: its result for one takes far more room than the ids
 BATCH_WORDS = 2048
+#: bytes of text encoded at once: offsets, hashes and slots of its words take some seventy times as much
+SLICE_BYTES = 1 << 19
 
 
 class Encoder:

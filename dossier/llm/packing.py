@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from . import textbytes as tb
-from .encode import encoder, with_end
+from .encode import SLICE_BYTES, encoder, with_end
 from .scratch import stored
 
 CAPACITY = 4096
@@ -85,7 +85,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
 
     def run(batches):
         enc, part, seen = encoder(vocabulary, drop_space), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b, data, offs in tb.pieces(batches, "text"):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES):
             ids, begins = with_end(*enc.encode(data, offs), end_id)
             each = -(-np.diff(begins) // capacity)
             doc = np.repeat(np.arange(len(each)), each)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from ..runtime import ship_package
 from . import ranges, store
 from . import textbytes as tb
-from .encode import encoder, with_end
+from .encode import SLICE_BYTES, encoder, with_end
 from .scratch import new_path, stored
 
 SHARD_BYTES = 32 << 20
@@ -85,7 +85,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Fals
 
     def run(batches):
         enc, now = encoder(vocabulary, drop_space), None
-        for b, data, offs in tb.pieces(batches, "text"):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES):
             ids, begins = with_end(*enc.encode(data, offs), end_id)
             shard = b.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), len(shard)]
