@@ -6,7 +6,8 @@ histogram of lengths goes to the driver. A bin starts with the longest length
 left; bitset subset-sum dynamic programming over the others finds the fullest
 feasible combination, which is taken as often as the counts allow. Each
 combination uses up a length, so their number is bounded whatever the input.
-Pieces then find their place by their rank among the pieces of their length;
+Only the tokenizing runs in Python; pieces and their ids then stay in the JVM.
+Pieces find their place by their rank among the pieces of their length;
 ranks come from counts per task and length, not from sorting pieces.
 
 Edge cases: a null text is empty and has the end id alone; null or repeated
@@ -116,20 +117,19 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True,
     p = stored(pieces(docs, vocabulary, end_id, drop_space, capacity, with_ids), "pieces")
     counts = stored(p.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
-    rows = np.array(sorted(plan(totals, capacity)) or np.zeros((0, 6)), np.int64)
-    key = rows[:, 0] << 40 | rows[:, 1] if len(rows) else np.zeros(0, np.int64)
+    slots: dict[int, list[tuple[int, int, int, int]]] = {}
+    for length, first, n, _, start, offset in plan(totals, capacity):
+        slots.setdefault(length, []).append((first, n, start, offset))
+    # at most `capacity` lengths and combinations, so this table never grows beyond that
+    places = p.sparkSession.createDataFrame(list(slots.items()), "length long, slots array<struct<first: long, n: long, bin: long, offset: long>>")
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     base = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("base"))
-    ranked = p.join(base, ["part", "length"]).withColumn("rank", F.col("rank") + F.col("base")).drop("part", "base")
-    names = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids", "rank") if c in ranked.columns]
-
-    def place(batches):
-        for b in batches:
-            length, rank = (b.column(b.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
-            r = rows[np.searchsorted(key, length << 40 | rank, "right") - 1]
-            at = rank - r[:, 1]
-            seq, off = r[:, 4] + at // r[:, 2], r[:, 5] + at % r[:, 2] * length
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(seq), pa.array(off)], names=[*names[:-1], "sequence_id", "offset"])
-
-    fields = ", ".join(f"`{c}` {ranked.schema[c].dataType.simpleString()}" for c in names[:-1])
-    return ranked.select(*names).mapInArrow(place, f"{fields}, sequence_id long, offset long")
+    ranked = p.join(base, ["part", "length"]).join(F.broadcast(places), "length").withColumn("rank", F.col("rank") + F.col("base"))
+    # the ranks of a length fall to its combinations in order: the last that begins at or before the rank
+    held = ranked.withColumn("slot", F.element_at(F.filter("slots", lambda x: x["first"] <= F.col("rank")), -1))
+    names = [c for c in ("doc_id", "piece", "start", "length", "ids_crc32", "ids") if c in p.columns]
+    return held.select(
+        *names,
+        F.expr("slot.bin + (rank - slot.first) div slot.n").alias("sequence_id"),
+        F.expr("slot.offset + (rank - slot.first) % slot.n * length").alias("offset"),
+    )
