@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontam, langid, lm, packing, quality, simhash, suffix, tokenfile, urlfilter, warc
+from . import decontam, langid, lm, merkle, packing, quality, simhash, suffix, tokenfile, urlfilter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -57,13 +57,17 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "by_alias")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_lm_scoring, op4_simhash, op5_decontamination, op6_suffix_dedup, op7_packing, op8_warc, op9_token_file, op10_url_filters, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_lm_scoring, op4_simhash, op5_decontamination, op6_suffix_dedup, op7_packing, op8_warc, op9_token_file, op10_url_filters, op11_merkle_manifest, pipeline)}
 
 # a word: no blank, tab, line feed, vertical tab, form feed or carriage return
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -104,14 +108,19 @@ def _op1_sql() -> str:
 _LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+# DuckDB has no crc32: the table of its bytes' remainders is built by a recursive step over 8 bits
+_CRC_TABLE = """tab AS (SELECT b, b AS c, 0 AS k FROM range(256) AS t(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
+    crc AS (SELECT list(c ORDER BY b) AS t FROM tab WHERE k = 8)"""
+# of an ASCII string, beside the row of crc
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split({0}, '') if x <> '']), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295)"
+
+
 def _op3_sql() -> str:
-    # DuckDB has no crc32: the table of its bytes' remainders is built by a recursive step over 8 bits
     k1, k2 = (f"{k!r}::DOUBLE" for k in lm.K)
     return f"""
-    WITH RECURSIVE tab AS (SELECT b, b AS c, 0 AS k FROM range(256) AS t(b) UNION ALL SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM tab WHERE k < 8),
-    crc AS (SELECT list(c ORDER BY b) AS t FROM tab WHERE k = 8),
+    WITH RECURSIVE {_CRC_TABLE},
     ids AS (SELECT doc_id, coalesce(doc_id::VARCHAR, '') AS s FROM (SELECT DISTINCT doc_id FROM documents)),
-    held AS (SELECT doc_id, xor(list_reduce(list_prepend(4294967295::BIGINT, [ascii(x)::BIGINT for x in string_split(s, '') if x <> '']), lambda a, x: xor(a >> 8, t[(xor(a, x) & 255) + 1])), 4294967295) % 7 = 2 AS held_out FROM ids CROSS JOIN crc),
+    held AS (SELECT doc_id, {_CRC.format('s')} % 7 = 2 AS held_out FROM ids CROSS JOIN crc),
     tok AS (SELECT doc_id, held_out, list_append({_WORDS.format(_LOWER.format("text"))}, chr(0)) AS w FROM documents JOIN held USING (doc_id)),
     flat AS (SELECT doc_id, held_out, w[i] AS t, CASE WHEN i = 1 THEN chr(1) ELSE w[i - 1] END AS h, CASE WHEN i = 2 THEN chr(1) WHEN i > 2 THEN w[i - 2] END AS g FROM tok, unnest(range(1, len(w) + 1)) AS u(i)),
     uni AS (SELECT t, count(*) AS c FROM flat WHERE NOT held_out GROUP BY t),
@@ -160,5 +169,29 @@ def _op10_sql() -> str:
     SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict, false AS by_alias FROM u"""
 
 
+def _op11_sql() -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    # levels of a tree: every three nodes become one while several remain
+    up = lambda name, first: f"""{name} AS ({first} UNION ALL
+      SELECT g, depth + 1, i // 3, sha256(string_agg(h, '' ORDER BY i)), (n + 2) // 3 FROM {name} WHERE n > 1 GROUP BY g, depth, i // 3, n)"""
+    beside = lambda name: f"""(SELECT g, depth, i, coalesce(string_agg(h, '') OVER (run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+      coalesce(string_agg(h, '') OVER (run ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM {name} WHERE n > 1 WINDOW run AS (PARTITION BY g, depth, i // 3 ORDER BY i))"""
+    return f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    d AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf("text")} AS leaf, CASE WHEN {_CRC.format("doc_id::VARCHAR")} % 2 = 0 AND text IS NOT NULL THEN {leaf("replace(text, chr(10), '')")} END AS changed FROM documents CROSS JOIN crc),
+    own AS (SELECT *, row_number() OVER () AS u, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM d),
+    {up("node", "SELECT g, 0 AS depth, i, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM own")},
+    sub AS (SELECT g, depth AS levels, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i FROM node WHERE n = 1),
+    {up("above", "SELECT '' AS g, 0 AS depth, i, subroot AS h, count(*) OVER () AS n FROM sub")},
+    step AS (SELECT u, depth AS k, l, r FROM own JOIN {beside("node")} b ON own.g = b.g AND b.i = own.i // (3 ** depth)::BIGINT
+      UNION ALL SELECT u, levels + depth, l, r FROM own JOIN sub USING (g) JOIN {beside("above")} b ON b.i = sub.i // (3 ** depth)::BIGINT),
+    proof AS (SELECT u, sha256(string_agg(l || r, '' ORDER BY k)) AS proof FROM step GROUP BY u),
+    fold AS (SELECT u, 0 AS k, coalesce(changed, leaf) AS h FROM own UNION ALL SELECT u, k + 1, sha256(l || h || r) FROM fold JOIN step USING (u, k)),
+    folded AS (SELECT u, max_by(h, k) AS folded_root FROM fold GROUP BY u)
+    SELECT doc_id, leaf, subroot, root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root AS verified
+    FROM own JOIN sub USING (g) JOIN folded USING (u) LEFT JOIN proof USING (u) CROSS JOIN (SELECT h AS root FROM above WHERE n = 1)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op5_decontamination": _op5_sql(), "op8_warc": _OP8_SQL, "op10_url_filters": _op10_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op5_decontamination": _op5_sql(), "op8_warc": _OP8_SQL, "op10_url_filters": _op10_sql(), "op11_merkle_manifest": _op11_sql()}
