@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import table
-from . import decontam, langid, lm, merkle, packing, quality, simhash, suffix, tokenfile, urlfilter, warc
+from . import decontam, langid, lm, merkle, packing, pii, quality, repair, simhash, suffix, tokenfile, urlfilter, warc
 
 
 def vocabulary(name: str) -> str:
@@ -61,13 +61,21 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_lm_scoring, op4_simhash, op5_decontamination, op6_suffix_dedup, op7_packing, op8_warc, op9_token_file, op10_url_filters, op11_merkle_manifest, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_language_id, op3_lm_scoring, op4_simhash, op5_decontamination, op6_suffix_dedup, op7_packing, op8_warc, op9_token_file, op10_url_filters, op11_merkle_manifest, op12_personal_data, op13_conversation_repair, pipeline)}
 
 # a word: no blank, tab, line feed, vertical tab, form feed or carriage return
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -193,5 +201,35 @@ def _op11_sql() -> str:
     FROM own JOIN sub USING (g) JOIN folded USING (u) LEFT JOIN proof USING (u) CROSS JOIN (SELECT h AS root FROM above WHERE n = 1)"""
 
 
+def _op13_sql() -> str:
+    blanks = " || ".join(f"chr({c})" for c in (32, 9, 10, 11, 12, 13))
+    # states: 1 nothing yet, 2 after system, 3 after user, 4 after assistant; costs from a turn on, inserts included
+    stays, made = "CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000000 ELSE (fault = 'truncated')::BIGINT END", "CASE s WHEN 3 THEN 4 ELSE 3 END"
+    kept = lambda s: f"CASE WHEN x = 's' AND {s} = 1 THEN 2 WHEN x = 'u' AND {s} <> 3 THEN 3 WHEN x = 'a' AND {s} = 3 THEN 4 END"
+    least = lambda s: f"least(3 + c[{s}], coalesce(c[{kept(s)}] + e, 1000000000), 2 + e + c[{4 if s == 3 else 3}])"
+    return f"""
+    WITH RECURSIVE {_CRC_TABLE},
+    r AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS f FROM conversations CROSS JOIN crc),
+    d AS (SELECT coalesce('=' || conv_id, '') AS g, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+      FROM r, unnest(CASE WHEN f = 3 THEN [0, 1] ELSE [0] END) AS u(copy) WHERE f <> 0),
+    n AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY g) AS m, left(role, 1) AS x, rtrim(text, {blanks}) AS body FROM d),
+    t AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY g, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+      lag(x) OVER (PARTITION BY g ORDER BY i) || x NOT IN ('su', 'ua', 'au') AS illegal FROM n),
+    e AS (SELECT *, {stays} AS e FROM t),
+    v AS (SELECT g, i + 1 AS i, [0, 4, 2, 0]::BIGINT[] AS c FROM e WHERE i = m
+      UNION ALL SELECT g, i, [least(b1, 2 + b3, 4 + b4), least(b2, 2 + b3, 4 + b4), least(b3, 2 + b4), least(b4, 2 + b3)]
+      FROM (SELECT g, e.i, {least(1)} AS b1, {least(2)} AS b2, {least(3)} AS b3, {least(4)} AS b4 FROM v JOIN e USING (g) WHERE e.i = v.i - 1)),
+    w AS (SELECT g, 1::BIGINT AS i, 1 AS s, '' AS audit, []::VARCHAR[] AS lines FROM (SELECT DISTINCT g FROM e)
+      UNION ALL SELECT g, i + (letter <> 'I')::BIGINT, CASE letter WHEN 'D' THEN s WHEN 'K' THEN {kept("s")} ELSE {made} END, audit || letter,
+        CASE letter WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text) ELSE list_append(lines, CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || CASE letter WHEN 'R' THEN text ELSE '' END) END
+      FROM (SELECT w.*, x, role, text, CASE WHEN e.i IS NULL THEN CASE WHEN h.c[s] > 0 THEN 'I' END WHEN 3 + a.c[s] = h.c[s] THEN 'D' WHEN 2 + h.c[{made}] = h.c[s] THEN 'I' WHEN e + a.c[{kept("s")}] = h.c[s] THEN 'K' ELSE 'R' END AS letter
+        FROM w JOIN v h ON h.g = w.g AND h.i = w.i LEFT JOIN v a ON a.g = w.g AND a.i = w.i + 1 LEFT JOIN e ON e.g = w.g AND e.i = w.i) WHERE letter IS NOT NULL),
+    best AS (SELECT g, max_by(audit, length(audit)) AS audit, max_by(lines, length(audit)) AS lines FROM w GROUP BY g),
+    cnt AS (SELECT g, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM t GROUP BY g)
+    SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(v.c[1], 0) AS cost,
+      coalesce(audit, '') AS audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id, coalesce('=' || conv_id, '') AS g FROM conversations) LEFT JOIN cnt USING (g) LEFT JOIN best USING (g) LEFT JOIN v ON v.g = cnt.g AND v.i = 1"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op5_decontamination": _op5_sql(), "op8_warc": _OP8_SQL, "op10_url_filters": _op10_sql(), "op11_merkle_manifest": _op11_sql()}
+    return {"op1_quality_rules": _op1_sql(), "op3_lm_scoring": _op3_sql(), "op5_decontamination": _op5_sql(), "op8_warc": _OP8_SQL, "op10_url_filters": _op10_sql(), "op11_merkle_manifest": _op11_sql(), "op13_conversation_repair": _op13_sql()}
