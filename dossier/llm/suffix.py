@@ -253,7 +253,9 @@ def merge_shards(shards: list[np.ndarray], length: int) -> tuple[np.ndarray, np.
     sorted; the interleave is refined from their transforms."""
     orders = [suffix_order(t) for t in shards]
     # the two characters before each suffix: a step of two columns
-    before = [t[o - 1].astype(np.uint16) | t[o - 2].astype(np.uint16) << np.uint16(8) for t, o in zip(shards, orders)]
+    # (a shard of one byte comes round to itself)
+    byte = lambda t, o: np.take(t, o, mode="wrap").astype(np.uint16)
+    before = [byte(t, o - 1) | byte(t, o - 2) << np.uint16(8) for t, o in zip(shards, orders)]
     side = np.repeat(np.array([False, True]), [len(t) for t in shards])
     ids = np.zeros(len(side), np.int64)
     for _ in range(length // 2):

@@ -308,6 +308,17 @@ def test_suffix_in_rounds(spark, monkeypatch):
         assert {i: x.n_removed for i, x in got.items()} == {i: sum(g) for i, g in want.items()}
 
 
+@pytest.mark.parametrize("lone", ["hello " * 60, "-" * 200, "a" * 100_000, "rule\n" + "=-" * 90, "x" * 99 + "y" + "x" * 99, "é" * 80])
+@pytest.mark.parametrize("others", [0, 20])
+def test_suffix_one_span_is_left(spark, lone, others):
+    """What is open after the filter may be a single span: it is merged with an empty shard."""
+    r = random.Random(11)
+    texts = dict(enumerate(["".join(r.choice("abcdefghijklmnop ") for _ in range(300)) for _ in range(others)] + [lone]))
+    want = brute_removed({i: raw(t) for i, t in texts.items()}, 100)
+    got = rows_of(suffix.dedup(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(2)))
+    assert {i: (g.n_bytes, g.n_removed, g.n_spans) for i, g in got.items()} == {i: (len(raw(t)), sum(want[i]), len(re.findall(b"\1+", want[i]))) for i, t in texts.items()}
+
+
 def test_suffix_anchor_stands_twice(spark):
     r = random.Random(5)
     make = lambda k: "".join(r.choice("abcdefghijklmnop") for _ in range(k))
