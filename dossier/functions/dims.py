@@ -40,6 +40,25 @@ OTHER_PARAMETERS = (
     "design_suction_pressure",
     "design_temperature",
 )
+# fixed values: labels of a field in translations
+TRANSLATED_LABELS = {
+    "pump_type": ("泵类型", "设备类型"),
+    "service_name": ("用途", "服务", "工艺用途"),
+    "fluid_name": ("介质名称", "介质", "输送介质"),
+    "wetted_parts_material": ("过流部件材质", "接液部件材质", "材质"),
+}
+# fixed values: further parameters that take a translation, with their label
+TRANSLATABLE_OTHERS = {
+    "service_name": "用途",
+    "installation": "安装位置",
+    "operation_mode": "运行方式",
+    "suction_from": "入口来源",
+    "discharge_to": "出口去向",
+    "driver": "驱动方式",
+    "capacity_control_mode": "流量控制",
+    "pulsation_damper": "脉动抑制",
+    "mechanical_seal_type": "机械密封",
+}
 # fixed values: states of a field
 MISSING, EXTRACTED, CONFLICT, LOW_CONFIDENCE = "原文件未提供", "已提取", "冲突待确认", "低置信度待复核"
 # fixed values: precedence of stage states, worst last
