@@ -172,6 +172,7 @@ class Encoder:
 
 
 _READY: dict[tuple[str, bool], Encoder] = {}
+tb.CACHES.append(_READY)
 
 
 def encoder(path: str, drop_space: bool) -> Encoder:

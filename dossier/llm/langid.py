@@ -80,6 +80,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
 
     def run(batches):
+        tb.forget()
         held: dict[str, np.ndarray] = {}
         for b, data, offs in tb.pieces(batches, "text"):
             bucket, doc, _ = trigrams(data, offs)
@@ -165,6 +166,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
     sent = kept.columns if "text" in keep else others
 
     def run(batches):
+        tb.forget()
         for b, data, offs in tb.pieces(batches, "text"):
             name, score, sets, other = ["und"] * b.num_rows, np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], np.zeros(b.num_rows)
             bucket, doc, first = trigrams(data, offs)

@@ -39,6 +39,17 @@ def release() -> None:
         _trim(0)
 
 
+#: what this worker keeps between tasks, such as tokenizers
+CACHES: list[dict] = []
+
+
+def forget() -> None:
+    """Drops what earlier stages left in this worker, for stages that have no use for it."""
+    for held in CACHES:
+        held.clear()
+    release()
+
+
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of an Arrow string column; null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
