@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship_package
 from . import textbytes as tb
+from .scratch import batches_of
 
 BUCKETS = 1 << 16
 #: for each further language, this times the log of the number of words
@@ -94,7 +95,8 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(counts[at].astype(np.int64))], names=["lang", "bucket", "n"])
 
     # at most BUCKETS rows a language
-    found = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    with batches_of(docs.sparkSession, 2 << 20):
+        found = rows.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     langs = sorted(found["lang"].unique())
     counts = np.ones((BUCKETS, len(langs)))
     counts[found["bucket"].to_numpy(), np.searchsorted(langs, found["lang"])] += found["n"].to_numpy()

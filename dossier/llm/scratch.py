@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..runtime import shared_path
@@ -23,18 +25,25 @@ BATCH_BYTES = 8 << 20
 ROW_GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "4"}
 
 
+@contextmanager
+def batches_of(spark: SparkSession, most: int):
+    """Within it, Spark sends at most ``most`` bytes (or one row) to a Python worker at once."""
+    given = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, most)
+    try:
+        yield
+    finally:
+        spark.conf.unset(BATCH) if given is None else spark.conf.set(BATCH, given)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` once and gives the written table: cuts the lineage, is
     computed once whoever reads it, and survives a lost executor."""
     spark = df.sparkSession
     path = new_path(spark, label)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    given = spark.conf.get(BATCH, None)
-    spark.conf.set(BATCH, BATCH_BYTES)
-    try:
+    with batches_of(spark, BATCH_BYTES):
         df.write.options(**ROW_GROUPS).parquet(path)
-    finally:
-        spark.conf.unset(BATCH) if given is None else spark.conf.set(BATCH, given)
     return spark.read.schema(df.schema).parquet(path)
 
 
