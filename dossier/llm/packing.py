@@ -107,6 +107,8 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
                 # pieces stand one after the other, so the list column is the flat ids and where each begins
                 out.append(pa.ListArray.from_arrays(pa.array([*at, len(wide)], pa.int32()), pa.array(wide.view("<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(out)])
+        del enc
+        tb.forget()  # 85 MB, loaded in 0.2 s: not kept by every worker that had a task
 
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids)
