@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import ids
+from ..functions import ids, text
 
 # fixed values: the actions a reviewer may choose
 REVIEW_ACTIONS = ("confirm", "correct", "reject", "ask_supplier", "defer")
@@ -71,3 +71,22 @@ def overview(metrics: dict[str, DataFrame]) -> DataFrame:
         row = df.select(F.lit(name).alias("metric"), F.col(df.columns[0]).cast("string").alias("value"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def table_location(location: str) -> Column:
+    """Where in a table a source stands: the parts of the struct column that are given, by slashes."""
+    part = lambda c: F.nullif(F.trim(F.col(f"{location}.{c}").cast("string")), F.lit(""))
+    return F.array_join(F.array_compact(F.array(F.concat(F.lit("table "), part("table_index")), part("row_label"), part("column_label"), part("cell"))), " / ")
+
+
+def source_rows(refs: DataFrame, supporting: DataFrame, on: Sequence[str], most_chars: int = 700) -> DataFrame:
+    """A row for each reference and source that supports it, with the columns
+    that a reviewer fills in. A source says for itself how sure it is and
+    whether it was verified, or its reference does. Texts are cut to what a
+    cell shows."""
+    own = refs.select(*on, F.col("source_short"), F.col("confidence").alias("_confidence"), F.col("verified").alias("_verified"))
+    shown = lambda c: text.truncated(F.trim(F.translate(F.coalesce(F.col(c), F.lit("")), "\r\n", "  ")), most_chars)
+    texts = {"original": shown("original"), "translated": shown("translated"), "table_location": table_location("location"), "page": F.coalesce(F.col("location.page").cast("string"), F.lit(""))}
+    rows = supporting.join(own, list(on)).withColumns(texts).withColumn("confidence", F.coalesce("confidence", "_confidence"))
+    yes = F.coalesce("verified", "_verified", F.lit(False))
+    return rows.withColumn("evidence_verified", F.when(yes, "yes").otherwise("no")).withColumns({"confirmed_source": F.lit(""), "remark": F.lit("")}).drop("_confidence", "_verified", "verified", "location")
