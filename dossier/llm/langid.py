@@ -71,6 +71,10 @@ def trigrams(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return (h >> tb.U(48)).astype(np.int64), np.searchsorted(at, where[mid], "right") - 1, x[mid - 1] == 0
 
 
+#: text taken at once: its letters' likelihoods take some hundred times as much
+SLICE_BYTES = 1 << 19
+
+
 def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
@@ -83,7 +87,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     def run(batches):
         tb.forget()
         held: dict[str, np.ndarray] = {}
-        for b, data, offs in tb.pieces(batches, "text"):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES):
             bucket, doc, _ = trigrams(data, offs)
             lang = b.column(0).dictionary_encode()
             code = lang.indices.to_numpy()[doc]
@@ -169,7 +173,7 @@ def predict(docs: DataFrame, langs: list[str], logp: np.ndarray, keep: tuple[str
 
     def run(batches):
         tb.forget()
-        for b, data, offs in tb.pieces(batches, "text"):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES):
             name, score, sets, other = ["und"] * b.num_rows, np.zeros(b.num_rows), [[] for _ in range(b.num_rows)], np.zeros(b.num_rows)
             bucket, doc, first = trigrams(data, offs)
             if len(bucket) and langs:

@@ -33,6 +33,10 @@ from .scratch import stored
 CAPACITY = 4096
 
 
+#: bytes sent to a Python worker at once: ids come back as a multiple of the text
+BATCH = 2 << 20
+
+
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """The combination of lengths (at most ``counts`` of each) with the largest sum up to ``room``."""
     full, reach, steps = (1 << room + 1) - 1, 1, []
@@ -86,7 +90,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
 
     def run(batches):
         enc, part, seen = encoder(vocabulary, drop_space), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES // 2):
             ids, begins = with_end(*enc.encode(data, offs), end_id)
             each = -(-np.diff(begins) // capacity)
             doc = np.repeat(np.arange(len(each)), each)
@@ -116,7 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
 
 def pack(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Each piece with its ``sequence_id`` and ``offset``."""
-    p = stored(pieces(docs, vocabulary, end_id, drop_space, capacity, with_ids), "pieces")
+    p = stored(pieces(docs, vocabulary, end_id, drop_space, capacity, with_ids), "pieces", BATCH)
     counts = stored(p.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     slots: dict[int, list[tuple[int, int, int, int]]] = {}

@@ -36,13 +36,14 @@ def batches_of(spark: SparkSession, most: int):
         spark.conf.unset(BATCH) if given is None else spark.conf.set(BATCH, given)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch: int = BATCH_BYTES) -> DataFrame:
     """Writes ``df`` once and gives the written table: cuts the lineage, is
-    computed once whoever reads it, and survives a lost executor."""
+    computed once whoever reads it, and survives a lost executor. ``batch``
+    bytes at most go to a Python worker at once."""
     spark = df.sparkSession
     path = new_path(spark, label)
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    with batches_of(spark, BATCH_BYTES):
+    with batches_of(spark, batch):
         df.write.options(**ROW_GROUPS).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
