@@ -157,3 +157,36 @@ def apply_translations(values: DataFrame, segments: DataFrame) -> DataFrame:
     new = F.when(F.col("field") == "others", F.concat(known[F.col("other_name")], F.lit("："), "selected")).otherwise(F.col("selected"))
     rests = F.col("selected").isNotNull() & (~kept | same)
     return met.select("value_id", F.when(F.col("selected").isNull() | kept, F.col("value_cn")).otherwise(new).alias("value_cn"), F.when(rests, F.col("source_ord")).alias("source_ord"), F.when(rests, F.col("seg_ord")).alias("seg_ord"))
+
+
+def best_translations(values: DataFrame, segments: DataFrame) -> DataFrame:
+    """For each value the segment that speaks of it most: (value_id, score,
+    seg_ord, translation).
+
+    ``values``: value_id, original_value, aliases (names of its field), files
+    and the levels; ``segments`` as for :func:`first_translations`. A compatible
+    segment that holds the value scores 8, one that also names the field 12, one
+    that only names it 6; of equal scores the first counts, below there is none.
+    Segments that hold the value are found by grams and then asked for the
+    names; names alone are answered once for each place and name."""
+    places = [coordinate(F.col(x), x).alias(x) for x in LEVELS]
+    names = F.transform("files", base_name).alias("_files")
+    aliases = F.array_sort(F.filter(F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), text.evidence_text)), lambda a: a != ""))
+    v = values.select("value_id", text.evidence_text(F.col("original_value")).alias("t"), aliases.alias("aliases"), names, *places).withColumn("_mask", _mask())
+    s = segments.where(F.trim("translation") != "").select("seg_ord", text.evidence_text(F.col("original")).alias("t"), F.trim("translation").alias("translation"), names, *places).where("t <> ''").withColumn("_mask", _mask())
+    v, s = written(v, "values"), written(s, "segments")
+    on = ["place", "pair"]
+    placed_v = written(_placed(v, s, "_files").select("value_id", *on, "t", "aliases"), "placed")
+    placed_s = _placed(s, v, "_files").withColumn("pair", F.struct(F.col("_other").alias("_mask"), F.col("_mask").alias("_other")))
+    first = written(placed_s.groupBy(*on, "t").agg(F.min(F.struct("seg_ord", "translation")).alias("s")), "translations")
+    asked = placed_v.select(*on, "t", "aliases").distinct()
+    held = containing(asked, first, on).join(asked.withColumnRenamed("t", "small"), [*on, "small"])
+    named = F.exists("aliases", lambda a: F.contains(F.col("large"), a))
+    told = lambda score: F.struct(score.alias("score"), (-F.col("s.seg_ord")).alias("back"), "s.seg_ord", "s.translation")
+    scored = held.withColumn("score", F.when(named, 12).otherwise(8)).join(first.withColumnRenamed("t", "large"), [*on, "large"])
+    by_value = scored.groupBy(*on, F.col("small").alias("t"), "aliases").agg(F.max(told(F.col("score"))).alias("b"))
+    alias = asked.select(*on, F.explode("aliases").alias("t")).distinct()
+    by_alias = containing(alias, first, on).join(first.withColumnRenamed("t", "large"), [*on, "large"]).groupBy(*on, F.col("small").alias("alias")).agg(F.max(told(F.lit(6))).alias("b"))
+    mine = placed_v.select("value_id", *on, F.explode("aliases").alias("alias")).join(by_alias, [*on, "alias"]).select("value_id", "b")
+    found = placed_v.join(by_value, [*on, "t", "aliases"]).select("value_id", "b").union(mine)
+    return found.groupBy("value_id").agg(F.max("b").alias("b")).select("value_id", F.col("b.score").cast("long").alias("score"), "b.seg_ord", "b.translation")

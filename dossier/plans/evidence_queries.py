@@ -59,7 +59,13 @@ def evidence_translations(spark, d):
     return located.apply_translations(_values(spark, d), _segments(spark, d)).where("seg_ord is not null or value_cn is not null")
 
 
-QUERIES = {f.__name__: f for f in (evidence_translations,)}
+def evidence_best(spark, d):
+    """For each value the line that holds it and a word that stands for its field, or one of them."""
+    v = _values(spark, d).where("source_ord = 0").withColumn("aliases", F.array(_nth(("the", "und", "de la", "que"), F.col("value_id")), F.lit("")))
+    return located.best_translations(v, _segments(spark, d)).select("value_id", "score", "seg_ord", F.md5(F.col("translation").cast("binary")).alias("translation_md5"))
+
+
+QUERIES = {f.__name__: f for f in (evidence_translations, evidence_best)}
 
 
 def _labels_sql(column: str) -> str:
@@ -71,13 +77,15 @@ def _labels_sql(column: str) -> str:
 _NORM = r"lower(trim(regexp_replace(coalesce({0}, ''), '[ \t\r\n\f]+', ' ', 'g')))"
 _KNOWN = "CASE other_name " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in dims.TRANSLATABLE_OTHERS.items()) + " END"
 
-_EVIDENCE_TRANSLATIONS = rf"""
-    WITH seg AS (SELECT (conv_id * 1000 + turn) * 1000 + k - 1 AS seg_ord, conv_id, CASE WHEN conv_id % 3 > 0 THEN turn END AS page, CASE WHEN turn % 2 = 0 THEN 's' || turn END AS sheet, CASE WHEN (k - 1) % 2 = 0 THEN 'a' || (k - 1) END AS cell, line,
+_SEG_SQL = r"""seg AS (SELECT (conv_id * 1000 + turn) * 1000 + k - 1 AS seg_ord, conv_id, CASE WHEN conv_id % 3 > 0 THEN turn END AS page, CASE WHEN turn % 2 = 0 THEN 's' || turn END AS sheet, CASE WHEN (k - 1) % 2 = 0 THEN 'a' || (k - 1) END AS cell, line,
         trim(CASE (conv_id + turn + k - 1) % 4 WHEN 0 THEN '备注 | 介质：' || line WHEN 1 THEN '设备类型= ' || line || '；材质：钢' WHEN 2 THEN '译 ' || line[1:90] ELSE line END) AS tr
-      FROM (SELECT conv_id, turn, k, string_split(text, chr(10))[k] AS line FROM conversations, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(k))),
-    val AS (SELECT (conv_id * 1000 + turn) * 1000 + k - 1 AS value_id, conv_id, turn, ['pump_type', 'fluid_name', 'wetted_parts_material', 'others', 'density'][(k - 1 + turn) % 5 + 1] AS field, ['service_name', 'driver', 'quantity'][(k - 1) % 3 + 1] AS other_name,
+      FROM (SELECT conv_id, turn, k, string_split(text, chr(10))[k] AS line FROM conversations, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(k)))"""
+_VAL_SQL = r"""val AS (SELECT (conv_id * 1000 + turn) * 1000 + k - 1 AS value_id, conv_id, turn, ['pump_type', 'fluid_name', 'wetted_parts_material', 'others', 'density'][(k - 1 + turn) % 5 + 1] AS field, ['service_name', 'driver', 'quantity'][(k - 1) % 3 + 1] AS other_name,
         array_to_string(list_filter(regexp_split_to_array(sentence, '[ \n]'), lambda x: x <> '')[1:2], ' ') AS v, k - 1 AS k
-      FROM (SELECT conv_id, turn, k, string_split(text, '.')[k] AS sentence FROM conversations, unnest(range(1, len(string_split(text, '.')) + 1)) AS u(k))),
+      FROM (SELECT conv_id, turn, k, string_split(text, '.')[k] AS sentence FROM conversations, unnest(range(1, len(string_split(text, '.')) + 1)) AS u(k)))"""
+_EVIDENCE_TRANSLATIONS = rf"""
+    WITH {_SEG_SQL},
+    {_VAL_SQL},
     src AS (SELECT *, CASE k % 5 WHEN 0 THEN '译 ' || v WHEN 1 THEN '水' END AS value_cn, source_ord, CASE WHEN source_ord = 0 THEN 's' || turn END AS sheet, CASE WHEN k % 3 = 0 THEN 'a' || k END AS cell,
         CASE WHEN field = 'others' THEN other_name ELSE field END AS f FROM val, unnest([0, 1]) AS u(source_ord) WHERE v <> ''),
     met AS (SELECT value_id, source_ord, seg_ord, v, f, tr, {_labels_sql("tr")} AS labelled FROM src JOIN seg ON src.conv_id = seg.conv_id AND coalesce(seg.page = src.turn, true) AND coalesce(seg.sheet = src.sheet, true) AND coalesce(seg.cell = src.cell, true)
@@ -92,4 +100,13 @@ _EVIDENCE_TRANSLATIONS = rf"""
     SELECT * FROM (SELECT value_id, CASE WHEN s IS NULL OR kept THEN value_cn WHEN field = 'others' THEN {_KNOWN} || '：' || s ELSE s END AS value_cn,
       CASE WHEN s IS NOT NULL AND (NOT kept OR same) THEN source_ord END AS source_ord, CASE WHEN s IS NOT NULL AND (NOT kept OR same) THEN seg_ord END AS seg_ord FROM j) WHERE seg_ord IS NOT NULL OR value_cn IS NOT NULL"""
 
-ORACLE_SQL = {"evidence_translations": _EVIDENCE_TRANSLATIONS}
+_EVIDENCE_BEST = rf"""
+    WITH {_SEG_SQL},
+    {_VAL_SQL},
+    q AS (SELECT *, {_NORM.format("v")} AS nv, ['the', 'und', 'de la', 'que'][value_id % 4 + 1] AS alias, 's' || turn AS sheet, CASE WHEN k % 3 = 0 THEN 'a' || k END AS cell FROM val WHERE v <> ''),
+    met AS (SELECT value_id, seg_ord, tr, contains(nt, nv) AS has, contains(nt, alias) AS named FROM q JOIN (SELECT *, {_NORM.format("line")} AS nt FROM seg) seg ON q.conv_id = seg.conv_id AND coalesce(seg.page = q.turn, true) AND coalesce(seg.sheet = q.sheet, true) AND coalesce(seg.cell = q.cell, true)
+      WHERE nt <> '' AND tr <> ''),
+    best AS (SELECT *, CASE WHEN has AND named THEN 12 WHEN has THEN 8 ELSE 6 END AS score FROM met WHERE has OR named)
+    SELECT value_id, score::BIGINT AS score, seg_ord, md5(full_tr) AS translation_md5 FROM (SELECT value_id, score, seg_ord, tr AS full_tr, row_number() OVER (PARTITION BY value_id ORDER BY score DESC, seg_ord) AS r FROM best) WHERE r = 1"""
+
+ORACLE_SQL = {"evidence_translations": _EVIDENCE_TRANSLATIONS, "evidence_best": _EVIDENCE_BEST}

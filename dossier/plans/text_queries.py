@@ -117,16 +117,16 @@ def token_entropy(spark, d):
 
 
 def evidence_verify(spark, d):
-    """The first word of each benchmark item against the documents that hold it
-    as a word. Words travel without their texts; each distinct value is then
-    verified once a document."""
+    """Three words of the document with the next even number below, or its own,
+    as a value of each document: bound by the document, one row each. Of some
+    sources only the head is known, some are translations, some have no block."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    b = table(spark, d, "benchmark").select("item_id", F.element_at(F.split("text", " "), 1).alias("value"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.split(text.evidence_text(F.col("text")), " "))).alias("w"))
-    met = words.join(b.select("value", F.lower("value").alias("w")).distinct(), "w").select("doc_id", "value")
-    none = F.lit(None).cast("string")
-    told = met.join(docs, "doc_id").select("doc_id", "value", evidence.verified(F.col("value"), F.col("text"), none, F.lit("text"), none, F.lit("")).alias("verified"))
-    return b.join(told, "value").select("item_id", "doc_id", "verified")
+    values = docs.select(F.col("doc_id").alias("of"), F.array_join(F.slice(F.split("text", " "), 3, 3), " ").alias("value"))
+    k = F.col("doc_id")
+    met = docs.join(values, F.col("of") == k - k % 2)
+    original, translated = F.when(k % 3 == 0, F.substring("text", 1, 12)).otherwise(F.col("text")), F.when(k % 5 == 0, F.col("text"))
+    method, block = F.when(k % 4 < 2, "translation_segment").otherwise("text"), F.when(k % 7 > 0, F.col("text"))
+    return met.select("doc_id", F.md5(F.col("value").cast("binary")).alias("value_md5"), evidence.verified(F.col("value"), original, translated, method, block, F.lit("")).alias("verified"))
 
 
 def best_translation(spark, d):
@@ -246,8 +246,11 @@ ORACLE_SQL = {
     "denylist_scan": """WITH w AS (SELECT doc_id, [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM documents), b AS (SELECT DISTINCT array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT [x for x in regexp_split_to_array(lower(text), '[^a-z0-9]+') if x <> ''] AS w FROM benchmark), unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5),
         r AS (SELECT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) AS u(i) WHERE len(w) >= 5) SELECT doc_id, count(*) AS n_denied FROM r WHERE g IN (SELECT g FROM b) GROUP BY doc_id""",
     "token_entropy": f"WITH t AS (SELECT c_custkey, c_name || trunc(c_acctbal)::BIGINT AS token FROM customer) SELECT c_custkey, round({_ENT.format('token')}, 6) AS bits FROM t",
-    "evidence_verify": f"""WITH b AS (SELECT item_id, string_split(text, ' ')[1] AS v FROM benchmark), d AS (SELECT doc_id, lower({_FOLD.format('text')}) AS t FROM documents), w AS (SELECT DISTINCT doc_id, t, unnest(string_split(t, ' ')) AS w FROM d)
-        SELECT item_id, doc_id, v <> '' AND contains(t, lower(v)) AS verified FROM b JOIN w ON lower(v) = w""",
+    "evidence_verify": f"""WITH v AS (SELECT doc_id AS o, coalesce(array_to_string(string_split(text, ' ')[3:5], ' '), '') AS value FROM documents),
+        e AS (SELECT doc_id AS k, value, lower({_FOLD.format('value')}) AS v, lower({_FOLD.format('text')}) AS t, lower({_FOLD.format('text[1:12]')}) AS h FROM documents JOIN v ON o = doc_id - doc_id % 2),
+        p AS (SELECT *, list_filter(list_transform(string_split(v, ';'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM e),
+        i AS (SELECT *, v <> '' AND (contains(t, v) OR len(parts) > 1 AND len(list_filter(parts, lambda x: NOT contains(t, x))) = 0) AS whole, v <> '' AND (contains(h, v) OR len(parts) > 1 AND len(list_filter(parts, lambda x: NOT contains(h, x))) = 0) AS head FROM p)
+        SELECT k AS doc_id, md5(value) AS value_md5, (CASE WHEN k % 3 = 0 THEN head ELSE whole END OR k % 4 < 2 AND k % 5 = 0 AND whole) AND (k % 4 < 2 OR k % 7 = 0 OR whole) AS verified FROM i""",
     "best_translation": """WITH m AS (SELECT item_id, conv_id, turn, 2 + CASE WHEN length(c.text) % 7 = length(b.text) % 7 THEN 6 ELSE 0 END + CASE WHEN length(c.text) > length(b.text) THEN 4 ELSE 0 END AS score FROM benchmark b JOIN conversations c ON item_id % 20 = conv_id % 20)
         SELECT item_id, score::BIGINT AS score, conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, conv_id, turn) AS k FROM m WHERE score >= 6) WHERE k = 1""",
     "first_match": "SELECT l.doc_id, min(o.doc_id) AS other_id FROM labels l JOIN documents d USING (doc_id) LEFT JOIN documents o ON o.source = d.source AND o.n_chars % 40 = d.n_chars % 40 AND o.doc_id <> l.doc_id WHERE toxic = 1 GROUP BY l.doc_id",

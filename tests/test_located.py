@@ -118,3 +118,31 @@ def test_contained_texts(spark):
     small, large = [(r.choice("xy"), text()) for _ in range(80)], [(r.choice("xy"), text() + text()) for _ in range(80)]
     got = located.containing(spark.createDataFrame(small, "k string, t string"), spark.createDataFrame(large, "k string, t string"), ["k"]).collect()
     assert sorted(map(tuple, got)) == sorted({(k, s, t) for k, s in small for g, t in large if k == g and s and t and s in t})
+
+
+def best(values, segments):
+    out = {}
+    for ident, source, _, _, original, _, files, *place, aliases in values:
+        if source:
+            continue
+        for at, sfiles, *splace, text, translation in sorted(segments):
+            pairs = [(coordinate(a, x), coordinate(b, x)) for a, b, x in zip(place, splace, LEVELS)]
+            if not {name(f) for f in files} & {name(f) for f in sfiles} - {""} or any(a and b and a != b for a, b in pairs) or not (translation or "").strip():
+                continue
+            t, v = evidence(text), evidence(original)
+            score = 2 + 6 * bool(t and v and v in t) + 4 * any(a and evidence(a) and evidence(a) in t for a in aliases or [])
+            if score >= 6 and score > out.get(ident, (0,))[0]:
+                out[ident] = (score, at, translation.strip())
+    return out
+
+
+def test_best_translations(spark):
+    r = random.Random(12)
+    for seed, n, m in ((6, 120, 80), (7, 30, 0)):
+        values, segments = rows(seed, n, m)
+        values = [(*v, r.choice([None, [], ["Pump", "ss"], ["water", ""], ["model  316"]])) for v in values]
+        df = spark.createDataFrame(values, f"{VALUES}, aliases array<string>").where("source_ord = 0")
+        got = located.best_translations(df, spark.createDataFrame(segments, SEGMENTS)).collect()
+        want = best(values, segments)
+        assert {x.value_id: (x.score, x.seg_ord, x.translation) for x in got} == want
+    assert {s for s, *_ in best(*[[(*v, ["Pump"]) for v in rows(6, 120, 80)[0]], rows(6, 120, 80)[1]]).values()} == {6, 8, 12}
