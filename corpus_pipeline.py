@@ -38,20 +38,33 @@ def _others(docs: DataFrame) -> list[str]:
     return [c for c in docs.columns if c not in _KNOWN]
 
 
+def _col(name: str) -> Column:
+    """A column by its whole name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def _hashable(docs: DataFrame, name: str) -> Column:
+    """A column as the row's hash takes it: maps, which it refuses, as text."""
+    return F.to_json(F.struct(_col(name).alias("_"))) if "map<" in docs.schema[name].dataType.simpleString() else _col(name)
+
+
 def _packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The columns that operators know, and the others as one, so that no name of theirs can clash."""
-    rest = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(_others(docs))))
+    rest = F.struct(F.lit(0).alias("_"), *(_col(c).alias(f"c{k}") for k, c in enumerate(_others(docs))))
     return docs.select(*(c for c in _KNOWN if c in docs.columns), rest.alias("rest"), *more)
 
 
 def _unpacked(df: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
     """The columns of ``docs`` again, some with new values."""
     held = {c: F.col(f"rest.c{k}") for k, c in enumerate(_others(docs))}
-    return df.select(*(new.get(c, held.get(c, F.col(f"`{c}`"))).alias(c) for c in docs.columns))
+    return df.select(*((new.get(c, held[c] if c in held else _col(c))).alias(c) for c in docs.columns))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter, or mostly in no learned language."""
+    """Drops documents without a letter, or mostly in no learned language. Where
+    no row tells its language there is none to learn, and all with a letter stay."""
+    if docs.where("lang is not null and text is not null").isEmpty():
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
     found = langid.identify(_packed(docs), keep=(*_KNOWN, "rest"))
     return _unpacked(found.where((F.col("lang_pred") != "und") & (F.col("other_share") <= MOST_OTHER)), docs)
 
@@ -61,7 +74,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     null last, and of equal ids that with the smallest hash over its columns.
     Rows are known by id and hash: other texts under a null or repeated id stay."""
     # the hash passes over nulls; which columns are null is hashed too
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    columns = [_hashable(docs, c) for c in docs.columns]
     named = _packed(docs, F.xxhash64(*columns, *(F.isnull(c) for c in columns)).alias("row_hash"))
     found = simhash.first_copies(named, "row_hash")
     rows = stored(found.groupBy("doc_id", "row_hash").agg(F.max("first").alias("stays"), F.count("*").alias("n")), "rows")
