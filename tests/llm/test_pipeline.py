@@ -104,7 +104,7 @@ def test_null_and_repeated_ids(spark, folder):
     assert kept == {(None, a), (7, c), (None, None)}
 
 
-CLASHES = ["d", "h", "score", "chunk", "n_bytes", "data", "sizes", "lang_pred", "languages", "other_share", "row_hash", "rest", "fp", "first", "at", "got", "a.b"]
+CLASHES = ["d", "h", "score", "chunk", "n_bytes", "data", "sizes", "lang_pred", "languages", "other_share", "row_hash", "rest", "fp", "first", "at", "got", "a.b", "tick`s"]
 
 
 def test_every_stage_on_awkward_tables(spark, folder):
@@ -116,10 +116,11 @@ def test_every_stage_on_awkward_tables(spark, folder):
     a, b, c, d = (say(70) for _ in range(4))
     rows = [(None, a), (None, b), (5, c), (5, d), (5, d), (6, None), (7, ""), (8, " 12 \n")]
     docs = spark.createDataFrame([(i, t, None, "s", 0, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, void string").repartition(3)
+    docs = docs.withColumn("map", F.create_map(F.lit("k"), F.col("source")))
     for k, name in enumerate(CLASHES):
         docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce("doc_id", F.lit(0)).cast("string")) if k % 2 else F.lit(k))
     words = {(None, a), (None, b), (5, c), (5, d)}
-    trained = docs.union(spark.createDataFrame([(i, say(70), "en", "s", 0, None, *docs.select(*(f"`{n}`" for n in CLASHES)).first()) for i in range(100, 110)], docs.schema))
+    trained = docs.union(spark.createDataFrame([(i, say(70), "en", "s", 0, None, {"k": "s"}, *docs.select(*(F.col("`" + n.replace("`", "``") + "`") for n in CLASHES)).first()) for i in range(100, 110)], docs.schema))
     # as the label is no input of a prediction, rows without one are judged like the others
     got = corpus_pipeline.language_id(spark, trained, folder).where("doc_id is null or doc_id < 100")
     assert sorted(((x.doc_id, x.text) for x in got.collect()), key=str) == sorted([*words, (5, d)], key=str)
@@ -139,6 +140,12 @@ def test_every_stage_on_awkward_tables(spark, folder):
         assert name == "best-fit packing" or (out.columns == docs.columns and out.schema.simpleString() == docs.schema.simpleString()), name
 
 
+def test_no_labelled_row(spark, folder):
+    """Nothing to learn a language from is no reason to drop everything."""
+    docs = spark.createDataFrame([(1, "the thing", None), (2, "12 34", None), (3, None, None), (4, "über", None)], "doc_id long, text string, lang string")
+    assert sorted(x.doc_id for x in corpus_pipeline.language_id(spark, docs, folder).collect()) == [1, 4]
+
+
 def test_only_the_result_stays(spark, folder):
     from dossier.llm import scratch
 
