@@ -2,6 +2,7 @@
 
 Containment is never a join condition by itself: rows meet by an equal key
 (file and page, or a word of the value), and containment filters what met.
+Translations by place and text are in ``located``.
 """
 
 from __future__ import annotations
@@ -23,28 +24,6 @@ def verified(value: Column, original: Column, translated: Column, method: Column
     return direct & (segment | block.isNull() | text.value_in_text(value, block) | by_tag)
 
 
-def best_match(candidates: DataFrame, segments: DataFrame, on: list[str], score: Column, tie: list[str], threshold: int) -> DataFrame:
-    """Of the segments with equal keys the one with the highest score of at
-    least ``threshold``; of a tie the first by ``tie``. One partial aggregation
-    after the join, no window."""
-    met = candidates.join(segments, on).withColumn("_score", score).where(F.col("_score") >= threshold)
-    keys = candidates.columns
-    rest = [c for c in segments.columns if c not in on]
-    best = met.groupBy(*keys).agg(F.max(F.struct("_score", *((-F.col(t)).alias(f"_t{i}") for i, t in enumerate(tie)), *rest)).alias("b"))
-    return best.select(*keys, F.col("b._score").alias("score"), *(F.col(f"b.{c}").alias(c) for c in rest))
-
-
-def first_match(left: DataFrame, right: DataFrame, on: list[str], order: list[str], keep: list[str], condition: Column | None = None) -> DataFrame:
-    """Left rows with the first right row by ``order`` that has equal keys, or nulls."""
-    met = left.join(right, on)
-    if condition is not None:
-        met = met.where(condition)
-    first = met.groupBy(*left.columns).agg(F.min(F.struct(*order, *(c for c in keep if c not in order))).alias("f"))
-    found = first.select(*left.columns, *(F.col(f"f.{c}").alias(c) for c in keep))
-    miss = left.join(found.select(*left.columns).distinct(), left.columns, "left_anti")
-    return found.unionByName(miss, allowMissingColumns=True)
-
-
 def with_orphans(documents: DataFrame, segments: DataFrame, key: str) -> DataFrame:
     """Documents, and for segments without a document one synthetic row per key."""
     orphans = segments.join(documents, key, "left_anti").groupBy(key).agg(F.count("*").alias("n_segments"))

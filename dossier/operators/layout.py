@@ -86,10 +86,6 @@ def alignment(x0: Column, x1: Column, width: Column) -> Column:
     return F.when((F.abs(left - right) <= width * 0.08) & (left > width * 0.15), "center").when((right < width * 0.12) & (left > width * 0.45), "right").otherwise("left")
 
 
-def in_box(x: Column, y: Column, box: Column, margin: float = 0.0) -> Column:
-    return (x >= box["x0"] - margin) & (x <= box["x1"] + margin) & (y >= box["top"] - margin) & (y <= box["bottom"] + margin)
-
-
 def route_of_page(chars: Column, quality: Column, images: Column, ink: Column) -> Column:
     """Class of a page by its text, image coverage and ink."""
     good = (chars >= 12) & (quality >= 0.55)
