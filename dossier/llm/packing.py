@@ -28,13 +28,13 @@ from pyspark.sql import functions as F
 from ..runtime import ship_package
 from . import textbytes as tb
 from .encode import SLICE_BYTES, encoder, with_end
-from .scratch import stored
+from .scratch import BATCH_BYTES, stored
 
 CAPACITY = 4096
 
 
 #: bytes sent to a Python worker at once: ids come back as a multiple of the text
-BATCH = 2 << 20
+LEAN_BATCH = 2 << 20
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -83,14 +83,14 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, in
     return rows
 
 
-def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True, capacity: int = CAPACITY, with_ids: bool = False, lean: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank[, ids]); rank among the pieces of the length in the part."""
     ship_package(docs.sparkSession)
     kept = docs.select("doc_id", F.col("text").cast("string").alias("text"))
 
     def run(batches):
         enc, part, seen = encoder(vocabulary, drop_space), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES // 2):
+        for b, data, offs in tb.pieces(batches, "text", SLICE_BYTES // 2 if lean else SLICE_BYTES):
             ids, begins = with_end(*enc.encode(data, offs), end_id)
             each = -(-np.diff(begins) // capacity)
             doc = np.repeat(np.arange(len(each)), each)
@@ -111,16 +111,19 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = Tru
                 # pieces stand one after the other, so the list column is the flat ids and where each begins
                 out.append(pa.ListArray.from_arrays(pa.array([*at, len(wide)], pa.int32()), pa.array(wide.view("<i4"))))
             yield pa.RecordBatch.from_arrays(out, names=["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", "ids"][: len(out)])
-        del enc
-        tb.forget()  # 85 MB, loaded in 0.2 s: not kept by every worker that had a task
+        if lean:
+            del enc
+            tb.forget()  # 85 MB, not kept by every worker that had a task
 
     kind = kept.schema["doc_id"].dataType.simpleString()
     return kept.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, rank long" + ", ids array<int>" * with_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """Each piece with its ``sequence_id`` and ``offset``."""
-    p = stored(pieces(docs, vocabulary, end_id, drop_space, capacity, with_ids), "pieces", BATCH)
+def pack(docs: DataFrame, vocabulary: str, end_id: int, drop_space: bool = True, capacity: int = CAPACITY, with_ids: bool = False, lean: bool = False) -> DataFrame:
+    """Each piece with its ``sequence_id`` and ``offset``. ``lean`` is for
+    executors that other stages have filled: less text at once, and workers
+    that drop their tokenizer after each task, for more CPU time."""
+    p = stored(pieces(docs, vocabulary, end_id, drop_space, capacity, with_ids, lean), "pieces", LEAN_BATCH if lean else BATCH_BYTES)
     counts = stored(p.groupBy("part", "length").agg(F.count("*").alias("n")), "lengths")
     totals = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}  # at most `capacity` rows
     slots: dict[int, list[tuple[int, int, int, int]]] = {}
