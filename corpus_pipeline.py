@@ -106,7 +106,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of 4096: each piece with its ids and its place."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 1, with_ids=True)
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), 1, with_ids=True, lean=True)
 
 
 STAGES = [("language id", language_id), ("simhash near-dedup", near_dedup), ("suffix-array dedup", suffix_dedup), ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]
