@@ -22,9 +22,9 @@ def _rotate(names: tuple[str, ...]):
 def line_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_discount", "l_tax")
     rows = F.array(
-        F.struct(F.lit(0).alias("k"), F.lit("density").alias("name"), F.format_string("%d", F.col("l_partkey") % 3 + 980).alias("value"), F.lit("kg/m3").alias("unit")),
-        F.struct(F.lit(1).alias("k"), F.lit("process_capacity").alias("name"), F.format_string("%d", F.col("l_quantity").cast("long")).alias("value"), _rotate(FLOW_UNITS).alias("unit")),
-        F.struct(F.lit(2).alias("k"), F.lit("suction_pressure").alias("name"), F.format_string("%d", F.round(F.col("l_discount") * 100).cast("long")).alias("value"), _rotate(PRESSURE_UNITS).alias("unit")),
+        F.struct(F.lit(0).alias("k"), F.lit("density").alias("name"), (F.col("l_partkey") % 3 + 980).cast("string").alias("value"), F.lit("kg/m3").alias("unit")),
+        F.struct(F.lit(1).alias("k"), F.lit("process_capacity").alias("name"), F.col("l_quantity").cast("long").cast("string").alias("value"), _rotate(FLOW_UNITS).alias("unit")),
+        F.struct(F.lit(2).alias("k"), F.lit("suction_pressure").alias("name"), F.round(F.col("l_discount") * 100).cast("long").cast("string").alias("value"), _rotate(PRESSURE_UNITS).alias("unit")),
     )
     row = F.concat_ws(":", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string"))
     return lines.select("*", F.explode(rows).alias("p")).select(

@@ -30,22 +30,21 @@ def decimal_range(spark, d):
     return li.select(v.alias("v")).groupBy("v").agg(F.count("*").alias("n_rows")).select("v", "n_rows", F.size(units.decimals(F.col("v"))).cast("long").alias("n_numbers"), units.scaled(F.col("v"), "1").alias("shown"))
 
 
-def _normal(spark, d):
-    return cards.normalised(cards.card_key(candidates(spark, d)))
+def _values(spark, d):
+    c = cards.card_key(candidates(spark, d))
+    return cards.values(cards.normalised(cards.repeated(c), numbers_of=c))
 
 
-def _values_and_normal(spark, d):
-    """Both tables, for what reads them more than once: candidates are made and converted one time."""
-    normal = written(_normal(spark, d), "normal")
-    return written(cards.values(normal), "values"), normal
+def card_values(spark, d):
+    return _values(spark, d).select("card", "field", "value", "unit", "note", "n_sources", F.round("confidence", 4).alias("confidence"), "has_ref", "verified", "first_ord")
 
 
-def card_values(spark, d):
-    return cards.values(_normal(spark, d)).select("card", "field", "value", "unit", "note", "n_sources", F.round("confidence", 4).alias("confidence"), "has_ref", "verified", "first_ord")
+def _fields(spark, d, keep=False):
+    return cards.fields(_values(spark, d), keep)
 
 
-def _fields(spark, d):
-    return cards.fields(_values_and_normal(spark, d)[0])
+def _issues(spark, d, f):
+    return cards.issues(f, cards.card_key(candidates(spark, d)))
 
 
 def card_conflicts(spark, d):
@@ -61,8 +60,7 @@ def card_overview(spark, d):
 
 
 def card_issues(spark, d):
-    values, normal = _values_and_normal(spark, d)
-    return cards.issues(cards.fields(values), normal)
+    return _issues(spark, d, _fields(spark, d))
 
 
 def issue_counts_by_code(spark, d):
@@ -70,20 +68,17 @@ def issue_counts_by_code(spark, d):
 
 
 def card_stats(spark, d):
-    values, normal = _values_and_normal(spark, d)
-    f = written(cards.fields(values), "fields")
-    return cards.statistics(f, cards.issues(f, normal))
+    f = written(_fields(spark, d).select("card", "field", "n_values", "status", "review"), "fields")
+    return cards.statistics(f, _issues(spark, d, f))
 
 
 def export_parameters(spark, d):
-    values, _ = _values_and_normal(spark, d)
-    return export.parameters(cards.fields(values), values).withColumn("confidence", F.round("confidence", 4))
+    return export.parameters(_fields(spark, d, keep=True)).withColumn("confidence", F.round("confidence", 4))
 
 
 def export_issues(spark, d):
-    values, normal = _values_and_normal(spark, d)
-    f = written(cards.fields(values), "fields")
-    return export.issue_rows(cards.issues(f, normal), export.parameters(f, values))
+    f = written(_fields(spark, d, keep=True).drop("display"), "fields")  # read for both kinds of findings
+    return export.issue_rows(_issues(spark, d, f), export.parameters(f))
 
 
 def duplicate_tags(spark, d):

@@ -337,3 +337,19 @@ def test_parameter_rows_and_their_issues(spark):
     issues = export.issue_rows(found, rows).collect()
     assert sorted((r.field_name, r.code, r.review_action) for r in issues) == [("density", "f_parameter_without_source", "confirm"), ("density", "field_value_conflict", "confirm"), ("viscosity", "f_field_without_values", "confirm")]
     assert export.parameters(fields.limit(0), values).count() == 0
+
+
+def test_repeated_candidates_give_the_same_cards(spark):
+    """Equal candidates counted first, values carried by fields: the same rows as one by one, and nothing is joined or dealt but by candidates, card and numbers."""
+    rows = [(t, n, v, u, k, f"s{k % 2}" if t != "q-9" else "s", "r" if k % 3 else None, k % 4 > 0, k / 100) for k, (t, n, v, u) in enumerate([("Q-1", "suction_pressure", "3", "psi"), ("q-1", "suction_pressure", "3", "psi"), ("Q-1", "suction_pressure", "3", "PSI"), ("Q-1", "density", "9", "kg/m3"), ("Q-1", "density", "9", "kg/m3"), ("q-9", "spare", "1", None), ("q-9", "quantity", "1", "")] * 3)]
+    c = cards.card_key(spark.createDataFrame(rows, CAND))
+    plain = cards.values(cards.normalised(c))
+    counted = cards.values(cards.normalised(cards.repeated(c), numbers_of=c))
+    assert sorted(map(str, counted.collect())) == sorted(map(str, plain.collect()))
+    f = cards.fields(counted, keep=True)
+    params = lambda df: sorted(map(str, df.collect()))
+    assert params(export.parameters(f)) == params(export.parameters(f, plain))
+    got = {(r.card, r.code) for r in cards.issues(f, c).collect()}
+    assert ("q-1", "pressure_value_or_unit_unrecognized") in got and ("q-1", "duplicate_tag_merged") in got and ("q-9", "duplicate_tag_merged") not in got
+    plan = f._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 2
