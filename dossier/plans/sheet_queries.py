@@ -35,7 +35,7 @@ def _pages(spark, d):
     """(file, page, line, text): a page for each order, and one of materials for every other pump sheet."""
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.col("o_orderpriority").alias("priority"), (F.col("o_orderkey") % 3).alias("sheet"))
     order = F.col("o_orderkey").cast("string")
-    own = {"order": order, "order5": F.lpad(order, 5, "0"), "order6": F.lpad(order, 6, "0"), "cust": F.col("o_custkey").cast("string"), "priority": F.col("priority")}
+    own = {"order": order, "order5": F.lpad(order, 5, "0"), "order6": F.lpad(order, F.greatest(F.length(order), F.lit(6)), "0"), "cust": F.col("o_custkey").cast("string"), "priority": F.col("priority")}
     by = lambda of: F.coalesce(*(F.when(F.col("sheet") == k, of(k)) for k in range(3)))
     place = (F.concat(F.lit("F"), F.col("o_custkey").cast("string")).alias("file"), (F.col("o_orderkey") * 2).alias("page"))
     heads = o.select(*place, F.lit(0).alias("line"), by(lambda k: _said(_HEADS[k], own)).alias("text"))

@@ -86,3 +86,16 @@ def test_no_page_and_ways_to_write_a_pair(spark):
     assert [r[0] for r in got] == ["P1234A/B"] * 4 + [None] * 3
     assert [r[1] for r in got] == [None] * 5 + ["Z00-SYN-0000-P0 A/B", None]
     assert got[6][2] == "9-P-12A/B"
+
+
+def test_item_numbers_of_long_order_numbers(spark, tmp_path):
+    """Orders with equal first six digits keep materials of their own."""
+    from dossier.plans import sheet_queries
+
+    keys = [12000000, 12000006, 12000012]
+    make = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    make("orders", [(k, 2, "1-URGENT") for k in keys], "o_orderkey long, o_custkey long, o_orderpriority string")
+    make("part", [(i, "pump name", f"KIND {i}", f"Brand#{i}") for i in range(3)], "p_partkey long, p_name string, p_type string, p_brand string")
+    make("lineitem", [(k, i, 1, 5.0, 0.01, 0.02) for i, k in enumerate(keys)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double")
+    got = {r.page: r.value for r in sheet_queries.sheet_cards(spark, str(tmp_path)).where("name = 'wetted_parts_material'").collect()}
+    assert got == {2 * k: f"Liquid End: Brand#{i}; Process Diaphragm: KIND {i}" for i, k in enumerate(keys)}
