@@ -113,15 +113,15 @@ def file_type(c: Column) -> Column:
 def column_number(c: Column) -> Column:
     """Of a cell reference: A1 is 1, AA7 is 27; null if there are no letters."""
     letters = F.regexp_extract(F.upper(F.regexp_replace(c, r"\$", "")), "^([A-Z]+)", 1)
-    return F.when(letters != "", F.aggregate(F.split(letters, ""), F.lit(0), lambda n, x: F.when(x == "", n).otherwise(n * 26 + F.ascii(x) - 64)))
+    return F.when(letters != "", F.aggregate(F.split(letters, ""), F.lit(0).cast("long"), lambda n, x: F.when(x == "", n).otherwise(n * 26 + F.ascii(x) - 64)))
 
 
 def column_letters(c: Column) -> Column:
-    """1 is A, 27 is AA; up to three letters."""
-    n = c - 1
-    third, second = F.floor((n - 702) / 676), F.floor((n - 26) / 26)
-    letter = lambda k: F.char((k + 65).cast("int"))
-    return F.concat(F.when(n >= 702, letter(third)).otherwise(""), F.when(n >= 26, letter(F.pmod(second, F.lit(26)))).otherwise(""), letter(F.pmod(n, F.lit(26))))
+    """1 is A, 27 is AA, 703 is AAA, and so on; as many letters as it takes."""
+    n = c.cast("long")
+    # how many references have at most k letters: 26 + 26^2 + ...; a long takes 13
+    before = [sum(26**i for i in range(1, k)) for k in range(1, 14)]
+    return F.concat(*(F.when(n > before[k], F.char((F.pmod(F.call_function("div", n - 1 - before[k], F.lit(26**k)), F.lit(26)) + 65).cast("int"))).otherwise("") for k in reversed(range(13))))
 
 
 def page_list(spec: Column, pages: Column) -> Column:

@@ -59,3 +59,20 @@ def test_no_row_is_left_out(spark, tmp_path):
     d = folder(spark, tmp_path, lineitem=([(1, n, n + 10, n + 20) for n in range(1, 8)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long"), orders=([(i,) for i in range(1, 16)], "o_orderkey long"))
     assert {r.l_linenumber: r.tags for r in Q.tag_tokens(spark, d).collect()} == {n: f"P-{n + 10},A/P-{n + 20}" for n in range(1, 8)}
     assert {r.o_orderkey: r.message for r in P.failure_lines(spark, d).collect()} == {i: f"ValueError: order {i} in <path> is bad" for i in range(1, 16)}
+
+
+def test_column_letters_beyond_three(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.functions import text
+
+    def letters(n):
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(65 + k) + out
+        return out
+
+    at = [1, 26, 27, 52, 53, 702, 703, 18278, 18279, 30000, 475254, 475255, 1_200_000]
+    df = spark.createDataFrame([(n,) for n in at], "n long").select("n", text.column_letters(F.col("n")).alias("l")).select("*", text.column_number(F.concat(F.lit("$"), "l", F.lit("$7"))).alias("back"))
+    assert {r.n: (r.l, r.back) for r in df.collect()} == {n: (letters(n), n) for n in at}
