@@ -164,10 +164,11 @@ def is_clause(c: Column) -> Column:
 
 
 def entropy(c: Column) -> Column:
-    """Shannon entropy of the characters, in bits."""
+    """Shannon entropy of the characters, in bits. A character is counted by
+    what its removal takes away, not by a pass over an array of all."""
     chars = F.filter(F.split(c, ""), lambda x: x != "")
-    n = F.size(chars)
-    p = lambda x: F.size(F.filter(chars, lambda y: y == x)) / n
+    n = F.length(c)
+    p = lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n
     return F.aggregate(F.array_sort(F.array_distinct(chars)), F.lit(0.0), lambda t, x: t - p(x) * F.log2(p(x)))
 
 
