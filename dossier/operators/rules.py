@@ -5,6 +5,7 @@ Findings carry a fingerprint, never the value itself.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -50,8 +51,16 @@ def scan(docs: DataFrame, key: str, body: str, rules: Sequence[tuple[str, str, s
     return found.groupBy(key, "rule", "severity", "fingerprint").agg(F.count("*").alias("n"), F.min("line").cast("long").alias("first_line"))
 
 
+#: what every match of a rule of :data:`RULES` holds: a text with none of these is not searched
+HELD = {"email": ("@",), "url": ("://",), "secret_field": ("api_key", "apikey", "secret", "token", "password"), "windows_path": (":\\",)}
+_HELD = {pattern: HELD[rule] for rule, _, pattern in RULES if rule in HELD}
+
+
 def _hits(body: str, rule: str, severity: str, pattern: str) -> Column:
-    return F.transform(F.regexp_extract_all(F.col(body), F.lit(pattern), 1), lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), x.alias("value")))
+    found = F.regexp_extract_all(F.col(body), F.lit(pattern), 1)
+    if pattern in _HELD:
+        found = F.when(functools.reduce(lambda a, b: a | b, (F.contains(F.col(body), F.lit(x)) for x in _HELD[pattern])), found).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), x.alias("value")))
 
 
 def denied(docs: DataFrame, key: str, body: str, denylist: DataFrame, sizes: Sequence[int]) -> DataFrame:
