@@ -89,8 +89,9 @@ def source_rows(refs: DataFrame, supporting: DataFrame, on: Sequence[str], most_
     whether it was verified, or its reference does. Texts are cut to what a
     cell shows."""
     own = refs.select(*on, F.col("source_short"), F.col("confidence").alias("_confidence"), F.col("verified").alias("_verified"))
-    shown = lambda c: text.truncated(F.trim(F.translate(F.coalesce(F.col(c), F.lit("")), "\r\n", "  ")), most_chars)
+    shown = lambda c: text.truncated(F.trim(F.replace(F.replace(F.coalesce(F.col(c), F.lit("")), F.lit("\r"), F.lit(" ")), F.lit("\n"), F.lit(" "))), most_chars)
     texts = {"original": shown("original"), "translated": shown("translated"), "table_location": table_location("location"), "page": F.coalesce(F.col("location.page").cast("string"), F.lit(""))}
-    rows = supporting.join(own, list(on)).withColumns(texts).withColumn("confidence", F.coalesce("confidence", "_confidence"))
+    # the texts are cut before they travel
+    rows = supporting.withColumns(texts).drop("location").join(own, list(on)).withColumn("confidence", F.coalesce("confidence", "_confidence"))
     yes = F.coalesce("verified", "_verified", F.lit(False))
-    return rows.withColumn("evidence_verified", F.when(yes, "yes").otherwise("no")).withColumns({"confirmed_source": F.lit(""), "remark": F.lit("")}).drop("_confidence", "_verified", "verified", "location")
+    return rows.withColumn("evidence_verified", F.when(yes, "yes").otherwise("no")).withColumns({"confirmed_source": F.lit(""), "remark": F.lit("")}).drop("_confidence", "_verified", "verified")
