@@ -5,8 +5,9 @@ asks for its distinct keys once, keys are dealt over slots by their value (a
 key that fills a third of the corpus is one entry per chunk), and each slot
 answers every chunk. Rows are blobs, so the work stays in vectorised code while
 Spark deals, joins and recovers it. A chunk makes at most ``FAN`` rows, however
-large the corpus: beyond ``FAN`` chunks a slot's pieces are merged in bundles
-of ``FAN``, and the bundles ask finer slots in turn (:func:`resolve`).
+large the corpus. Up to ``DIRECT`` times as many chunks each slot settles all
+it is asked, and requests are moved once; beyond, a slot's pieces are merged in
+bundles of ``FAN``, and the bundles ask finer slots in turn (:func:`resolve`).
 """
 
 from __future__ import annotations
@@ -27,7 +28,9 @@ from .scratch import stored
 
 CHUNK_BYTES = 4 << 20
 #: rows that a chunk, or a bundle of chunks, asks with at most
-FAN = 256
+FAN = 2048
+#: a slot settles the pieces of at most ``DIRECT * FAN`` chunks at once: with chunks of 6 MB some 50 MB
+DIRECT = 4
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -177,7 +180,7 @@ def resolve(pieces: DataFrame, units: int, slots: int, job: Job, fan: int | None
     unit, from 0 up to ``units``, asks in at most ``fan`` rows, each for a slot
     of the keys. Rows grow with the units, not with their square."""
     fan = fan or FAN
-    if units <= fan:
+    if units <= DIRECT * fan:
 
         def settle(pdf: pd.DataFrame) -> pd.DataFrame:
             out = _table(pdf["slot"], pdf["unit"], job.settle(list(pdf["body"])))

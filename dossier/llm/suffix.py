@@ -44,6 +44,8 @@ from .skew import join_counted
 LENGTH = 100
 GRAM = 32
 HOT = 20_000
+#: slots at most: a chunk asks for little, and each of its rows has ten arrays
+SLOTS = 512
 #: contested spans in a bucket
 BUCKET_SPANS = 3000
 FIRST_ID = -(1 << 63)
@@ -179,12 +181,16 @@ def _runs(answers: list[bytes], *codes: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, n))
 
 
+def _slots(packed: chunks.Packed) -> int:
+    return min(packed.slots, SLOTS)
+
+
 def _requests(packed: chunks.Packed, length: int, gram: int) -> DataFrame:
     """An anchor with one span in a chunk goes to the anchor's slot with its
     span. One with several sends a pointer there, with their number (weight
     over 1), and the spans to slots of their own hashes (weight 0): a passage
     with ever new surroundings is one entry per chunk at its anchor."""
-    slots = packed.slots
+    slots = _slots(packed)
 
     def run(batches):
         for b in batches:
@@ -420,7 +426,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, with_text: bo
     ``with_text`` the text that is left (bytes of a cut character are dropped from it)."""
     rows = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     packed = chunks.pack(rows, keep)
-    answers = stored(chunks.resolve(_requests(packed, length, gram), packed.count, packed.slots, Spans(hot)), "settled")
+    answers = stored(chunks.resolve(_requests(packed, length, gram), packed.count, _slots(packed), Spans(hot)), "settled")
     n_open = answers.agg(F.sum("a")).first()[0] or 0
     late = stored(_compare(_spans(packed, answers, -(-n_open // BUCKET_SPANS) or 1, length, gram), length, gram), "late")
     marks = answers.groupBy(F.col("unit").alias("chunk")).agg(F.collect_list("got").alias("got"))  # at most FAN a chunk
