@@ -2,7 +2,9 @@
 
 A place has levels (page, sheet, cell, paragraph); either side may leave out
 any. Two places are compatible if no level that both name differs, within the
-same file. Which levels a row names is one of 16 patterns: every row is taken
+same file. The segments of a file are one array, which its values look through;
+both sides are moved once, by file. Files of more than ``MOST`` segments are met
+by equal keys instead: which levels a row names is one of 16 patterns: every row is taken
 once for each pattern of the other side, with the levels that both name as its
 key, so a compatible pair has exactly one equal key and the join is an
 equi-join. Containment of texts is found through three-letter grams: the text
@@ -15,7 +17,7 @@ from __future__ import annotations
 
 import functools
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,8 @@ from ..functions import dims, text
 from ..runtime import written
 
 LEVELS = ("page", "sheet", "cell", "paragraph")
+#: the segments of a file that are held as one array
+MOST = 1024
 
 
 def base_name(path: Column) -> Column:
@@ -47,10 +51,33 @@ def _mask() -> Column:
     return functools.reduce(lambda a, b: a + b, (F.when(F.col(x).isNull(), 0).otherwise(1 << k) for k, x in enumerate(LEVELS)))
 
 
-def _placed(df: DataFrame, others: DataFrame, files: str) -> DataFrame:
-    """Rows by ``place``, one for each file and pattern of ``others``."""
+def _by_file(df: DataFrame) -> DataFrame:
+    """Rows by ``_file``, one for each of ``_files``."""
+    return df.withColumn("_file", F.explode(F.filter(F.array_distinct("_files"), lambda f: f != ""))).drop("_files")
+
+
+def _large(segments: DataFrame) -> DataFrame | None:
+    """The files with more than ``MOST`` segments, if there are any."""
+    found = written(segments.groupBy("_file").agg(F.count("*").alias("n")).where(F.col("n") > MOST).select("_file"), "large")
+    return None if found.isEmpty() else found
+
+
+def _looked_up(values: DataFrame, segments: DataFrame, large: DataFrame | None) -> DataFrame:
+    """Values with the segments of their file as the array ``segs``; large files are left out."""
+    few = segments if large is None else segments.join(large, "_file", "left_anti")
+    held = few.groupBy("_file").agg(F.collect_list(F.struct(*(c for c in few.columns if c not in ("_file", "_mask")))).alias("segs"))
+    return values.join(held.hint("merge"), "_file")  # no broadcast: arrays take far more room than their files
+
+
+def _compatible(x: Column) -> Column:
+    """Whether a segment's place is compatible with that of the row."""
+    return functools.reduce(lambda a, b: a & b, (F.col(c).isNull() | x[c].isNull() | (F.col(c) == x[c]) for c in LEVELS))
+
+
+def _placed(df: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows by ``place``, one for each pattern of ``others``."""
     patterns = sorted(r[0] for r in others.select("_mask").distinct().collect())  # 16 at most
-    rows = df.withColumn("_file", F.explode(F.filter(F.array_distinct(files), lambda f: f != ""))).withColumn("_other", F.explode(F.lit(patterns).cast("array<int>")))
+    rows = df.withColumn("_other", F.explode(F.lit(patterns).cast("array<int>")))
     named = [F.when((F.col("_mask").bitwiseAND(F.col("_other")).bitwiseAND(F.lit(1 << k))) != 0, F.col(x)).otherwise("") for k, x in enumerate(LEVELS)]
     both = F.col("_mask").bitwiseAND(F.col("_other"))
     # a pattern of the one side with one of the other, whichever is which: the shared levels alone would let a pair meet twice
@@ -87,19 +114,34 @@ def containing(small: DataFrame, large: DataFrame, on: list[str]) -> DataFrame:
     return full.where(F.contains("large", "small")).select(*on, "small", "large")
 
 
+def _behind_label(labels: Sequence[str], t: Column) -> Column:
+    """The value behind the first of the labels that has one."""
+    return F.coalesce(F.lit(None).cast("string"), *(F.nullif(F.regexp_extract(t, rf"(?i)(?:^|[|；;\n])\s*{re.escape(x)}\s*[:：=]\s*([^|；;\n]+)", 1), F.lit("")) for x in labels))
+
+
 def display_value(labels: Sequence[str], original_is_model: Column, translation: Column) -> Column:
     """What a translation says for a field, or empty: the value behind one of
     the field's labels, else the whole of a short text that names no tag,
     model or standard."""
     t = F.trim(translation)
-    labelled = F.coalesce(F.lit(None).cast("string"), *(F.nullif(F.regexp_extract(t, rf"(?i)(?:^|[|；;\n])\s*{re.escape(x)}\s*[:：=]\s*([^|；;\n]+)", 1), F.lit("")) for x in labels))
+    labelled = _behind_label(labels, t)
     model = t.contains("型号") & ~original_is_model
     unfit = (F.length(t) > 160) | (F.regexp_count(t, F.lit(r"\|")) > 1) | t.rlike(r"(?iU)\b(?:TAG\s*(?:NO)?|MODEL|STANDARD)\b") | model
     return F.when((t == "") | ~text.has_cjk(t), "").when(labelled.isNotNull(), F.trim(labelled)).when(unfit, "").otherwise(text.fold_space(t))
 
 
-def _classes() -> list[tuple[str, tuple[str, ...]]]:
-    return [*dims.TRANSLATED_LABELS.items(), ("", ())]
+def _shown(translation: Column) -> list[Column]:
+    """What a translation with Chinese says, once for all classes of fields:
+    behind the labels of each, and as a whole for values without and with a model."""
+    t = F.trim(translation)
+    each = F.array(*(F.struct(F.lit(name).alias("class"), F.trim(_behind_label(labels, t)).alias("selected")) for name, labels in dims.TRANSLATED_LABELS.items()))
+    return [F.filter(each, lambda x: x["selected"].isNotNull()).alias("labelled"), *(display_value((), F.lit(m), t).alias(c) for c, m in (("plain", False), ("plain_model", True)))]
+
+
+def _selected(shown: Callable[[str], Column], name: Column, model: Column) -> Column:
+    """:func:`display_value` for a class of fields, from the columns of :func:`_shown`."""
+    own = F.get(F.filter(shown("labelled"), lambda x: x["class"] == name), F.lit(0))["selected"]
+    return F.coalesce(own, F.when(model, shown("plain_model")).otherwise(shown("plain")))
 
 
 def _class_of(field: Column) -> Column:
@@ -116,22 +158,36 @@ def first_translations(values: DataFrame, segments: DataFrame) -> DataFrame:
     segment fits counts, and of its segments the first with something to show."""
     places = [coordinate(F.col(x), x).alias(x) for x in LEVELS]
     names = F.transform("files", base_name).alias("_files")
-    v = values.select("value_id", "source_ord", _class_of(F.col("field")).alias("class"), F.lower("original_value").contains("model").alias("model"), text.evidence_text(F.col("original_value")).alias("t"), names, *places).where("t <> ''").withColumn("_mask", _mask())
-    shows = F.array(*(F.struct(F.lit(name).alias("class"), F.lit(m).alias("model"), display_value(labels, F.lit(m), F.col("translation")).alias("selected")) for name, labels in _classes() for m in (False, True)))
-    s = segments.select("seg_ord", text.evidence_text(F.col("original")).alias("t"), names, *places, F.filter(shows, lambda x: x["selected"] != "").alias("shows")).where("t <> '' and size(shows) > 0").withColumn("_mask", _mask())
-    v, s = written(v, "values"), written(s, "segments")
+    v = _by_file(values.select("value_id", "source_ord", _class_of(F.col("field")).alias("class"), F.lower("original_value").contains("model").alias("model"), text.evidence_text(F.col("original_value")).alias("t"), names, *places).where("t <> ''"))
+    s = segments.where(text.has_cjk(F.col("translation"))).select("seg_ord", text.evidence_text(F.col("original")).alias("t"), *_shown(F.col("translation")), names, *places).where("t <> ''")
+    s = written(_by_file(s), "segments")
+    large = _large(s)
+    t = F.col("t")
+    held = lambda x: _compatible(x) & (F.contains(x["t"], t) | F.contains(t, x["t"]))
+    told = lambda x: F.struct(x["seg_ord"].alias("seg_ord"), _selected(lambda c: x[c], F.col("class"), F.col("model")).alias("selected"))
+    x = F.array_min(F.filter(F.transform(F.filter("segs", held), told), lambda x: x["selected"] != ""))
+    found = _looked_up(v, s, large).select("value_id", "source_ord", x.alias("x")).where("x is not null")
+    if large is not None:
+        found = found.union(_first_by_grams(v.join(large, "_file", "left_semi"), s.join(large, "_file", "left_semi")))
+    chosen = found.groupBy("value_id").agg(F.min(F.struct("source_ord", "x.seg_ord", "x.selected")).alias("c"))
+    return chosen.select("value_id", "c.source_ord", "c.seg_ord", "c.selected")
+
+
+def _first_by_grams(v: DataFrame, s: DataFrame) -> DataFrame:
+    """(value_id, source_ord, x) of files with any number of segments."""
+    every = F.array(*(F.struct(F.lit(name).alias("class"), F.lit(m).alias("model"), _selected(F.col, F.lit(name), F.lit(m)).alias("selected")) for name in (*dims.TRANSLATED_LABELS, "") for m in (False, True)))
+    v = written(v.withColumn("_mask", _mask()), "values")
+    s = written(s.withColumn("_mask", _mask()).withColumn("shows", F.filter(every, lambda x: x["selected"] != "")).drop("labelled", "plain", "plain_model").where("size(shows) > 0"), "segments")
     on = ["place", "pair"]
-    placed_v = written(_placed(v, s, "_files"), "placed")
-    placed_s = _placed(s, v, "_files").withColumn("pair", F.struct(F.col("_other").alias("_mask"), F.col("_mask").alias("_other")))
+    placed_v = written(_placed(v, s), "placed")
+    placed_s = _placed(s, v).withColumn("pair", F.struct(F.col("_other").alias("_mask"), F.col("_mask").alias("_other")))
     best = placed_s.select(*on, "t", "seg_ord", F.explode("shows").alias("x")).groupBy(*on, "t", "x.class", "x.model").agg(F.min(F.struct("seg_ord", "x.selected")).alias("x"))
     best = written(best, "translations")
     pairs = containing(placed_v, best, on).select(*on, F.col("small").alias("vt"), F.col("large").alias("st"))
     back = containing(best, placed_v, on).select(*on, F.col("large").alias("vt"), F.col("small").alias("st"))
     met = pairs.union(back).distinct().join(best.withColumnRenamed("t", "st"), [*on, "st"])
     first = met.groupBy(*on, F.col("vt").alias("t"), "class", "model").agg(F.min("x").alias("x"))
-    found = placed_v.select(*on, "t", "class", "model", "value_id", "source_ord").join(first, [*on, "t", "class", "model"])
-    chosen = found.groupBy("value_id").agg(F.min(F.struct("source_ord", "x.seg_ord", "x.selected")).alias("c"))
-    return chosen.select("value_id", "c.source_ord", "c.seg_ord", "c.selected")
+    return placed_v.select(*on, "t", "class", "model", "value_id", "source_ord").join(first, [*on, "t", "class", "model"]).select("value_id", "source_ord", "x")
 
 
 def apply_translations(values: DataFrame, segments: DataFrame) -> DataFrame:
@@ -166,27 +222,45 @@ def best_translations(values: DataFrame, segments: DataFrame) -> DataFrame:
     ``values``: value_id, original_value, aliases (names of its field), files
     and the levels; ``segments`` as for :func:`first_translations`. A compatible
     segment that holds the value scores 8, one that also names the field 12, one
-    that only names it 6; of equal scores the first counts, below there is none.
-    Segments that hold the value are found by grams and then asked for the
-    names; names alone are answered once for each place and name."""
+    that only names it 6; of equal scores the first counts, below there is none."""
     places = [coordinate(F.col(x), x).alias(x) for x in LEVELS]
     names = F.transform("files", base_name).alias("_files")
     aliases = F.array_sort(F.filter(F.array_distinct(F.transform(F.coalesce("aliases", F.array().cast("array<string>")), text.evidence_text)), lambda a: a != ""))
-    v = values.select("value_id", text.evidence_text(F.col("original_value")).alias("t"), aliases.alias("aliases"), names, *places).withColumn("_mask", _mask())
-    s = segments.where(F.trim("translation") != "").select("seg_ord", text.evidence_text(F.col("original")).alias("t"), F.trim("translation").alias("translation"), names, *places).where("t <> ''").withColumn("_mask", _mask())
-    v, s = written(v, "values"), written(s, "segments")
+    v = _by_file(values.select("value_id", text.evidence_text(F.col("original_value")).alias("t"), aliases.alias("aliases"), names, *places))
+    s = segments.where(F.trim("translation") != "").select("seg_ord", text.evidence_text(F.col("original")).alias("t"), F.trim("translation").alias("translation"), names, *places).where("t <> ''")
+    s = written(_by_file(s), "segments")
+    large = _large(s)
+    near = _looked_up(v, s, large)
+
+    def told(x: Column) -> Column:
+        has = (F.col("t") != "") & F.contains(x["t"], F.col("t"))
+        named = F.exists("aliases", lambda a: F.contains(x["t"], a))
+        score = F.when(has, F.when(named, 12).otherwise(8)).when(named, 6)
+        return F.struct(score.alias("score"), (-x["seg_ord"]).alias("back"), x["seg_ord"].alias("seg_ord"), x["translation"].alias("translation"))
+
+    b = F.array_max(F.filter(F.transform(F.filter("segs", _compatible), told), lambda x: x["score"].isNotNull()))
+    found = near.select("value_id", b.alias("b")).where("b is not null")
+    if large is not None:
+        found = found.union(_best_by_grams(v.join(large, "_file", "left_semi"), s.join(large, "_file", "left_semi")))
+    return found.groupBy("value_id").agg(F.max("b").alias("b")).select("value_id", F.col("b.score").cast("long").alias("score"), "b.seg_ord", "b.translation")
+
+
+def _best_by_grams(v: DataFrame, s: DataFrame) -> DataFrame:
+    """(value_id, b) of files with any number of segments. Those that hold the
+    value are found by grams and then asked for the names; names alone are
+    answered once for each place and name."""
+    v, s = written(v.withColumn("_mask", _mask()), "values"), written(s.withColumn("_mask", _mask()), "segments")
     on = ["place", "pair"]
-    placed_v = written(_placed(v, s, "_files").select("value_id", *on, "t", "aliases"), "placed")
-    placed_s = _placed(s, v, "_files").withColumn("pair", F.struct(F.col("_other").alias("_mask"), F.col("_mask").alias("_other")))
-    first = written(placed_s.groupBy(*on, "t").agg(F.min(F.struct("seg_ord", "translation")).alias("s")), "translations")
+    placed_v = written(_placed(v, s).select("value_id", *on, "t", "aliases"), "placed")
+    placed_s = _placed(s, v).withColumn("pair", F.struct(F.col("_other").alias("_mask"), F.col("_mask").alias("_other")))
+    first = written(placed_s.groupBy(*on, "t").agg(F.max(F.struct((-F.col("seg_ord")).alias("back"), "seg_ord", "translation")).alias("s")), "translations")
     asked = placed_v.select(*on, "t", "aliases").distinct()
     held = containing(asked, first, on).join(asked.withColumnRenamed("t", "small"), [*on, "small"])
     named = F.exists("aliases", lambda a: F.contains(F.col("large"), a))
-    told = lambda score: F.struct(score.alias("score"), (-F.col("s.seg_ord")).alias("back"), "s.seg_ord", "s.translation")
+    told = lambda score: F.struct(score.alias("score"), "s.back", "s.seg_ord", "s.translation")
     scored = held.withColumn("score", F.when(named, 12).otherwise(8)).join(first.withColumnRenamed("t", "large"), [*on, "large"])
     by_value = scored.groupBy(*on, F.col("small").alias("t"), "aliases").agg(F.max(told(F.col("score"))).alias("b"))
     alias = asked.select(*on, F.explode("aliases").alias("t")).distinct()
     by_alias = containing(alias, first, on).join(first.withColumnRenamed("t", "large"), [*on, "large"]).groupBy(*on, F.col("small").alias("alias")).agg(F.max(told(F.lit(6))).alias("b"))
     mine = placed_v.select("value_id", *on, F.explode("aliases").alias("alias")).join(by_alias, [*on, "alias"]).select("value_id", "b")
-    found = placed_v.join(by_value, [*on, "t", "aliases"]).select("value_id", "b").union(mine)
-    return found.groupBy("value_id").agg(F.max("b").alias("b")).select("value_id", F.col("b.score").cast("long").alias("score"), "b.seg_ord", "b.translation")
+    return placed_v.join(by_value, [*on, "t", "aliases"]).select("value_id", "b").union(mine)

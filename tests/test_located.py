@@ -146,3 +146,23 @@ def test_best_translations(spark):
         want = best(values, segments)
         assert {x.value_id: (x.score, x.seg_ord, x.translation) for x in got} == want
     assert {s for s, *_ in best(*[[(*v, ["Pump"]) for v in rows(6, 120, 80)[0]], rows(6, 120, 80)[1]]).values()} == {6, 8, 12}
+
+
+def test_few_segments_need_no_grams(spark, monkeypatch):
+    """The segments of a file are looked through where they are few; grams, a
+    hundred rows a text and place, are left for files with more than ``MOST``."""
+    values, segments = rows(9, 60, 60)
+    named = [(*v, ["Pump", "ss"]) for v in values]
+    df, told = spark.createDataFrame(named, f"{VALUES}, aliases array<string>"), spark.createDataFrame(segments, SEGMENTS)
+    used = []
+    containing = located.containing
+    monkeypatch.setattr(located, "containing", lambda *a: used.append(1) or containing(*a))
+    want = plain(values, segments) if not seen.clear() else None
+    for most, grams in ((1024, False), (20, True), (0, True)):
+        monkeypatch.setattr(located, "MOST", most, raising=False)
+        used.clear()
+        got = located.apply_translations(df, told).collect()
+        assert {r.value_id: (r.value_cn, r.source_ord, r.seg_ord) for r in got} == want
+        found = located.best_translations(df.where("source_ord = 0"), told).collect()
+        assert {x.value_id: (x.score, x.seg_ord, x.translation) for x in found} == best(named, segments)
+        assert bool(used) == grams
