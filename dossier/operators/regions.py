@@ -5,7 +5,9 @@ two that its longer side fits into, and covers at most four cells of its level,
 whatever its size; the other side is looked up once for each level in use. A
 point lies in one cell of a level, and a pair of rectangles counts in the cell
 of its intersection's first corner, so nothing meets twice and no pairs are
-formed beyond a cell. Boxes are the columns x0, top, x1, bottom.
+formed beyond a cell. Words look through the regions of their page where these
+are few, and take cells on other pages only: a row for each level is moved then.
+Boxes are the columns x0, top, x1, bottom.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from ..runtime import written
 BOX = ("x0", "top", "x1", "bottom")
 #: how far a word's centre may lie beside a region, and a box outside of a page or another
 BESIDE, OUTSIDE, WITHIN = 1.0, 0.5, 1.5
+#: the regions of a page that are held as one array
+FEW = 64
 
 
 def _level(margin: float) -> Column:
@@ -42,8 +46,27 @@ def words_in_regions(words: DataFrame, regions: DataFrame, page: str, margin: fl
     """Words (page, word columns, box) with the regions (page, region columns,
     box) that hold their centre. Column names other than page and box differ;
     boxes with a null or turned side hold nothing."""
-    sound = regions.where("x1 >= x0 and bottom >= top")
-    r = written(_covered(sound, _level(margin), margin), "regions")
+    r = written(regions.where("x1 >= x0 and bottom >= top"), "regions")
+    many = written(r.groupBy(page).agg(F.count("*").alias("n")).where(F.col("n") > FEW).select(page), "many")
+    if many.isEmpty():
+        return _looked_through(words, r, page, margin)
+    near = _looked_through(words, r.join(many, page, "left_anti"), page, margin)
+    return near.unionByName(_by_cells(words.join(many, page, "left_semi"), r.join(many, page, "left_semi"), page, margin))
+
+
+def _looked_through(words: DataFrame, regions: DataFrame, page: str, margin: float) -> DataFrame:
+    """Words with the regions of their page as an array: words are moved once, by page."""
+    own = [c for c in regions.columns if c != page and c not in BOX]
+    held = regions.groupBy(page).agg(F.collect_list(F.struct(*own, *BOX)).alias("_regions"))
+    cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    inside = lambda g: cx.between(g["x0"] - margin, g["x1"] + margin) & cy.between(g["top"] - margin, g["bottom"] + margin)
+    met = words.join(held, page).select(*words.columns, F.explode(F.filter("_regions", inside)).alias("_region"))
+    return met.select(*words.columns, *(F.col(f"_region.{c}").alias(c) for c in own))
+
+
+def _by_cells(words: DataFrame, regions: DataFrame, page: str, margin: float) -> DataFrame:
+    """Words with the regions of pages that have any number of them."""
+    r = written(_covered(regions, _level(margin), margin), "cells")
     levels = sorted(x[0] for x in r.select("_level").distinct().collect())  # powers of two
     cx, cy = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
     w = words.withColumns({"_cx": cx, "_cy": cy}).where("_cx is not null and _cy is not null").withColumn("_level", F.explode(F.lit(levels).cast("array<int>")))

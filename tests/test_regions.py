@@ -68,3 +68,20 @@ def test_rules_of_a_page(spark):
     assert [whole(t) for t in ("", "- X", "tag", "TAG NO 1 FLOW 2", "TAG NO 1", "AS SPECIFIED", "FLOWS A/B", "flow a/b")] == [True, True, True, False, False, True, False, False]
     inside = spark.createDataFrame([((1.0, 1.0, 5.0, 5.0), (2.0, 2.0, 4.0, 4.0)), ((0.0, 1.0, 5.0, 5.0), (2.0, 2.0, 4.0, 4.0))], f"a struct<{BOX.replace(' double', ': double')}>, b struct<{BOX.replace(' double', ': double')}>")
     assert [x[0] for x in inside.select(regions.within("a", "b")).collect()] == [True, False]
+
+
+def test_few_regions_need_no_cells(spark, monkeypatch):
+    """Words are moved once where a page has few regions, not once for each size of region."""
+    r = random.Random(4)
+    w = spark.createDataFrame(boxes(r, 200, [10, 40]), f"page int, word int, {BOX}")
+    a = spark.createDataFrame([b for b in boxes(r, 60, [1, 20, 300, 5000]) if b[0] or b[1] < 15], f"page int, region int, {BOX}")
+    used = []
+    covered = regions._covered
+    monkeypatch.setattr(regions, "_covered", lambda *x: used.append(1) or covered(*x))
+    got = []
+    for few, cells in ((64, False), (10, True), (0, True)):
+        monkeypatch.setattr(regions, "FEW", few, raising=False)
+        used.clear()
+        got.append(sorted(tuple(x) for x in regions.words_in_regions(w, a, "page").select("page", "word", "region", "x0").collect()))
+        assert bool(used) == cells
+    assert got[0] == got[1] == got[2] and len(got[0]) > 50
