@@ -63,12 +63,13 @@ def card_key(candidates: DataFrame) -> DataFrame:
     return candidates.withColumn("card", F.when(tagged != "", F.lower(tagged)).otherwise(F.concat(F.lit(UNTAGGED + "-"), F.col("source_row").cast("string"))))
 
 
-def values(normal: DataFrame) -> DataFrame:
+def values(normal: DataFrame, dealt: bool = False) -> DataFrame:
     """One row per card, field and distinct value, of the first candidate, from
-    normalised candidates or normalised :func:`repeated` ones."""
+    normalised candidates or normalised :func:`repeated` ones, which are dealt
+    by card here unless they already are."""
     other = F.when(F.col("field") == "others", F.col("name")).otherwise("")
     if "n_sources" in normal.columns:
-        rows, n, has_ref = normal.repartition("card"), F.sum("n_sources"), F.col("has_ref")
+        rows, n, has_ref = normal if dealt else normal.repartition("card"), F.sum("n_sources"), F.col("has_ref")
     else:
         rows, n, has_ref = normal, F.count("*"), F.col("ref").isNotNull()
     g = rows.withColumn("other_name", other).groupBy("card", "field", F.lower("norm_value").alias("value_key"), F.lower("norm_unit").alias("unit_key"), "other_name")

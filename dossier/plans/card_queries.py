@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dims, text, units
 from ..operators import cards, export
 from ..runtime import table, written
-from .candidates import FLOW_UNITS, PRESSURE_UNITS, candidates, line_candidates
+from .candidates import FLOW_UNITS, PRESSURE_UNITS, candidates, dealt, line_candidates
 
 
 def _converted(c, convert):
@@ -31,8 +31,12 @@ def decimal_range(spark, d):
 
 
 def _values(spark, d):
-    c = cards.card_key(candidates(spark, d))
-    return cards.values(cards.normalised(cards.repeated(c), numbers_of=c))
+    c = candidates(spark, d)
+    mine, apart = dealt(spark, d)
+    rows = cards.repeated(mine)
+    if apart is None:
+        return cards.values(cards.normalised(rows, numbers_of=c), dealt=True)
+    return cards.values(cards.normalised(rows.unionByName(cards.repeated(apart)), numbers_of=c))
 
 
 def card_values(spark, d):
