@@ -7,6 +7,9 @@ words or runs of tokens, never term by term.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,17 +204,51 @@ KEPT = (
 )
 
 
+#: what a kept token may begin with, one by one: no other place is looked at closely
+_KEPT_HEAD = "[" + "".join(sorted({u[0] for u in UNITS.split("|")} | {*string.ascii_uppercase, *string.digits})) + "]"
+#: set around what a pattern finds, so that a plain split takes it apart
+_EDGE = "\x01"
+
+
+def _once(c: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``c``, which is computed once however often ``use`` names it."""
+    return F.get(F.transform(F.array(c), use), F.lit(0))
+
+
+def _parts(c: Column, pattern: str) -> Column:
+    """A text in parts, every second one a match of the pattern's one group.
+
+    The pattern runs once; splitting by a pattern would compile it for every
+    row, as happens only to texts that hold the edge themselves."""
+
+    def cut(t: Column) -> Column:
+        plain = F.split(F.regexp_replace(t, pattern, f"{_EDGE}$1{_EDGE}"), _EDGE, -1)
+        pairs = F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), 1), lambda a, b: F.array(a, b))
+        return F.when(F.contains(t, F.lit(_EDGE)), F.filter(F.flatten(pairs), lambda x: x.isNotNull())).otherwise(plain)
+
+    return _once(c, cut)
+
+
+def _odd(i: Column) -> Column:
+    return i.bitwiseAND(F.lit(1)) == 1
+
+
 def masked(c: Column) -> Column:
     """A text's kept tokens under numbers: struct(masked, tokens), in order of
     their places, equal ones each with a number of its own."""
-    pattern = "(?U)(" + "|".join(KEPT) + ")"
-    tokens, between = F.regexp_extract_all(c, F.lit(pattern), 1), F.split(c, pattern, -1)
-    marks = F.transform(tokens, lambda x, i: F.format_string("TKN%04dX", i))
-    joined = F.array_join(F.flatten(F.zip_with(between, F.concat(marks, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    return F.struct(joined.alias("masked"), tokens.alias("tokens"))
+    pattern = rf"(?U)(?={_KEPT_HEAD})\b(" + "|".join(KEPT) + ")"
+    n = lambda i: F.shiftright(i, 1).cast("string")
+    mark = lambda i: F.concat(F.lit("TKN"), F.when(i < 20_000, F.lpad(n(i), 4, "0")).otherwise(n(i)), F.lit("X"))
+    hidden = lambda x, i: F.when(_odd(i), mark(i)).otherwise(x)
+    return _once(_parts(c, pattern), lambda p: F.struct(F.array_join(F.transform(p, hidden), "").alias("masked"), F.filter(p, lambda x, i: _odd(i)).alias("tokens")))
 
 
 def unmasked(masked: Column, tokens: Column) -> Column:
-    """The text with its tokens back, also where a translator wrote the marks small."""
-    numbered = F.transform(tokens, lambda x, i: F.struct(F.format_string("TKN%04dX", i).alias("mark"), x.alias("token")))
-    return F.aggregate(numbered, masked, lambda t, x: F.replace(F.replace(t, x["mark"], x["token"]), F.lower(x["mark"]), x["token"]))
+    """The text with its tokens back, also where a translator wrote the marks
+    small: one pass, however many they are. What is put back is not looked at
+    again, and a mark without a token stays."""
+    number = "(?:[0-9]{4}|[1-9][0-9]{4,8})"  # as marks write it
+    parts = _parts(masked, f"([Tt](?:(?<=T)KN{number}X|(?<=t)kn{number}x))")
+    shown = lambda x: F.coalesce(F.get(tokens, F.substring(x, F.lit(4), F.length(x) - 4).try_cast("int")), x)
+    back = F.array_join(F.transform(parts, lambda x, i: F.when(_odd(i), shown(x)).otherwise(x)), "")
+    return F.when(F.size(tokens) == 0, masked).otherwise(back)

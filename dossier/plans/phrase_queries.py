@@ -54,7 +54,8 @@ def term_protect(spark, d):
         F.concat_ws(" ", F.lit("pump"), F.concat(F.lit("P-"), "l_partkey", F.lit("/"), "l_suppkey"), F.lit("to API"), F.col("l_suppkey"), F.lit("at"), F.concat(F.col("l_quantity").cast("long").cast("string"), F.element_at(F.array(*map(F.lit, (" bar", "mm", " kg", "V"))), F.col("l_linenumber") % 4 + 1)), F.lit("of 50 Hz")).alias("text"),
     )
     t = docs.union(li).select("id", F.coalesce("text", F.lit("")).alias("text"), phrases.masked(F.coalesce("text", F.lit(""))).alias("m"))
-    return t.select("id", F.md5(F.regexp_replace("m.masked", r"[^\x00-\x7F]", "z").cast("binary")).alias("masked_md5"), F.size("m.tokens").cast("long").alias("n_tokens"), F.array_join("m.tokens", "\n").alias("tokens"), (F.lower(phrases.unmasked(F.lower("m.masked"), F.col("m.tokens"))) == F.lower("text")).alias("whole"))
+    plain = F.when(F.octet_length("m.masked") == F.length("m.masked"), F.col("m.masked")).otherwise(F.regexp_replace("m.masked", r"[^\x00-\x7F]", "z"))
+    return t.select("id", F.md5(plain.cast("binary")).alias("masked_md5"), F.size("m.tokens").cast("long").alias("n_tokens"), F.array_join("m.tokens", "\n").alias("tokens"), (F.lower(phrases.unmasked(F.lower("m.masked"), F.col("m.tokens"))) == F.lower("text")).alias("whole"))
 
 
 QUERIES = {f.__name__: f for f in (word_segment, ocr_spacing, dict_replace, term_protect)}

@@ -116,3 +116,31 @@ def test_masks_and_small_rules(spark):
     assert one(phrases.latin_words(F.lit("use it's API 610 at P-1/A"))) == ["use", "it's", "at"]
     assert [one(phrases.is_short_code(F.lit(t))) for t in ("NPSH", "A.B. C", "AB CD EF", "AB CD EF GH", "a", "D.O.Name", "A.B.")] == [True, False, True, False, False, True, True]
     assert one(phrases.corrected(F.lit("Train doc. no"), F.lit("列车 博士编号"))) == "线文件号" and one(phrases.corrected(F.lit("x"), F.lit("列车"))) == "列车"
+
+
+def test_marks_by_plain_loops(spark):
+    r = random.Random(8)
+    kept = "|".join(phrases.KEPT)
+    parts = ["pump", "P-1/A", "A-TKN0001X", "TKN0001X", "tkn0000x", "TKN00000X", "Tkn0000x", "API 682", "12.5 bar", "%", "é5", "V", "\x01", " ", " ", "-", "mm", "m³/h", "7", "10-B"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(400)] + ["A-TKN0001X at 50 Hz", "5V " * 10_050, "", None]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string").select("*", phrases.masked(F.col("t")).alias("m")).select("*", phrases.unmasked(F.col("m.masked"), F.col("m.tokens")).alias("back"))
+    for x in df.collect():
+        if x.t is None:
+            assert x.m.masked is None and x.back is None
+            continue
+        tokens = [m[0] for m in re.finditer(kept, x.t)]
+        number = iter(range(len(tokens)))
+        assert x.m.tokens == tokens and x.m.masked == re.sub(kept, lambda m: f"TKN{next(number):04d}X", x.t), x.t
+        put = lambda m: tokens[int(m[0][3:-1])] if int(m[0][3:-1]) < len(tokens) else m[0]
+        assert x.back == re.sub(r"TKN(\d{4}|[1-9]\d{4,8})X|tkn(\d{4}|[1-9]\d{4,8})x", put, x.m.masked), x.t
+
+
+def test_term_protect_searches_once(spark, tmp_path):
+    from dossier.plans import phrase_queries as Q
+
+    spark.createDataFrame([(1, "A-TKN0001X at 50 Hz"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 2, 3, 4, 5.0)], "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = Q.term_protect(spark, str(tmp_path))
+    assert {x.id: (x.tokens, x.n_tokens, x.whole) for x in got.collect()} == {"d1": ("A-TKN0001X\n50 Hz", 2, True), "d2": ("", 0, True), "l-1-2-3-4": ("P-3/4\nAPI 4\n50 Hz", 3, True)}
+    # in each of two tables one search, and the way of texts with an edge
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("NACE") <= 6
