@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 CJK = r"[一-鿿]"
 LATIN = "[A-Za-z]"
 CYRILLIC = r"[Ѐ-ӿ]"
-TAG = r"(?:^|[^A-Z0-9])([A-Z0-9]{1,6}(?:[-/][A-Z0-9]{1,8}){1,4})(?=$|[^A-Z0-9/-])"
+# a part ends where no letter or digit follows, so nothing taken is ever given back
+TAG = r"(?<![A-Z0-9])([A-Z0-9]{1,6}+(?:[-/][A-Z0-9]{1,8}+){1,4}+)(?![A-Z0-9/-])"
 NUMBER = r"[-+]?[0-9]+(?:\.[0-9]+)?"
 
 #: line ends of a text scan
@@ -78,7 +79,10 @@ def is_pump_tag(c: Column) -> Column:
 
 def tags(c: Column) -> Column:
     """Distinct pump tags of a text, in order."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.upper(c), F.lit(TAG), 1), is_pump_tag))
+    # of what :data:`TAG` finds, placeholders with a part P are those with a part of X alone
+    part = lambda x, of: x.rlike(f"(?:^|[-/]){of}(?:$|[-/])")
+    pump = lambda x: (x.startswith("P-") | (x.contains("P") & part(x, "P"))) & ~(x.contains("XX") & part(x, "X{2,}"))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.upper(c), F.lit(TAG), 1), pump))
 
 
 def clean_value(c: Column) -> Column:

@@ -76,3 +76,21 @@ def test_column_letters_beyond_three(spark):
     at = [1, 26, 27, 52, 53, 702, 703, 18278, 18279, 30000, 475254, 475255, 1_200_000]
     df = spark.createDataFrame([(n,) for n in at], "n long").select("n", text.column_letters(F.col("n")).alias("l")).select("*", text.column_number(F.concat(F.lit("$"), "l", F.lit("$7"))).alias("back"))
     assert {r.n: (r.l, r.back) for r in df.collect()} == {n: (letters(n), n) for n in at}
+
+
+def test_tags_by_their_parts(spark):
+    from pyspark.sql import functions as F
+
+    from dossier.functions import text
+
+    r = random.Random(5)
+    parts = ["P", "P", "XX", "X", "XXX", "N", "A", "12", "TBD", "p", "PX", "XXA", "ABCDEF", "ABCDEFG", "123456789", "-", "-", "-", "/", "/", " ", ",", "\n", "é", "ß", "?", "*"]
+    words = ["P-1", "a/p-2/B", "XX-P", "P-XX-1", "n/a", "v-12", "P/P", "12-P", "P-P-P-P-P-P", "ABCDEFG-P", "P-123456789"]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 16))) for _ in range(2000)] + ["".join(r.choice(words) + r.choice([" ", ", ", "-", "é"]) for _ in range(8)) for _ in range(500)] + ["P-1\n", "XX-P-1", "a/p-1, P-1/a, P-XX-1 N/A P-", "", None]
+    plain = r"(?:^|[^A-Z0-9])([A-Z0-9]{1,6}(?:[-/][A-Z0-9]{1,8}){1,4})(?=$|[^A-Z0-9/-])"
+    want = F.array_distinct(F.filter(F.regexp_extract_all(F.upper("t"), F.lit(plain), 1), text.is_pump_tag))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.tags(F.col("t")).alias("tags"), want.alias("want"))
+    rows = got.collect()
+    assert [x for x in rows if x.tags != x.want] == [] and sum(len(x.tags or ()) > 1 for x in rows) > 20
+    # a text is split by no pattern, which every row would compile again
+    assert "split(" not in got.select("tags")._jdf.queryExecution().optimizedPlan().toString()
