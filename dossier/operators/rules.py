@@ -63,11 +63,31 @@ def _hits(body: str, rule: str, severity: str, pattern: str) -> Column:
     return F.transform(found, lambda x: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), x.alias("value")))
 
 
+def words(c: Column) -> Column:
+    """Runs of ASCII letters and digits, small."""
+    return F.filter(F.split(F.lower(c), r"[^a-z0-9]+"), lambda x: x != "")
+
+
+def word_runs(docs: DataFrame, words: str, n: int) -> DataFrame:
+    """A row for each ``n`` adjacent words of each row's list: (size, mark,
+    digest) beside the other columns. The digest is the SHA-256 of the run, the
+    mark a quick 64-bit hash; both are never null, so no join asks that of a
+    digest before it is needed."""
+    others = [c for c in docs.columns if c != words]
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n))
+    rows = docs.select(*others, words, F.explode(at).alias("_i"))
+    mark = F.xxhash64(*(F.get(words, F.col("_i") + k) for k in range(n)))
+    digest = F.coalesce(F.sha2(F.array_join(F.slice(words, F.col("_i") + 1, n), " "), 256), F.lit(""))
+    return rows.select(*others, F.lit(n).alias("size"), mark.alias("mark"), digest.alias("digest"))
+
+
 def denied(docs: DataFrame, key: str, body: str, denylist: DataFrame, sizes: Sequence[int]) -> DataFrame:
-    """Word runs whose (size, digest) is on a list of hashes; equi-joined."""
-    words = F.filter(F.split(F.lower(F.col(body)), r"[^a-z0-9]+"), lambda x: x != "")
-    rows = None
-    for n in sizes:
-        each = docs.select(key, words.alias("_w")).where(F.size("_w") >= n).select(key, "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - (n - 1))).alias("i")).select(key, F.lit(n).alias("size"), F.sha2(F.array_join(F.slice("_w", F.col("i"), n), " "), 256).alias("digest"))
-        rows = each if rows is None else rows.unionByName(each)
-    return rows.join(denylist, ["size", "digest"], "left_semi").groupBy(key).agg(F.count("*").alias("n_denied"))
+    """Word runs whose (size, digest) is on a list of hashes; equi-joined.
+
+    If the list has marks too, as :func:`word_runs` makes them, only runs whose
+    mark is on it are digested; the digest decides."""
+    listed = docs.select(key, words(F.col(body)).alias("_w"))
+    rows = functools.reduce(DataFrame.unionByName, (word_runs(listed, "_w", n) for n in sizes))
+    if "mark" in denylist.columns:
+        rows = rows.join(denylist.select("size", "mark").distinct(), ["size", "mark"], "left_semi")
+    return rows.join(denylist.select("size", "digest"), ["size", "digest"], "left_semi").groupBy(key).agg(F.count("*").alias("n_denied"))

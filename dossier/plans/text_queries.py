@@ -105,9 +105,7 @@ def page_rule_scan(spark, d):
 
 def denylist_scan(spark, d):
     """All five-word runs of benchmark items, as a list of digests, found in documents."""
-    w = F.filter(F.split(F.lower("text"), r"[^a-z0-9]+"), lambda x: x != "")
-    b = table(spark, d, "benchmark").select(w.alias("w")).where(F.size("w") >= 5)
-    b = b.select("w", F.explode(F.sequence(F.lit(1), F.size("w") - 4)).alias("i")).select(F.sha2(F.array_join(F.slice("w", F.col("i"), 5), " "), 256).alias("digest"), F.lit(5).alias("size")).distinct()
+    b = rules.word_runs(table(spark, d, "benchmark").select(rules.words(F.col("text")).alias("w")), "w", 5).distinct()
     return rules.denied(_docs(spark, d), "doc_id", "text", b, [5])
 
 

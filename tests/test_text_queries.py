@@ -94,3 +94,29 @@ def test_tags_by_their_parts(spark):
     assert [x for x in rows if x.tags != x.want] == [] and sum(len(x.tags or ()) > 1 for x in rows) > 20
     # a text is split by no pattern, which every row would compile again
     assert "split(" not in got.select("tags")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_denied_digests_what_is_marked(spark, tmp_path):
+    from hashlib import sha256
+
+    from pyspark.sql import functions as F
+
+    from dossier.operators import rules
+
+    r = random.Random(6)
+    texts = [r.choice(["", " ", "é"]).join(r.choice(["a ", "b, ", "C-", "d\n", "é", "1 "]) for _ in range(r.randint(0, 30))) for _ in range(300)] + ["", None, "a", "a b"]
+    runs = lambda t, n: [" ".join(w[i : i + n]) for w in ["".join(c if c.isascii() and c.isalnum() else " " for c in (t or "").lower()).split()] for i in range(len(w) - n + 1)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    bad = spark.createDataFrame([("a b c d a",), ("1 1 b",), ("x",), (None,)], "t string").select(rules.words(F.col("t")).alias("w"))
+    marked = rules.word_runs(bad, "w", 2).union(rules.word_runs(bad, "w", 3)).distinct()
+    listed = {(n, sha256(x.encode()).hexdigest()) for n in (2, 3) for t in ("a b c d a", "1 1 b") for x in runs(t, n)}
+    assert {(x.size, x.digest) for x in marked.collect()} == listed
+    want = {k: c for k, t in enumerate(texts) if (c := sum((n, sha256(x.encode()).hexdigest()) in listed for n in (2, 3) for x in runs(t, n)))}
+    found = lambda d: {x.k: x.n_denied for x in rules.denied(docs, "k", "t", d, [2, 3]).collect()}
+    assert found(marked) == found(marked.drop("mark")) == want and len(want) > 50
+    # a run that only shares a mark with the list is not on it
+    assert found(marked.withColumn("digest", F.sha2("digest", 256))) == {}
+    d = folder(spark, tmp_path, benchmark=([(1, "one two three four five")], "item_id long, text string"), documents=([(1, "one two three four five", None, "s", 9)], DOCS))
+    plan = Q.denylist_scan(spark, d)._jdf.queryExecution().optimizedPlan().toString()
+    # words are made once, and no digest is asked for below the join of marks
+    assert "isnotnull(sha2" not in plan and "size(filter" not in plan and plan.count("Join LeftSemi") == 2
